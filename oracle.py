@@ -461,7 +461,7 @@ ORACLE["top_words"] = q("SELECT word, uses FROM word_counts ORDER BY uses DESC,
 ORACLE["top_words_per_channel"] = q(
     """SELECT channel, word, count(*) AS uses FROM word_rows w
 WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.channel = w.channel AND lower(c.name) = w.word)
-GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY channel ORDER BY count(*) DESC, word) <= 10""",
+GROUP BY channel, word QUALIFY row_number() OVER (PARTITION BY channel ORDER BY count(*) DESC, word) <= 10""",
     CATALOG,
     WORDS,
 )
@@ -882,6 +882,9 @@ ORACLE["search_user"] = q(
 ORACLE["channel_logs"] = q(
     f"SELECT {SHOWN} FROM messages WHERE channel = 'ch0' AND ts >= {MID} AND ts < {NOW} ORDER BY ts, id LIMIT 100 OFFSET 30"
 )
+ORACLE["channel_logs_deep"] = q(
+    f"SELECT {SHOWN} FROM messages WHERE channel = 'ch0' ORDER BY ts DESC, id DESC LIMIT 100 OFFSET 1500"
+)
 ORACLE["user_logs"] = q(
     f"SELECT {SHOWN} FROM messages WHERE channel = 'ch1' AND lower(username) = 'user7' ORDER BY ts DESC, id DESC LIMIT 25"
 )

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.constants import SUGGESTION_LIMIT
-from parley.functions.core import top_k
+from parley.functions.core import time_cell, top_k
 from parley.operators.activity import last_by_time
 from parley.operators.filters import filter_channel, filter_user, has_text, slice_window
 
@@ -14,12 +14,27 @@ MAX_PAGE = 1000
 MAX_RANDOM = 100
 
 
-def page(df: DataFrame, limit: int = 50, offset: int = 0, reverse: bool = False) -> DataFrame:
-    """One page in time order, ties settled by id. Reads offset+limit rows per task, not a full sort."""
+def page(df: DataFrame, limit: int = 50, offset: int = 0, reverse: bool = False, shallow: int = 10_000) -> DataFrame:
+    """One page in time order, ties settled by id.
+
+    A shallow page keeps offset+limit rows per task. A deep one first counts
+    messages per minute and then orders only the minutes the page falls in.
+    """
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
     order = [F.desc("ts"), F.desc("id")] if reverse else [F.asc("ts"), F.asc("id")]
-    return df.orderBy(*order).offset(offset).limit(limit)
+    if offset + limit <= shallow:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    rows = df.withColumn("__cell", time_cell("ts", "1 minute"))
+    sizes = rows.groupBy("__cell").agg(F.count("*").alias("__size"))
+    along = Window.orderBy(F.desc("__cell") if reverse else F.asc("__cell"))
+    upto = F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    places = sizes.withColumn("__before", upto - F.col("__size"))
+    hit = places.filter((F.col("__before") < offset + limit) & (F.col("__before") + F.col("__size") > offset))
+    near = rows.join(hit.select("__cell", "__before"), "__cell")
+    place = F.col("__before") + F.row_number().over(Window.partitionBy("__cell").orderBy(*order))
+    found = near.withColumn("__place", place).filter((F.col("__place") > offset) & (F.col("__place") <= offset + limit))
+    return found.orderBy("__place").drop("__cell", "__before", "__place")
 
 
 def _window(df: DataFrame, start, end) -> DataFrame:

@@ -31,7 +31,7 @@ def top_repeated(counts: DataFrame, n: int = 20, by=()) -> DataFrame:
     return top.withColumn("text", tx.ellipsis("text", C.MAX_REPEAT_TEXT_LEN))
 
 
-def self_repetition(df: DataFrame, by=(), cell: str = "1 hour") -> DataFrame:
+def self_repetition(df: DataFrame, by=(), cell: str = "1 minute") -> DataFrame:
     """Messages equal to the previous one of the same user, and their percentage.
 
     Neighbours are compared inside (user, cell) groups; the first and last
@@ -47,10 +47,12 @@ def self_repetition(df: DataFrame, by=(), cell: str = "1 hour") -> DataFrame:
         F.count("*").alias("n"),
         F.count_if("same").alias("repeats"),
         F.min_by("text", "place").alias("first_text"),
-        F.max_by("text", "place").alias("last_text"),
+        F.max_by(F.when(F.col("place") > 1, F.col("text")), "place").alias("last_text"),
     )
+    # A cell of one message carries its text once.
     along = Window.partitionBy(*by, "user_id").orderBy("cell")
-    cells = cells.withColumn("edge", F.col("first_text") == F.lag("last_text").over(along))
+    last_text = F.coalesce("last_text", "first_text")
+    cells = cells.withColumn("edge", F.col("first_text") == F.lag(last_text).over(along))
     repeats = F.coalesce(F.sum("repeats"), F.lit(0)) + F.count_if("edge")
     return cells.groupBy(*by).agg(
         repeats.alias("self_repetition_count"),
@@ -58,7 +60,7 @@ def self_repetition(df: DataFrame, by=(), cell: str = "1 hour") -> DataFrame:
     )
 
 
-def copy_paste_events(df: DataFrame, by=(), window_s: int = C.COPY_PASTE_WINDOW_S, cell: str = "1 hour") -> DataFrame:
+def copy_paste_events(df: DataFrame, by=(), window_s: int = C.COPY_PASTE_WINDOW_S, cell: str = "1 minute") -> DataFrame:
     """Per text: its uses, the quick reposts by another user, and everyone taking part.
 
     A text is cut by time before its uses are put in order, so one text that

@@ -707,10 +707,10 @@ def character_counts(i):
         tx.letters("text").alias("letters"),
         tx.capitals("text").alias("capitals"),
         tx.non_ascii_chars("text").alias("non_ascii"),
-        F.length(tx.strip_end(F.concat("text", F.lit(" \n\t")))).alias("stripped"),
-        F.length(tx.ellipsis("text")).alias("shown"),
-        F.size(tx.words("text")).alias("words"),
-        F.size(tx.emote_tokens("text")).alias("tokens"),
+        tx.char_len(tx.strip_end(F.concat("text", F.lit(" \n\t")))).alias("stripped"),
+        tx.char_len(tx.ellipsis("text")).alias("shown"),
+        F.size(tx.words("text")).cast("bigint").alias("words"),
+        F.size(tx.emote_tokens("text")).cast("bigint").alias("tokens"),
     )
 
 
@@ -791,6 +791,11 @@ def channel_logs(i):
     return _shown(browse.channel_logs(i.messages, "ch0", *CURRENT, limit=100, offset=30))
 
 
+@query
+def channel_logs_deep(i):
+    return _shown(browse.channel_logs(i.messages, "ch0", limit=100, offset=1500, reverse=True, shallow=100))
+
+
 @query
 def user_logs(i):
     return _shown(browse.user_logs(i.messages, "ch1", "user7", limit=25, reverse=True))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from parley.functions import text as tx
@@ -31,7 +32,7 @@ def _with_partitions(df: DataFrame, id_type: str) -> DataFrame:
 
 def scan(spark: SparkSession, root: str) -> DataFrame | None:
     """The whole store, or None before the first merge."""
-    schema = MESSAGES.add("channel_key", "string").add("year_month", "string")
+    schema = T.StructType([*MESSAGES.fields, *[T.StructField(c, T.StringType()) for c in PARTITIONS]])
     try:
         return spark.read.schema(schema).parquet(location(root))
     except AnalysisException:
@@ -44,7 +45,7 @@ def read_store(spark: SparkSession, root: str, channels, start, end, id_type: st
     if stored is None:
         return spark.createDataFrame([], MESSAGES)
     names = [channels] if isinstance(channels, str) else list(channels)
-    wanted = spark.range(1).select(*[tx.channel_key(F.lit(n), id_type) for n in names]).first()
+    wanted = [tx.channel_key(F.lit(n), id_type) for n in names]
     low, high = str(start)[:7].replace("-", "_"), str(end)[:7].replace("-", "_")
     rows = stored.filter(F.col("channel_key").isin(*wanted) & F.col("year_month").between(low, high))
     return slice_window(rows, start, end)

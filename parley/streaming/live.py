@@ -28,13 +28,15 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def _timed(messages: DataFrame) -> DataFrame:
-    return messages.withWatermark("ts", LATENESS)
+    """Watermarks need an instant; the session time zone is UTC, so this changes the type only."""
+    return messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
 
 
 def deduplicated(messages: DataFrame) -> DataFrame:
     """One row per message id; state is kept for the lateness only. Rows without id all pass."""
     named = _timed(messages.filter(F.col("id").isNotNull())).dropDuplicatesWithinWatermark(["id"])
-    return named.unionByName(_timed(messages.filter(F.col("id").isNull())))
+    rows = named.unionByName(_timed(messages.filter(F.col("id").isNull())))
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def ingest_stream(messages: DataFrame, id_type: str = "channel") -> DataFrame:
@@ -49,7 +51,7 @@ def live_bins(messages: DataFrame) -> DataFrame:
     bins = _timed(messages).groupBy(F.window("ts", f"{C.BIN_MINUTES} minutes").alias("w"))
     return bins.agg(
         F.count("*").alias("message_count"), F.approx_count_distinct("user_id", 0.02).alias("unique_chatters")
-    ).select(F.col("w.start").alias("window_start"), "message_count", "unique_chatters")
+    ).select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "message_count", "unique_chatters")
 
 
 def live_sessions(messages: DataFrame, gap_minutes: int = 15) -> DataFrame:
@@ -58,7 +60,8 @@ def live_sessions(messages: DataFrame, gap_minutes: int = 15) -> DataFrame:
     sessions = _timed(messages).groupBy("user_id", windows).agg(
         F.count("*").alias("messages"), F.min("ts").alias("session_start"), F.max("ts").alias("session_end")
     )
-    return sessions.select("user_id", "session_start", "session_end", "messages")
+    ends = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")]
+    return sessions.select("user_id", *ends, "messages")
 
 
 def write_stream(table: DataFrame, path: str, checkpoint: str, partitions=(), every: str | None = None) -> StreamingQuery:
