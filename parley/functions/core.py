@@ -57,5 +57,5 @@ def time_cell(ts: Column | str, width: str) -> Column:
 
 
 def seconds_between(start: Column, end: Column) -> Column:
-    """Whole seconds from start to end, fractions dropped."""
-    return F.timestamp_diff("SECOND", start, end)
+    """Whole seconds from start to end, fractions dropped. Free of the session time zone on TIMESTAMP_NTZ."""
+    return (end - start).cast("bigint")

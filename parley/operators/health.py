@@ -85,17 +85,19 @@ def copy_paste_events(df: DataFrame, by=(), window_s: int = C.COPY_PASTE_WINDOW_
     edge = (F.col("first.user_id") != F.col("prev.user_id")) & (
         seconds_between(F.col("prev.ts"), F.col("first.ts")) <= window_s
     )
-    no_user = F.lit(None).cast("string")
+    zero, no_user = F.lit(0).cast("bigint"), F.lit(None).cast("string")
     takers = F.explode(F.array("user_id", "prev.user_id"))
-    totals = cells.select(*by, "text", "n", (F.col("events") + F.coalesce(edge.cast("int"), F.lit(0))).alias("events"))
-    people = rows.filter(handoff).select(*by, "text", takers.alias("user_id"))
-    border = cells.filter(edge).select(*by, "text", F.explode(F.array("first.user_id", "prev.user_id")).alias("user_id"))
-    stacked = (
-        totals.withColumn("user_id", no_user)
-        .unionByName(people.unionByName(border).withColumn("n", F.lit(0)).withColumn("events", F.lit(0)))
+    # One row per cell with its counts, and one per user on either side of a repost.
+    events = F.col("events") + F.when(edge, F.lit(1)).otherwise(F.lit(0))
+    counts = F.array(F.struct(F.col("n"), events.alias("events"), no_user.alias("user_id")))
+    ends = F.transform(
+        F.array("first.user_id", "prev.user_id"), lambda u: F.struct(zero.alias("n"), zero.alias("events"), u.alias("user_id"))
     )
+    border = cells.select(*by, "text", F.inline(F.when(edge, F.concat(counts, ends)).otherwise(counts)))
+    people = rows.filter(handoff).select(*by, "text", zero.alias("n"), zero.alias("events"), takers.alias("user_id"))
     return (
-        stacked.groupBy(*by, "text")
+        border.unionByName(people)
+        .groupBy(*by, "text")
         .agg(
             F.sum("n").alias("uses"),
             F.sum("events").alias("occurrences"),

@@ -64,20 +64,23 @@ def chatters(df: DataFrame, by=(), engagement: bool = True) -> DataFrame:
     users = rollup.groupBy(*by, "user_id").agg(*aggs)
     if not engagement:
         return users.withColumn("engagement_score", F.lit(None).cast("double"))
+    # The last three keep the columns of both plans alike, so the shuffled roll-up is made once and reused.
     peaks = users.groupBy(*by).agg(
         F.max("message_count").alias("max_count"),
         F.max("active_days").alias("max_days"),
         F.max("avg_length").alias("max_length"),
+        F.min("first_seen").alias("since"),
+        F.max("last_seen").alias("until"),
+        F.max("username").alias("last_name"),
     )
     score = (
         F.lit(0.5) * F.col("message_count") / F.col("max_count")
         + F.lit(0.3) * F.col("active_days") / F.col("max_days")
         + F.lit(0.2) * F.col("avg_length") / F.col("max_length")
     )
-    scored = attach(users, peaks, by, ["max_count", "max_days", "max_length"])
-    return scored.withColumn("engagement_score", F.when(F.col("max_length") > 0, F.round(score, 4))).drop(
-        "max_count", "max_days", "max_length"
-    )
+    level = ["max_count", "max_days", "max_length", "since", "until", "last_name"]
+    scored = attach(users, peaks, by, level)
+    return scored.withColumn("engagement_score", F.when(F.col("max_length") > 0, F.round(score, 4))).drop(*level)
 
 
 def top_chatters(df: DataFrame, n: int = 20, engagement: bool = True, by=()) -> DataFrame:
