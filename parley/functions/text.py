@@ -27,8 +27,10 @@ def extract(text: Column, pattern: str, group: int) -> Column:
 
 
 def clean_text(text: Column | str, lower: bool = True) -> Column:
-    """URLs, then mentions, replaced by one blank each."""
-    out = F.regexp_replace(F.regexp_replace(_col(text), C.URL_RE, " "), C.MENTION_RE, " ")
+    """URLs, then mentions, replaced by one blank each. Texts that cannot hold any skip the patterns."""
+    t = _col(text)
+    no_urls = F.when(F.contains(t, F.lit("http")), F.regexp_replace(t, C.URL_RE, " ")).otherwise(t)
+    out = F.when(F.contains(t, F.lit("@")), F.regexp_replace(no_urls, C.MENTION_RE, " ")).otherwise(no_urls)
     return F.lower(out) if lower else out
 
 
@@ -45,10 +47,14 @@ def emote_tokens(text: Column | str) -> Column:
 
 
 def bigrams(tokens: Column) -> Column:
-    """Adjacent pairs of an array of words, joined by a blank."""
-    follow = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    pairs = F.zip_with(tokens, follow, lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.filter(pairs, lambda p: p.isNotNull())
+    """Adjacent pairs of an array of words, joined by a blank.
+
+    The array is read more than once: pass a column, not an expression that has to be computed.
+    """
+    n = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(
+        F.slice(tokens, F.lit(1), n), F.slice(tokens, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)
+    )
 
 
 def urls(text: Column | str) -> Column:
@@ -59,15 +65,19 @@ def has_url(text: Column | str) -> Column:
     return _col(text).rlike(C.URL_RE)
 
 
-def normalize_url(url: Column) -> Column:
-    """Trailing punctuation and slashes dropped; scheme and host lower-cased, the rest kept."""
-    bare = F.regexp_replace(F.regexp_replace(url, C.URL_TRAILING_PUNCT_RE, ""), "/+$", "")
+def bare_url(url: Column) -> Column:
+    """Trailing punctuation, then trailing slashes dropped."""
+    return F.regexp_replace(F.regexp_replace(url, C.URL_TRAILING_PUNCT_RE, ""), "/+$", "")
+
+
+def fold_host(bare: Column) -> Column:
+    """Scheme and host lower-cased, the rest kept."""
     head = F.regexp_extract(bare, r"^(https?://[^/]+)", 1)
     return F.concat(F.lower(head), F.substr(bare, F.length(head) + 1))
 
 
-def normalized_urls(text: Column | str) -> Column:
-    return F.filter(F.transform(urls(text), normalize_url), lambda u: F.length(u) > 0)
+def normalize_url(url: Column) -> Column:
+    return fold_host(bare_url(url))
 
 
 def domain_of(url: Column) -> Column:
@@ -98,7 +108,9 @@ def count_matches(text: Column | str, pattern: str) -> Column:
 
 
 def non_ascii_chars(text: Column | str) -> Column:
-    return count_matches(text, r"\P{ASCII}")
+    t = _col(text)
+    plain = F.octet_length(t) == F.length(t)
+    return F.when(plain, F.lit(0)).otherwise(F.length(F.regexp_replace(t, r"\p{ASCII}+", ""))).cast("bigint")
 
 
 def letters(text: Column | str) -> Column:
@@ -172,9 +184,11 @@ def parse_emotes(tag_value: Column | str, text: Column | str) -> Column:
     return F.coalesce(F.flatten(F.transform(parts, names_of)), F.array().cast("array<string>"))
 
 
-def emote_pairs(emotes: Column, limit: int = C.MAX_EMOTES_PER_MSG) -> Column:
-    """Unordered pairs of the distinct emotes of one message; empty outside 2..limit emotes."""
-    names = F.array_sort(F.array_distinct(emotes))
+def name_pairs(names: Column, limit: int = C.MAX_EMOTES_PER_MSG) -> Column:
+    """Unordered pairs of a sorted array of distinct names; null outside 2..limit names.
+
+    The array is read once per name: pass a column, not an expression that has to be computed.
+    """
     n = F.size(names)
 
     def pairs_from(first: Column, i: Column) -> Column:

@@ -48,7 +48,8 @@ def pair_counts(df: DataFrame, by=()) -> DataFrame:
     """Unordered emote pairs of single messages (2 to 20 distinct emotes) with their counts."""
     by = keys(by)
     used = df.filter(F.length("emotes_tag") > 0)
-    pairs = used.select(*by, F.inline(tx.emote_pairs(tx.parse_emotes("emotes_tag", "text"))))
+    kinds = F.array_sort(F.array_distinct(tx.parse_emotes("emotes_tag", "text")))
+    pairs = used.select(*by, kinds.alias("names")).select(*by, F.inline(tx.name_pairs(F.col("names"))))
     return pairs.groupBy(*by, "emote1", "emote2").agg(F.count("*").alias("uses"))
 
 

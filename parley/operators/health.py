@@ -154,7 +154,7 @@ def emote_only(df: DataFrame, catalog: DataFrame | None = None, by=(), inline_na
     if catalog is not None:
         scope = [c for c in by if c in catalog.columns]
         listed = catalog.select(*scope, F.lower("name").alias("token")).distinct()
-    native = F.size(tx.parse_emotes("emotes_tag", "text")) > 0
+    native = F.coalesce(F.contains("emotes_tag", F.lit(":")), F.lit(False))
     rows = df.select(*by, _class_tokens().alias("tokens"), native.alias("native"))
     if not by:
         known = seen if listed is None else seen.union(listed).distinct()

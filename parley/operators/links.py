@@ -15,8 +15,9 @@ from parley.functions.core import keys, top_k
 def url_counts(df: DataFrame, by=()) -> DataFrame:
     """Occurrences per normalised URL; the table every other link report reads."""
     by = keys(by)
-    linked = df.filter(tx.has_url("text")).select(*by, F.explode(tx.normalized_urls("text")).alias("url"))
-    return linked.groupBy(*by, "url").agg(F.count("*").alias("uses"))
+    found = df.filter(tx.has_url("text")).select(*by, F.explode(tx.urls("text")).alias("raw"))
+    linked = found.select(*by, tx.bare_url(F.col("raw")).alias("bare")).filter(F.length("bare") > 0)
+    return linked.groupBy(*by, tx.fold_host(F.col("bare")).alias("url")).agg(F.count("*").alias("uses"))
 
 
 def messages_with_links(df: DataFrame, by=()) -> DataFrame:

@@ -77,6 +77,7 @@ def messages_with_commands(df: DataFrame, by=()) -> DataFrame:
 def top_phrases(df: DataFrame, n: int = 20, by=()) -> DataFrame:
     """Adjacent word pairs of the cleaned text seen at least twice."""
     by = keys(by)
-    pairs = df.select(*by, F.explode(tx.bigrams(tx.words("text"))).alias("phrase"))
+    tokens = df.select(*by, tx.words("text").alias("tokens"))
+    pairs = tokens.select(*by, F.explode(tx.bigrams(F.col("tokens"))).alias("phrase"))
     counts = pairs.groupBy(*by, "phrase").agg(F.count("*").alias("uses")).filter(F.col("uses") >= 2)
     return top_k(counts, n, [F.desc("uses"), F.asc("phrase")], by)
