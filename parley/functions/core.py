@@ -44,6 +44,14 @@ def attach(left: DataFrame, right: DataFrame, by: Sequence[str], cols: Sequence[
     return left.withColumn("__one", value).select(*left.columns, *[F.col(f"__one.{c}").alias(c) for c in cols])
 
 
+def complete(table: DataFrame, groups: DataFrame, by: Sequence[str], zeros: Sequence[str] = ()) -> DataFrame:
+    """A one-row-per-key table with a row for every key of ``groups``: zeros in the named columns, else null."""
+    if not by:
+        return table
+    full = groups.select(*by).distinct().join(table, list(by), "left")
+    return full.fillna(0, list(zeros)) if zeros else full
+
+
 def spine(df: DataFrame, by: Sequence[str], name: str, size: int) -> DataFrame:
     """Rows 0..size-1, repeated for each key of ``df``."""
     if not by:

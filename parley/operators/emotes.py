@@ -72,7 +72,8 @@ def emote_entropy(native: DataFrame, by=()) -> DataFrame:
     by = keys(by)
     uses = F.col("uses")
     bits = F.log2(F.sum(uses)) - F.sum(uses * F.log2(uses)) / F.sum(uses)
-    return native.groupBy(*by).agg(F.round(F.greatest(bits, F.lit(0.0)), 4).alias("emote_entropy"))
+    entropy = F.when(F.count("*") > 0, F.round(F.greatest(bits, F.lit(0.0)), 4))
+    return native.groupBy(*by).agg(entropy.alias("emote_entropy"))
 
 
 def emote_diversity(df: DataFrame, n: int = 20, by=()) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley import constants as C
-from parley.functions.core import keys
+from parley.functions.core import complete, keys, top_k
 from parley.operators import activity as act
 from parley.operators import anomalies, bots, cohorts, concentration, emotes, health, language, links, mentions
 from parley.operators import overview, roles, sessions, temporal, words
@@ -113,6 +113,11 @@ def chat_stats(
         shared = None
     s = shared or Shared(df, catalog, by)
     n = params.top_n
+
+    def every(table: DataFrame, *zeros: str) -> DataFrame:
+        """One row per key, also for keys the section found nothing for."""
+        return complete(table, s.rollup, by, zeros)
+
     out = {
         "overview": overview.overview(df, by, s.rollup),
         "top_chatters": overview.top_chatters(s.rollup, n, params.on("engagement"), by),
@@ -127,11 +132,11 @@ def chat_stats(
         "weekly_seasonality": temporal.weekly_seasonality(s.daily, by),
         "roles": roles.roles(s.rollup, by),
         "first_message_hours": temporal.first_message_hours(s.rollup, by),
-        "top_emotes": emotes.top_k(s.emote_counts, params.top_emotes_n, [F.desc("uses"), F.asc("name")], by),
+        "top_emotes": top_k(s.emote_counts, params.top_emotes_n, [F.desc("uses"), F.asc("name")], by),
         "emote_diversity": emotes.emote_diversity(df, n, by),
         "top_words": words.top_words(s.word_counts, params.top_words_n, by),
-        "vocabulary": words.vocabulary(s.word_counts, by),
-        "zipf_slope": words.zipf_slope(s.word_counts, by),
+        "vocabulary": every(words.vocabulary(s.word_counts, by), "unique_word_count"),
+        "zipf_slope": every(words.zipf_slope(s.word_counts, by)),
         "non_ascii": health.non_ascii(df, by),
         "self_repetition": health.self_repetition(df, by),
         "warnings": health.checks(df, by),
@@ -140,13 +145,13 @@ def chat_stats(
         out["staff_list"] = roles.staff_list(s.rollup, by)
     if params.on("subscriber_list"):
         out["subscriber_list"] = roles.subscriber_list(s.rollup, n * 10, by)
-        out["subscriber_count"] = roles.subscriber_count(s.rollup, by)
+        out["subscriber_count"] = every(roles.subscriber_count(s.rollup, by), "subscriber_count")
     if params.on("emote_pairs"):
         out["emote_pairs"] = emotes.top_emote_pairs(s.pair_counts, n, by)
     if params.on("emote_centrality"):
         out["emote_centrality"] = emotes.emote_centrality(s.pair_counts, n, by)
     if params.on("emote_entropy"):
-        out["emote_entropy"] = emotes.emote_entropy(s.native_counts, by)
+        out["emote_entropy"] = every(emotes.emote_entropy(s.native_counts, by))
     if params.on("commands"):
         out["messages_with_commands"] = words.messages_with_commands(df, by)
         out["top_commands"] = words.top_commands(s.command_counts, n, by)
@@ -154,8 +159,8 @@ def chat_stats(
         out["messages_with_links"] = links.messages_with_links(df, by)
         out["top_domains"] = links.top_domains(s.url_counts, n, by)
         out["top_urls"] = links.top_urls(s.url_counts, n, by)
-        out["unique_urls"] = links.unique_urls(s.url_counts, by)
-        out["platform_links"] = links.platform_links(s.url_counts, by)
+        out["unique_urls"] = every(links.unique_urls(s.url_counts, by), "unique_url_count")
+        out["platform_links"] = every(links.platform_links(s.url_counts, by), *C.PLATFORM_RES, "other")
         if all_urls:
             out["all_urls"] = links.top_urls(s.url_counts, C.MAX_ALL_URLS, by)
     if params.on("mentions"):
@@ -188,7 +193,9 @@ def chat_stats(
         if params.on("language_by_day"):
             out["language_by_day"] = language.language_by_day(df, detector, by)
     if params.on("copy_paste_chains"):
-        out["copy_paste_summary"] = health.copy_paste_summary(s.copy_paste, by)
+        out["copy_paste_summary"] = every(
+            health.copy_paste_summary(s.copy_paste, by), "cross_user_copy_paste_count", "cross_user_copy_paste_texts"
+        )
         out["copy_paste_chains"] = health.top_copy_paste_chains(s.copy_paste, by=by)
     if params.on("length_trend"):
         out["length_trend"] = anomalies.length_trend(s.rollup, by)
@@ -197,7 +204,7 @@ def chat_stats(
     if params.on("bot_scores"):
         out["bot_scores"] = bots.bot_scores(df, by=by)
     if params.on("quote_replies"):
-        out["quote_reply_count"] = mentions.quote_reply_count(s.reply_counts, by)
+        out["quote_reply_count"] = every(mentions.quote_reply_count(s.reply_counts, by), "quote_reply_count")
         out["quote_reply_pairs"] = mentions.quote_reply_pairs(s.reply_counts, by=by)
     return out
 

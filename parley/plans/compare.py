@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley import constants as C
-from parley.functions.core import top_k
+from parley.functions.core import complete, top_k
 from parley.operators import activity as act
 from parley.operators import emotes, health, links, overview, roles, temporal, words
 from parley.plans.params import Params
@@ -36,6 +36,7 @@ QUALITY = {
 }
 CLASSES = ("questions", "exclamations", "all_caps", "emote_only", "short_messages", "long_messages")
 PLATFORMS = (*C.PLATFORM_RES, "other")
+COPY_PASTE = ("cross_user_copy_paste_count", "cross_user_copy_paste_texts")
 
 
 def label_periods(df: DataFrame, current, previous) -> DataFrame:
@@ -60,17 +61,17 @@ def period_metrics(both: DataFrame, catalog: DataFrame | None = None) -> dict[st
     counts = words.word_counts(both, emotes.emote_counts(both, catalog, BY), BY)
     return {
         "overview": overview.overview(both, BY, rollup),
-        "vocabulary": words.vocabulary(counts, BY),
+        "vocabulary": complete(words.vocabulary(counts, BY), rollup, BY, ["unique_word_count"]),
         "peak_concurrency": temporal.peak_concurrency(bins, BY),
         "hourly": temporal.hourly(rollup, BY),
         "per_day": temporal.per_day(rollup, BY),
         "roles": roles.roles(rollup, BY),
         "message_classes": health.message_classes(both, catalog, BY),
-        "platform_links": links.platform_links(links.url_counts(both, BY), BY),
+        "platform_links": complete(links.platform_links(links.url_counts(both, BY), BY), rollup, BY, PLATFORMS),
         "duplicate_count": health.duplicate_count(health.text_counts(both, BY), BY),
         "self_repetition": health.self_repetition(both, BY),
         "non_ascii": health.non_ascii(both, BY),
-        "copy_paste": health.copy_paste_summary(health.copy_paste_events(both, BY), BY),
+        "copy_paste": complete(health.copy_paste_summary(health.copy_paste_events(both, BY), BY), rollup, BY, COPY_PASTE),
     }
 
 

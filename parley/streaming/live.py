@@ -28,20 +28,26 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def _timed(messages: DataFrame) -> DataFrame:
-    """Watermarks need an instant; the session time zone is UTC, so this changes the type only."""
+    """Watermarks need an instant; the session time zone is UTC, so this changes the type only.
+
+    A stream whose ``ts`` is an instant already carries its watermark and keeps it.
+    """
+    if dict(messages.dtypes)["ts"] == "timestamp":
+        return messages
     return messages.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
 
 
 def deduplicated(messages: DataFrame) -> DataFrame:
     """One row per message id; state is kept for the lateness only. Rows without id all pass."""
-    named = _timed(messages.filter(F.col("id").isNotNull())).dropDuplicatesWithinWatermark(["id"])
-    rows = named.unionByName(_timed(messages.filter(F.col("id").isNull())))
-    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    timed = _timed(messages)
+    named = timed.filter(F.col("id").isNotNull()).dropDuplicatesWithinWatermark(["id"])
+    return named.unionByName(timed.filter(F.col("id").isNull()))
 
 
 def ingest_stream(messages: DataFrame, id_type: str = "channel") -> DataFrame:
     """Deduplicated messages with the partition columns of the store."""
-    return deduplicated(messages).withColumn("channel_key", tx.channel_key("channel", id_type)).withColumn(
+    rows = deduplicated(messages).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return rows.withColumn("channel_key", tx.channel_key("channel", id_type)).withColumn(
         "year_month", F.date_format("ts", "yyyy_MM")
     )
 
