@@ -62,7 +62,7 @@ def urls(text: Column | str) -> Column:
 
 
 def has_url(text: Column | str) -> Column:
-    return _col(text).rlike(C.URL_RE)
+    return F.contains(_col(text), F.lit("http")) & _col(text).rlike(C.URL_RE)
 
 
 def bare_url(url: Column) -> Column:
@@ -90,7 +90,7 @@ def mentions(text: Column | str) -> Column:
 
 
 def has_mention(text: Column | str) -> Column:
-    return _col(text).rlike(C.MENTION_RE)
+    return F.contains(_col(text), F.lit("@")) & _col(text).rlike(C.MENTION_RE)
 
 
 def command_name(text: Column | str) -> Column:

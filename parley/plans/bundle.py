@@ -13,24 +13,32 @@ from parley.operators import anomalies, bots, cohorts, concentration, emotes, he
 from parley.operators import overview, roles, sessions, temporal, words
 from parley.operators.filters import filter_user
 from parley.plans.params import Params
+from parley.session import checkpointed
 
 
 class Shared:
     """Intermediates several sections read, each described once.
 
-    ``persist`` keeps them between actions; Spark recomputes what an executor
-    loses. Without it they are plain lazy tables and Spark reuses exchanges
-    within a single plan only.
+    ``keep="disk"`` holds them on the executors' disks between actions; what a
+    lost executor held is computed again. ``keep="folder"`` writes each one
+    once to the shared folder, so nothing is ever repeated. Without it they
+    are plain lazy tables and Spark reuses exchanges within a single plan.
     """
 
-    def __init__(self, df: DataFrame, catalog: DataFrame | None, by=(), persist: bool = False):
+    def __init__(self, df: DataFrame, catalog: DataFrame | None, by=(), keep: str | None = None):
+        if keep not in (None, "disk", "folder"):
+            raise ValueError(f"unknown keep: {keep}")
         self.df, self.catalog, self.by = df, catalog, keys(by)
-        self._persist, self._made = persist, {}
+        self._keep, self._made = keep, {}
 
     def _once(self, name, make) -> DataFrame:
         if name not in self._made:
             made = make()
-            self._made[name] = made.persist(StorageLevel.DISK_ONLY) if self._persist else made
+            if self._keep == "disk":
+                made = made.persist(StorageLevel.DISK_ONLY)
+            elif self._keep == "folder":
+                made = checkpointed(made)
+            self._made[name] = made
         return self._made[name]
 
     @property
@@ -86,8 +94,8 @@ class Shared:
         return self._once("copy_paste", lambda: health.copy_paste_events(self.df, self.by))
 
     def release(self):
-        """Drop what was kept."""
-        if self._persist:
+        """Drop what was kept on disks."""
+        if self._keep == "disk":
             for made in self._made.values():
                 made.unpersist()
         self._made.clear()

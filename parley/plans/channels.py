@@ -67,9 +67,9 @@ def channel_summaries(df: DataFrame, channels: Sequence[str], catalog: DataFrame
     }
 
 
-def per_channel(df: DataFrame, params: Params, catalog: DataFrame | None = None, persist: bool = False) -> dict[str, DataFrame]:
+def per_channel(df: DataFrame, params: Params, catalog: DataFrame | None = None, keep: str | None = None) -> dict[str, DataFrame]:
     """Every selected section per channel, each channel with its own catalog."""
-    return chat_stats(df, params, catalog, BY, all_urls=False, shared=Shared(df, catalog, BY, persist))
+    return chat_stats(df, params, catalog, BY, all_urls=False, shared=Shared(df, catalog, BY, keep))
 
 
 def channel_share(totals: DataFrame) -> DataFrame:

@@ -36,6 +36,11 @@ def query(fn):
     return fn
 
 
+def listing() -> list[dict[str, str]]:
+    """Names and descriptions of all queries."""
+    return [{"name": name, "description": (fn.__doc__ or "").strip()} for name, fn in REGISTRY.items()]
+
+
 def run(name: str, spark: SparkSession, folder: str) -> DataFrame:
     """One registered query over the tables of a folder."""
     return REGISTRY[name](Inputs(spark, folder))

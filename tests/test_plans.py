@@ -1,6 +1,7 @@
 """Parameters, bundle, channels, comparison, registry, and the shape of physical plans."""
 
 import re
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,7 +10,9 @@ from conftest import one, rows
 from parley.operators import overview, temporal
 from parley.plans import bundle, channels, compare, export
 from parley.plans.params import Params, preset_sections
-from parley.plans.registry import REGISTRY, Inputs
+from parley.plans.registry import REGISTRY, Inputs, listing
+from parley.plans.run import load, report
+from parley.sources import store
 
 SMALL = "/root/testdata/sf0.001"
 A, B = datetime(2024, 3, 1), datetime(2024, 3, 11)
@@ -56,6 +59,10 @@ def test_leap_day_and_custom_windows():
     assert custom.comparison_window() == (datetime(2020, 1, 1), datetime(2020, 1, 2))
 
 
+def test_listing_names_every_query():
+    assert {entry["name"] for entry in listing()} == set(REGISTRY)
+
+
 def test_presets_nest():
     quick, standard, everything = (preset_sections(p) for p in ("quick", "standard", "everything"))
     assert quick < standard < everything and "phrases" in everything and "anomalies" not in quick
@@ -93,9 +100,31 @@ def test_every_section_runs_and_per_channel_matches_a_run_per_channel(inputs):
         assert as_text(table.drop(*drop)) == as_text(mine), name
 
 
-def test_persisted_intermediates_change_nothing(inputs):
+def test_a_whole_run(inputs, spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.merge_store(spark, root, inputs.messages)
+    p = Params(
+        datetime(2024, 1, 16), datetime(2024, 1, 31), channels=("ch0", "CH1"), user="user3",
+        compare_previous=True, sections=preset_sections("quick"),
+    )
+    p_named = replace(p, channels=("ch0", "ch1"))
+    everything = load(spark, root, p_named)
+    assert set(r[0] for r in rows(everything.select("channel").distinct())) == {"ch0", "ch1"}
+    parts = report(everything, p_named, inputs.catalog)
+    assert set(parts) == {"pooled", "summaries", "per_channel", "comparison"}
+    mine = inputs.messages.filter("user_id = '3' and ts >= '2024-01-16'").count()
+    assert parts["pooled"]["overview"].first().total_messages == mine
+    totals = {r.channel: r.total_messages for r in parts["summaries"]["totals"].collect()}
+    assert totals["ch0"] > mine and not any(r.failed for r in parts["summaries"]["checks"].collect())
+    assert {r.period for r in parts["comparison"]["overview"].collect()} == {"current", "previous"}
+    only = report(everything, replace(p_named, user_everywhere=True), inputs.catalog)
+    assert {r.channel: r.total_messages for r in only["summaries"]["totals"].collect()} == {"ch0": mine, "ch1": 0}
+
+
+@pytest.mark.parametrize("keep", ["disk", "folder"])
+def test_kept_intermediates_change_nothing(inputs, keep):
     p = Params(A, B, channels=("ch0",), sections=preset_sections("standard"))
-    shared = bundle.Shared(inputs.messages, inputs.names, persist=True)
+    shared = bundle.Shared(inputs.messages, inputs.names, keep=keep)
     kept = bundle.chat_stats(inputs.messages, p, inputs.names, shared=shared)
     plain = bundle.chat_stats(inputs.messages, p, inputs.names)
     for name in ("top_chatters", "top_words", "anomalies", "top_emotes"):
