@@ -618,6 +618,24 @@ QUALIFY row_number() OVER (PARTITION BY day ORDER BY percentage DESC, language)
 )
 
 # --- several sections, channels, periods
+SECTIONS = {
+    "overview": "overview_totals", "top_chatters": "top_chatters", "chatter_quantiles": "chatter_quantiles",
+    "active_chatters": "active_chatters", "hourly": "hourly", "weekday_hour": "weekday_hour", "per_day": "per_day",
+    "peaks_5m": "peaks_5m", "peak_concurrency": "peak_concurrency", "trend": "trend",
+    "weekly_seasonality": "weekly_seasonality", "roles": "roles_seen", "first_message_hours": "first_message_hours",
+    "top_emotes": "top_emotes", "emote_diversity": "emote_diversity", "top_words": "top_words",
+    "vocabulary": "vocabulary", "zipf_slope": "zipf_slope", "non_ascii": "non_ascii",
+    "self_repetition": "self_repetition", "warnings": "data_checks",
+    "messages_with_commands": "messages_with_commands", "top_commands": "top_commands",
+    "messages_with_links": "link_totals", "top_domains": "top_domains", "top_urls": "top_urls",
+    "unique_urls": "link_totals", "platform_links": "platform_links", "all_urls": "all_urls",
+    "messages_with_mentions": "messages_with_mentions", "top_mentions": "top_mentions",
+    "top_mention_pairs": "top_mention_pairs", "duplicate_count": "duplicate_count", "top_repeated": "top_repeated",
+    "sessions": "session_summary", "message_classes": "message_classes",
+}
+ORACLE["chat_stats_sizes"] = " UNION ALL ".join(
+    f"SELECT '{section}' AS section, count(*) AS n FROM ({ORACLE[name]})" for section, name in SECTIONS.items()
+)
 ORACLE["chat_stats_of_user"] = q(
     "SELECT day, messages, (SELECT count(*) FROM messages) AS total_messages FROM daily",
     DAILY,

@@ -511,6 +511,16 @@ def chat_stats(i):
     return bundle.as_document(bundle.chat_stats(i.messages, i.params("quick"), i.names))
 
 
+@query
+def chat_stats_sizes(i):
+    """Rows of each section of a quick run."""
+    out = None
+    for name, table in bundle.chat_stats(i.messages, i.params("quick"), i.names).items():
+        size = table.agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "n")
+        out = size if out is None else out.unionByName(size)
+    return out
+
+
 @query
 def chat_stats_of_user(i):
     """Totals and days of one user, after the user filter."""
