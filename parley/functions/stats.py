@@ -8,15 +8,20 @@ range. The ordered windows below only ever see such tables.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.constants import POISSON_NORMAL_APPROX_LAMBDA
 from parley.functions.core import partition
 
+# The tails below travel to the workers by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def ranked_histogram(hist: DataFrame, value: str, by: Sequence[str], weight: str = "m") -> DataFrame:
     """Add ``below`` (rows with a smaller value) and ``n`` (all rows) per key."""
