@@ -43,14 +43,19 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table once into the shared folder and read it back; the files go when the application ends."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that all executors share; it goes when the application ends."""
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table once into the shared folder and read it back."""
+    path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

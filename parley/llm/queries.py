@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe
+from parley.llm import bpe, token_files
+from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +25,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as ids in Simple-8b files, read back."""
+    path = shared_path(spark, "tokens")
+    token_files.write(table(spark, folder, "documents"), VOCABULARY, 2, path)
+    found = token_files.read(spark, path).select(
+        "part",
+        "block",
+        "before",
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+    found = found.join(token_files.block_starts(spark, path), ["part", "block"])
+    return found.select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+
+
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded with the pair occurrence index."""
