@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, token_files
+from parley.llm import bpe, quality, token_files
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,12 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+@query
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and compression bands for every document."""
+    return quality.judge(table(spark, folder, "documents"))
+
+
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded with the pair occurrence index."""
