@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, quality, token_files
+from parley.llm import bpe, pii, quality, token_files
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,22 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
 
 
+@query
+def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.find(table(spark, folder, "documents"))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
+    digest = F.sha2(listed(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *(count(k) for k in pii.BASE), digest, listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded with the pair occurrence index."""
