@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, pii, quality, token_files
+from parley.llm import bpe, decontamination, pii, quality, token_files
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,20 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.BASE), digest, listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of the benchmark in every document."""
+    found = decontamination.hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        decontamination.contaminated().alias("contaminated"),
+    )
+
+
 @query
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded with the pair occurrence index."""
