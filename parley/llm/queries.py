@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontamination, pii, quality, token_files
+from parley.llm import bpe, decontamination, pii, quality, substrings, token_files
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document in windows of 35 that start anywhere else."""
+    found = substrings.repeated(table(spark, folder, "documents"), 35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @query
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as ids in Simple-8b files, read back."""
