@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontamination, pii, quality, simhash, substrings, token_files
+from parley.llm import bpe, decontamination, pii, quality, sharding, simhash, substrings, token_files
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,12 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (F.col("block_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
+@query
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every document in 40 shards of near equal bytes."""
+    return sharding.shard(table(spark, folder, "documents"), 40)
+
+
 @query
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and compression bands for every document."""
