@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontamination, pii, quality, sharding, simhash, substrings, token_files
+from parley.llm import bpe, decontamination, pii, quality, sharding, simhash, substrings, token_files, toxicity
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,19 @@ def op7_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in pii.BASE), digest, listed(F.col("spans")).alias("spans"))
 
 
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A toxicity score for every document, learned from four fifths of the labels."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"), ~held_out)
+    return found.select(
+        "doc_id",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 @query
 def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Passages of the benchmark in every document."""
