@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontamination, pii, quality, sharding, simhash, substrings, token_files, toxicity
+from parley.llm import bpe, decontamination, pii, quality, sharding, simhash, substrings, suffixes, token_files, toxicity
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,19 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.groups(table(spark, folder, "documents"))
 
 
+@query
+def op3_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document in strings of 400 that start anywhere else."""
+    found = suffixes.repeated(table(spark, folder, "documents"), 400)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as ids in Simple-8b files, read back."""
