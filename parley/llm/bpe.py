@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from parley.llm.common import CACHE_WORDS, documents, in_arrow, pieces, slices
+from parley.llm.common import documents, drop_long, in_arrow, make_room, pieces, slices
 
 #: Fixed value: white space of the tokenizer's \s, which is Unicode's White_Space.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -132,25 +132,27 @@ class Codec:
 
     def learn(self, chunks: set[bytes]) -> None:
         """Encode the chunks that are not known yet, and of their words those that are not."""
-        if len(self.chunks) + len(chunks) > CACHE_WORDS:
-            self.chunks.clear()
+        make_room(self.chunks, len(chunks))
         new = [c for c in chunks if c not in self.chunks]
         plans = [self.plan(c) for c in new]
         words = {w for p in plans for w in p if not isinstance(w, int)}
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
+        make_room(self.words, len(words))
         for word, ids in self.merged(words.difference(self.words)).items():
             self.words[word] = np.array(ids, "<u4").tobytes()
         for chunk, plan in zip(new, plans):
             ids = [w.to_bytes(4, "little") if isinstance(w, int) else self.words[w] for w in plan]
             self.chunks[chunk] = b"".join(ids)
+        drop_long(self.words, words)
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [[p.split() for p in pieces(folded(t))] if t else [] for t in texts]
-        self.learn({w for doc in split for part in doc for w in part})
+        chunks = {w for doc in split for part in doc for w in part}
+        self.learn(chunks)
         known = self.chunks.__getitem__
-        return [b"".join(b"".join(map(known, part)) for part in doc) for doc in split]
+        ids = [b"".join(b"".join(map(known, part)) for part in doc) for doc in split]
+        drop_long(self.chunks, chunks)
+        return ids
 
     def decode(self, ids: bytes) -> str:
         """The names of the tokens with a space between them: this vocabulary states no decoder."""

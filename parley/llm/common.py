@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,10 @@ from parley.session import shared_folder
 
 #: Bytes of text that a pass holds as Python objects at once.
 SLICE_BYTES = 2 << 20
-#: Entries of a cache of words in a Python worker; a full cache is emptied.
-CACHE_WORDS = 400_000
+#: Entries of a cache of words in a Python worker.
+CACHE_WORDS = 700_000
+#: Longer words are not kept in a cache.
+CACHED_BYTES = 64
 #: White space that ends a word: space and U+0009 to U+000D, as bytes.split() has it.
 BLANKS = b"\t\n\x0b\x0c\r "
 
@@ -94,6 +96,20 @@ def pieces(data: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
         yield data[at:] if at else data
 
 
+def make_room(cache: dict, more: int) -> None:
+    """Where ``more`` entries would go over the bound, keep the older half: frequent words come early."""
+    if len(cache) + more > CACHE_WORDS:
+        for key in list(cache)[CACHE_WORDS // 2 :]:
+            del cache[key]
+
+
+def drop_long(cache: dict, keys: Iterable[bytes]) -> None:
+    """Take the long ones of some entries out again."""
+    for key in keys:
+        if len(key) > CACHED_BYTES:
+            cache.pop(key, None)
+
+
 class Hashes(dict):
     """Word to 64-bit hash, remembered up to a bound."""
 
@@ -102,9 +118,11 @@ class Hashes(dict):
         self.seed = seed
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        value = xxhash.xxh3_64_intdigest(word, self.seed)
+        if len(word) <= CACHED_BYTES:
+            if len(self) >= CACHE_WORDS:
+                make_room(self, 1)
+            self[word] = value
         return value
 
 
@@ -157,8 +175,8 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """For n places, whether one of the windows of ``width`` that begin at ``starts`` covers it."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + width, n), -1)
+    """For n places, whether one of the windows of ``width`` that begin at ``starts``, all different, covers it."""
+    change = np.zeros(n + 1, np.int32)
+    change[starts] += 1
+    change[starts + width] -= 1
     return np.cumsum(change[:n]) > 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import simple8b
 from parley.llm.bpe import folded
-from parley.llm.common import CACHE_WORDS, documents, in_arrow, pieces, slices
+from parley.llm.common import documents, drop_long, in_arrow, make_room, pieces, slices
 
 #: Ids after which a block ends.
 BLOCK_IDS = 1 << 16
@@ -62,8 +62,7 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[bytes]) -> None:
-        if len(self.known) + len(chunks) > CACHE_WORDS:
-            self.known.clear()
+        make_room(self.known, len(chunks))
         plain, tailed, other = [], [], []
         for c in chunks:
             if c not in self.known:
@@ -74,8 +73,7 @@ class Encoder:
                     tailed.append(c)
                 else:
                     other.append(c)
-        if len(self.words) + len(plain) + len(tailed) > CACHE_WORDS:
-            self.words.clear()
+        make_room(self.words, len(plain) + len(tailed))
         new = list({*plain, *(c[:-1] for c in tailed), *(c[-1:] for c in tailed)}.difference(self.words))
         if new:
             ids = np.array(self._ids([b" ".join(new).decode()])[0], "<u4")
@@ -92,12 +90,16 @@ class Encoder:
             self.known[c] = self.words[c[:-1]] + self.words[c[-1:]]
         for c, ids in zip(other, self._ids([c.decode() for c in other])):
             self.known[c] = np.array(ids, "<u4").tobytes()
+        drop_long(self.words, new)
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         split = [[p.split() for p in pieces(folded(t))] if t else [] for t in texts]
-        self.learn({w for doc in split for part in doc for w in part})
+        chunks = {w for doc in split for part in doc for w in part}
+        self.learn(chunks)
         known = self.known.__getitem__
-        return [b"".join(b"".join(map(known, part)) for part in doc) for doc in split]
+        ids = [b"".join(b"".join(map(known, part)) for part in doc) for doc in split]
+        drop_long(self.known, chunks)
+        return ids
 
 
 @lru_cache(2)
