@@ -392,7 +392,7 @@ ORACLE["anomalies_5m"] = q(
              ELSE list_sum(list_transform(range(0, message_count + 1), lambda j: {POISSON})) END, 6) AS p_value
 FROM (SELECT b.window_start, b.message_count, s.lam, (b.message_count - s.lam) / s.sd AS z FROM bins b,
       (SELECT avg(message_count) AS lam, stddev_samp(message_count) AS sd FROM bins) s)
-WHERE abs(z) >= 3 ORDER BY round(abs(z), 9) DESC, window_start LIMIT 50""",
+WHERE abs(z) >= 3""",
     BINS,
 )
 ORACLE["length_trend"] = q(
@@ -402,8 +402,7 @@ FROM (SELECT l, row_number() OVER (ORDER BY day) AS i FROM (SELECT ts::DATE AS d
 ORACLE["cohort_retention"] = q(
     """SELECT cohort_week, cohort_size, week_offset, round(active / cohort_size * 100, 2) AS retention_pct FROM (
   SELECT cohort_week, CAST((week - cohort_week) // 7 AS INTEGER) AS week_offset, count(DISTINCT user_id) AS active FROM weeks GROUP BY ALL)
-JOIN (SELECT cohort_week, count(DISTINCT user_id) AS cohort_size FROM weeks GROUP BY 1) USING (cohort_week)
-WHERE week_offset <= 8 AND cohort_week IN (SELECT DISTINCT cohort_week FROM weeks ORDER BY 1 DESC LIMIT 8)""",
+JOIN (SELECT cohort_week, count(DISTINCT user_id) AS cohort_size FROM weeks GROUP BY 1) USING (cohort_week)""",
     """weeks AS (SELECT user_id, week, min(week) OVER (PARTITION BY user_id) AS cohort_week
   FROM (SELECT DISTINCT user_id, CAST(date_trunc('week', ts) AS DATE) AS week FROM messages))""",
 )
@@ -437,7 +436,7 @@ PAIRS = """
 kinds AS (SELECT DISTINCT id, name FROM emote_rows),
 pairs AS (
   SELECT a.name AS emote1, b.name AS emote2, count(*) AS uses FROM kinds a JOIN kinds b ON a.id = b.id AND a.name < b.name
-  WHERE a.id IN (SELECT id FROM kinds GROUP BY id HAVING count(*) BETWEEN 2 AND 20) GROUP BY ALL
+  WHERE a.id IN (SELECT id FROM kinds GROUP BY id HAVING count(*) >= 2) GROUP BY ALL
 )"""
 ORACLE["emote_pairs"] = q("SELECT * FROM pairs ORDER BY uses DESC, emote1, emote2 LIMIT 20", EMOTES, PAIRS)
 ORACLE["emote_centrality"] = q(
@@ -492,7 +491,7 @@ GROUP BY phrase HAVING count(*) >= 2 ORDER BY uses DESC, phrase LIMIT 50""",
 
 # --- links and mentions
 ORACLE["top_urls"] = q("SELECT url, uses FROM url_counts ORDER BY uses DESC, url LIMIT 20", URLS)
-ORACLE["all_urls"] = q("SELECT url, uses FROM url_counts ORDER BY uses DESC, url LIMIT 2000", URLS)
+ORACLE["all_urls"] = q("SELECT url, uses FROM url_counts ", URLS)
 ORACLE["link_totals"] = q(
     f"""SELECT count(*) FILTER (WHERE regexp_matches(text, {URL})) AS messages_with_links,
   (SELECT count(*) FROM url_counts) AS unique_url_count FROM messages""",
@@ -557,8 +556,8 @@ ORACLE["quote_reply_count"] = q("SELECT count(*) AS quote_reply_count FROM repli
 TEXTS = "texts AS (SELECT text, count(*) AS uses FROM messages GROUP BY text)"
 ORACLE["duplicate_count"] = q("SELECT CAST(sum(uses - 1) AS BIGINT) AS duplicate_message_count FROM texts", TEXTS)
 ORACLE["top_repeated"] = q(
-    """SELECT CASE WHEN length(text) > 300 THEN left(text, 300) || '...' ELSE text END AS text, uses
-FROM (SELECT * FROM texts WHERE uses > 1 ORDER BY uses DESC, text LIMIT 20)""",
+    """SELECT text, uses
+FROM (SELECT * FROM texts WHERE uses > 1 ORDER BY uses DESC, sha256(text) LIMIT 20)""",
     TEXTS,
 )
 REPEATED = "count(*) FILTER (WHERE same) AS self_repetition_count, round(count(*) FILTER (WHERE same) / count(*) * 100, 2) AS self_repetition_pct"
@@ -568,7 +567,7 @@ ORACLE["copy_paste_summary"] = q(
     "SELECT CAST(sum(occurrences) AS BIGINT) AS cross_user_copy_paste_count, count(*) AS cross_user_copy_paste_texts FROM chains",
     _chains(60),
 )
-CHAIN_TOP = "SELECT left(text, 200) AS text, occurrences, distinct_users FROM (SELECT * FROM chains ORDER BY occurrences DESC, text LIMIT {n})"
+CHAIN_TOP = "SELECT text, occurrences, distinct_users FROM (SELECT * FROM chains ORDER BY occurrences DESC, sha256(text) LIMIT {n})"
 ORACLE["copy_paste_chains"] = q(CHAIN_TOP.format(n=10), _chains(60))
 ORACLE["copy_paste_chains_slow"] = q(CHAIN_TOP.format(n=50), _chains(7200))
 FOREIGN = r"length(regexp_replace(text, '[\x00-\x7F]', '', 'g'))"
@@ -607,13 +606,12 @@ FROM (SELECT (epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY n))) / 1000000 AS d
 LETTERED = rf"length(regexp_replace({CLEAN}, '[^\p{{L}}]', '', 'g')) >= 10"
 ORACLE["language_breakdown"] = q(
     f"""SELECT lang AS language, round(count(*) / sum(count(*)) OVER () * 100, 2)::DOUBLE AS percentage
-FROM (SELECT lang FROM messages WHERE {LETTERED} ORDER BY md5(id), id LIMIT 1000) GROUP BY lang"""
+FROM (SELECT lang FROM messages WHERE {LETTERED}) GROUP BY lang"""
 )
 ORACLE["language_by_day"] = q(
     f"""SELECT day, language, percentage FROM (
   SELECT day, lang AS language, round(count(*) / sum(count(*)) OVER (PARTITION BY day) * 100, 2)::DOUBLE AS percentage
-  FROM (SELECT ts::DATE AS day, lang FROM messages WHERE {LETTERED}
-        QUALIFY row_number() OVER (PARTITION BY ts::DATE ORDER BY md5(id), id) <= 1000) GROUP BY day, lang)
+  FROM (SELECT ts::DATE AS day, lang FROM messages WHERE {LETTERED}) GROUP BY day, lang)
 QUALIFY row_number() OVER (PARTITION BY day ORDER BY percentage DESC, language) = 1"""
 )
 
@@ -917,7 +915,21 @@ ORACLE["random_user"] = q(
     f"SELECT {SHOWN} FROM messages WHERE channel = 'ch1' AND user_id = '7' ORDER BY md5('42:' || id), id LIMIT 5"
 )
 ORACLE["merged_pages"] = q(
-    "SELECT channel, count(*) AS n, min(id) FILTER (WHERE user_id <> '5') AS first_id, max(id) FILTER (WHERE user_id <> '5') AS last_id FROM messages GROUP BY channel"
+    "SELECT DISTINCT CASE WHEN user_id <> '5' THEN id END AS id, ts, username, md5(text) AS text_md5 FROM messages"
+)
+ORACLE["random_without_ids"] = q(
+    """SELECT id, ts, username, text_md5 FROM (
+  SELECT *, coalesce(id, concat_ws('|', username, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00', text_md5)) AS name
+  FROM (SELECT CASE WHEN n % 3 <> 0 THEN id END AS id, ts, username, md5(text) AS text_md5 FROM messages WHERE channel = 'ch2'))
+ORDER BY md5('7:' || name), name LIMIT 20"""
+)
+ORACLE["run_any_case"] = q(f"SELECT {TOTALS} FROM messages WHERE channel = 'ch0' AND ts >= {MID} AND ts < {NOW}")
+ORACLE["merged_last_arrival"] = q(
+    "SELECT channel, 'aaa ' || role AS text, count(*) AS n, min(id) AS first_id FROM messages WHERE u % 4 = 1 GROUP BY ALL"
+)
+ORACLE["raw_files"] = q(
+    """SELECT channel, count(*) AS n FROM messages WHERE n % 10 <> 3 GROUP BY channel
+UNION ALL SELECT 'unreadable', count(*) FROM messages WHERE n % 10 = 3"""
 )
 ORACLE["suggest_channels"] = q("SELECT DISTINCT channel FROM messages WHERE channel <> 'ch1' ORDER BY 1 LIMIT 20")
 

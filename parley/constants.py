@@ -59,7 +59,6 @@ MAX_CHAIN_TEXT_LEN = 200
 MAX_EMOTES_PER_MSG = 20
 MIN_EMOTE_USES = 5
 MIN_ALPHA_CHARS_FOR_LANG = 10
-LANG_SAMPLE_SIZE = 1000
 MIN_ALPHA_FOR_CAPS = 5
 CAPS_SHARE = 0.8
 SHORT_MESSAGE_LEN = 3
@@ -87,7 +86,6 @@ BOT_MAX_GAP_STD_S = 5.0
 BOT_MAX_DIVERSITY = 0.3
 BOT_MIN_COMMAND_RATIO = 0.5
 COHORT_MAX_WEEKS = 8
-MAX_ALL_URLS = 2000
 BIN_MINUTES = 5
 TREND_HALF_WIDTH = 3
 MIN_TREND_DAYS = 7

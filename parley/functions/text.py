@@ -17,6 +17,11 @@ def char_len(text: Column | str) -> Column:
     return F.length(_col(text)).cast("bigint")
 
 
+def text_key(text: Column | str) -> Column:
+    """256-bit hash that stands for a text where texts are grouped or compared; null for null."""
+    return F.unhex(F.sha2(_col(text).cast("binary"), 256))
+
+
 def extract_all(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
@@ -184,8 +189,8 @@ def parse_emotes(tag_value: Column | str, text: Column | str) -> Column:
     return F.coalesce(F.flatten(F.transform(parts, names_of)), F.array().cast("array<string>"))
 
 
-def name_pairs(names: Column, limit: int = C.MAX_EMOTES_PER_MSG) -> Column:
-    """Unordered pairs of a sorted array of distinct names; null outside 2..limit names.
+def name_pairs(names: Column, limit: int | None = None) -> Column:
+    """Unordered pairs of a sorted array of distinct names; null below two names, or above ``limit`` where one is given.
 
     The array is read once per name: pass a column, not an expression that has to be computed.
     """
@@ -195,4 +200,5 @@ def name_pairs(names: Column, limit: int = C.MAX_EMOTES_PER_MSG) -> Column:
         rest = F.slice(names, i + 2, F.greatest(n - i - 1, F.lit(0)))
         return F.transform(rest, lambda second: F.struct(first.alias("emote1"), second.alias("emote2")))
 
-    return F.when((n >= 2) & (n <= limit), F.flatten(F.transform(names, pairs_from)))
+    fits = (n >= 2) if limit is None else (n >= 2) & (n <= limit)
+    return F.when(fits, F.flatten(F.transform(names, pairs_from)))

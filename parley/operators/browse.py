@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.constants import SUGGESTION_LIMIT
+from parley.functions import text as tx
 from parley.functions.core import time_cell, top_k
 from parley.operators.activity import last_by_time
 from parley.operators.filters import filter_channel, filter_user, has_text, slice_window
@@ -14,17 +15,15 @@ MAX_PAGE = 1000
 MAX_RANDOM = 100
 
 
-def page(df: DataFrame, limit: int = 50, offset: int = 0, reverse: bool = False, shallow: int = 10_000) -> DataFrame:
+def page(df: DataFrame, limit: int = 50, offset: int = 0, reverse: bool = False) -> DataFrame:
     """One page in time order, ties settled by id.
 
-    A shallow page keeps offset+limit rows per task. A deep one first counts
-    messages per minute and then orders only the minutes the page falls in.
+    Messages are counted per minute first; only the minutes the page falls in
+    are then put in order.
     """
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
     order = [F.desc("ts"), F.desc("id")] if reverse else [F.asc("ts"), F.asc("id")]
-    if offset + limit <= shallow:
-        return df.orderBy(*order).offset(offset).limit(limit)
     rows = df.withColumn("__cell", time_cell("ts", "1 minute"))
     sizes = rows.groupBy("__cell").agg(F.count("*").alias("__size"))
     along = Window.orderBy(F.desc("__cell") if reverse else F.asc("__cell"))
@@ -121,8 +120,9 @@ def user_logs_in(df: DataFrame, channel: str, user: str, month: str, kind: str =
 def _draw(df: DataFrame, n: int, seed: int) -> DataFrame:
     if not 1 <= n <= MAX_RANDOM:
         raise ValueError(f"n must be between 1 and {MAX_RANDOM}")
-    ticket = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id")).cast("binary"))
-    return df.orderBy(ticket, "id").limit(n)
+    name = F.coalesce(F.col("id"), F.concat_ws("|", "username", tx.iso_ts("ts"), F.md5(F.col("text").cast("binary"))))
+    ticket = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
+    return df.orderBy(ticket, name).limit(n)
 
 
 def random_channel(df: DataFrame, channel: str, n: int = 1, seed: int = 0) -> DataFrame:
@@ -136,14 +136,20 @@ def random_user(df: DataFrame, channel: str, user: str, kind: str = "user", n: i
 
 
 def merge_pages(*pages: DataFrame) -> DataFrame:
-    """Pages that may overlap, without repeats: one row per id, else per (login, text, time)."""
-    rows = pages[0]
-    for other in pages[1:]:
-        rows = rows.unionByName(other)
+    """Pages that may overlap, without repeats and in time order: one row per id, else per (login, text, time).
+
+    Of several rows the one of the last page stays, and within a page the latest.
+    """
+    rows = None
+    for place, part in enumerate(pages):
+        part = part.withColumn("__place", F.lit(place))
+        rows = part if rows is None else rows.unionByName(part)
     no_id = F.coalesce(F.length("id") == 0, F.lit(True))
-    stamp = F.when(no_id, F.struct("username", "text", "ts"))
+    stamp = F.when(no_id, F.struct("username", tx.text_key("text").alias("text"), "ts"))
     marked = rows.withColumn("__id", F.when(~no_id, F.col("id"))).withColumn("__stamp", stamp)
-    return marked.dropDuplicates(["__id", "__stamp"]).drop("__id", "__stamp")
+    latest = Window.partitionBy("__id", "__stamp").orderBy(F.desc("__place"), F.desc("ts"), F.asc(tx.text_key("text")))
+    kept = marked.withColumn("__n", F.row_number().over(latest)).filter("__n = 1")
+    return kept.orderBy("ts", "id").drop("__id", "__stamp", "__n", "__place")
 
 
 def suggest_channels(df: DataFrame, query: str = "", taken=(), limit: int = SUGGESTION_LIMIT) -> DataFrame:

@@ -44,15 +44,24 @@ def top_emotes(df: DataFrame, catalog: DataFrame | None = None, n: int = 50, by=
     return top_k(emote_counts(df, catalog, by), n, [F.desc("uses"), F.asc("name")], by)
 
 
-def pair_counts(df: DataFrame, by=()) -> DataFrame:
-    """Unordered emote pairs of single messages (2 to 20 distinct emotes) with their counts."""
+def pair_counts(df: DataFrame, by=(), most: int | None = None) -> DataFrame:
+    """Unordered emote pairs of single messages with their counts.
+
+    ``most`` leaves out messages with more distinct emotes; ``messages_above`` counts them.
+    """
     by = keys(by)
     used = df.filter(F.length("emotes_tag") > 0)
     kinds = F.array_sort(F.array_distinct(tx.parse_emotes("emotes_tag", "text")))
-    pairs = used.select(*by, kinds.alias("names")).select(*by, F.inline(tx.name_pairs(F.col("names"))))
+    pairs = used.select(*by, kinds.alias("names")).select(*by, F.inline(tx.name_pairs(F.col("names"), most)))
     return pairs.groupBy(*by, "emote1", "emote2").agg(F.count("*").alias("uses"))
 
 
+def messages_above(df: DataFrame, most: int, by=()) -> DataFrame:
+    """Messages that ``pair_counts`` with the same limit leaves out."""
+    kinds = F.size(F.array_distinct(tx.parse_emotes("emotes_tag", "text")))
+    return df.groupBy(*keys(by)).agg(F.count_if(kinds > most).alias("messages_left_out"))
+
+
 def top_emote_pairs(pairs: DataFrame, n: int = 20, by=()) -> DataFrame:
     """The n most frequent pairs of a pair-count table."""
     by = keys(by)

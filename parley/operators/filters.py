@@ -26,8 +26,9 @@ def filter_user(df: DataFrame, user: str, kind: str = "user") -> DataFrame:
 
 
 def filter_channel(df: DataFrame, channels) -> DataFrame:
+    """Messages of some channels, by name or id; blanks around it and the case do not matter."""
     names = [channels] if isinstance(channels, str) else list(channels)
-    return df.filter(F.col("channel").isin(*names))
+    return df.filter(F.lower(F.trim("channel")).isin(*(n.strip().lower() for n in names)))
 
 
 def has_text(query: str) -> Column:

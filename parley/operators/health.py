@@ -12,9 +12,19 @@ from parley.operators.emotes import native_counts
 
 
 def text_counts(df: DataFrame, by=()) -> DataFrame:
-    """Uses per exact text."""
+    """Uses per exact text, which is known by its 256-bit hash: texts themselves are not shuffled."""
     by = keys(by)
-    return df.groupBy(*by, "text").agg(F.count("*").alias("uses"))
+    return df.groupBy(*by, tx.text_key("text").alias("text_key")).agg(F.count("*").alias("uses"))
+
+
+def with_texts(top: DataFrame, df: DataFrame, by=()) -> DataFrame:
+    """The texts of a short report, looked up by their hash."""
+    by = keys(by)
+    wanted = df.select(*by, tx.text_key("text").alias("text_key"), "text").join(
+        top.select(*by, "text_key"), [*by, "text_key"], "left_semi"
+    )
+    texts = wanted.groupBy(*by, "text_key").agg(F.first("text").alias("text"))
+    return top.join(texts, [*by, "text_key"])
 
 
 def duplicate_count(counts: DataFrame, by=()) -> DataFrame:
@@ -24,22 +34,23 @@ def duplicate_count(counts: DataFrame, by=()) -> DataFrame:
     )
 
 
-def top_repeated(counts: DataFrame, n: int = 20, by=()) -> DataFrame:
-    """The n most repeated texts; long ones are shown cut, but ranked whole."""
+def top_repeated(df: DataFrame, counts: DataFrame, n: int = 20, by=()) -> DataFrame:
+    """The n most repeated texts, whole; ties are settled by the hash."""
     by = keys(by)
-    top = top_k(counts.filter(F.col("uses") > 1), n, [F.desc("uses"), F.asc("text")], by)
-    return top.withColumn("text", tx.ellipsis("text", C.MAX_REPEAT_TEXT_LEN))
+    top = top_k(counts.filter(F.col("uses") > 1), n, [F.desc("uses"), F.asc("text_key")], by)
+    return with_texts(top, df, by).select(*by, "text", "uses")
 
 
 def self_repetition(df: DataFrame, by=(), cell: str = "1 minute") -> DataFrame:
     """Messages equal to the previous one of the same user, and their percentage.
 
-    Neighbours are compared inside (user, cell) groups; the first and last
-    message of each cell then meet in a table of one row per cell.
+    Neighbours are compared by the hash of their texts inside (user, cell)
+    groups; the first and last message of each cell then meet in a table of
+    one row per cell.
     """
     by = keys(by)
     inside = Window.partitionBy(*by, "user_id", "cell").orderBy("ts", "id")
-    rows = df.select(*by, "user_id", "text", "ts", "id", time_cell("ts", cell).alias("cell"))
+    rows = df.select(*by, "user_id", tx.text_key("text").alias("text"), "ts", "id", time_cell("ts", cell).alias("cell"))
     rows = rows.withColumn("same", F.col("text") == F.lag("text").over(inside)).withColumn(
         "place", F.row_number().over(inside)
     )
@@ -63,12 +74,19 @@ def self_repetition(df: DataFrame, by=(), cell: str = "1 minute") -> DataFrame:
 def copy_paste_events(df: DataFrame, by=(), window_s: int = C.COPY_PASTE_WINDOW_S, cell: str = "1 minute") -> DataFrame:
     """Per text: its uses, the quick reposts by another user, and everyone taking part.
 
-    A text is cut by time before its uses are put in order, so one text that
-    makes up a third of all messages is spread over the cells of the range.
+    Texts are known by their hash. Those with too few uses, or with one user,
+    are left out after a count that combines map-side. A text is cut by time
+    before its uses are put in order, so one text that makes up a third of
+    all messages is spread over the cells of the range.
     """
     by = keys(by)
     inside = Window.partitionBy(*by, "text", "cell").orderBy("ts", "id")
-    rows = df.select(*by, "text", "user_id", "ts", "id", time_cell("ts", cell).alias("cell"))
+    rows = df.select(*by, tx.text_key("text").alias("text"), "user_id", "ts", "id", time_cell("ts", cell).alias("cell"))
+    shared = rows.groupBy(*by, "text").agg(
+        F.count("*").alias("n"), F.min("user_id").alias("low"), F.max("user_id").alias("high")
+    )
+    shared = shared.filter((F.col("n") >= C.COPY_PASTE_MIN_OCCURRENCES) & (F.col("low") < F.col("high")))
+    rows = rows.join(shared.select(*by, "text"), [*by, "text"], "left_semi")
     use = F.struct("ts", "user_id")
     rows = rows.withColumn("prev", F.lag(use).over(inside)).withColumn("place", F.row_number().over(inside))
     handoff = (F.col("user_id") != F.col("prev.user_id")) & (
@@ -97,7 +115,7 @@ def copy_paste_events(df: DataFrame, by=(), window_s: int = C.COPY_PASTE_WINDOW_
     people = rows.filter(handoff).select(*by, "text", zero.alias("n"), zero.alias("events"), takers.alias("user_id"))
     return (
         border.unionByName(people)
-        .groupBy(*by, "text")
+        .groupBy(*by, F.col("text").alias("text_key"))
         .agg(
             F.sum("n").alias("uses"),
             F.sum("events").alias("occurrences"),
@@ -115,13 +133,11 @@ def copy_paste_summary(events: DataFrame, by=()) -> DataFrame:
     )
 
 
-def top_copy_paste_chains(events: DataFrame, n: int = C.COPY_PASTE_TOP_N, by=()) -> DataFrame:
-    """The n texts with the most reposts."""
+def top_copy_paste_chains(df: DataFrame, events: DataFrame, n: int = C.COPY_PASTE_TOP_N, by=()) -> DataFrame:
+    """The n texts with the most reposts, whole; ties are settled by the hash."""
     by = keys(by)
-    top = top_k(events, n, [F.desc("occurrences"), F.asc("text")], by)
-    return top.select(
-        *by, F.left("text", F.lit(C.MAX_CHAIN_TEXT_LEN)).alias("text"), "occurrences", "distinct_users"
-    )
+    top = top_k(events, n, [F.desc("occurrences"), F.asc("text_key")], by)
+    return with_texts(top, df, by).select(*by, "text", "occurrences", "distinct_users")
 
 
 def non_ascii(df: DataFrame, by=()) -> DataFrame:
@@ -140,13 +156,11 @@ def _class_tokens() -> Column:
     return F.array_distinct(F.transform(tx.emote_tokens(bare), F.lower))
 
 
-def emote_only(df: DataFrame, catalog: DataFrame | None = None, by=(), inline_names: int = 10_000) -> DataFrame:
+def emote_only(df: DataFrame, catalog: DataFrame | None = None, by=()) -> DataFrame:
     """Messages made of emotes alone: every token a known name, and at least one emote.
 
-    Known names are the native emotes of the same messages and the catalog.
-    Without keys, up to ``inline_names`` of them become a set inside the
-    expression, after fetching no more than that many; otherwise, and per key,
-    names of any number are matched with joins.
+    Known names are the native emotes of the same messages and the catalog;
+    both meet the distinct token sets in ordinary joins.
     """
     by = keys(by)
     seen = native_counts(df, by).select(*by, F.lower("name").alias("token")).distinct()
@@ -156,13 +170,6 @@ def emote_only(df: DataFrame, catalog: DataFrame | None = None, by=(), inline_na
         listed = catalog.select(*scope, F.lower("name").alias("token")).distinct()
     native = F.coalesce(F.contains("emotes_tag", F.lit(":")), F.lit(False))
     rows = df.select(*by, _class_tokens().alias("tokens"), native.alias("native"))
-    if not by:
-        known = seen if listed is None else seen.union(listed).distinct()
-        names = [r[0] for r in known.limit(inline_names + 1).collect()]
-        if len(names) <= inline_names:
-            familiar = F.forall("tokens", lambda t: t.isin(*names)) if names else F.size("tokens") == 0
-            some = F.col("native") | (F.size("tokens") > 0)
-            return rows.agg(F.count_if(familiar & some).alias("emote_only"))
     return _emote_only_by_join(rows, seen, listed, scope, by)
 
 
@@ -195,7 +202,7 @@ def _emote_only_by_join(rows: DataFrame, seen: DataFrame, listed: DataFrame | No
     return counted.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("emote_only"))
 
 
-def message_classes(df: DataFrame, catalog: DataFrame | None = None, by=(), inline_names: int = 10_000) -> DataFrame:
+def message_classes(df: DataFrame, catalog: DataFrame | None = None, by=()) -> DataFrame:
     """Questions, exclamations, all capitals, emotes only, short and long messages."""
     by = keys(by)
     ended = tx.strip_end("text")
@@ -208,10 +215,10 @@ def message_classes(df: DataFrame, catalog: DataFrame | None = None, by=(), inli
         F.count_if(length <= C.SHORT_MESSAGE_LEN).alias("short_messages"),
         F.count_if(length >= C.LONG_MESSAGE_LEN).alias("long_messages"),
     )
-    return attach(shapes, emote_only(df, catalog, by, inline_names), by, ["emote_only"])
+    return attach(shapes, emote_only(df, catalog, by), by, ["emote_only"])
 
 
-def checks(df: DataFrame, by=(), arrival: str | None = None) -> DataFrame:
+def checks(df: DataFrame, by=(), arrival: str | None = None, block: int = 1_000_000) -> DataFrame:
     """Data-quality checks, one row each: name, whether it failed, and the figures behind it.
 
     Order of arrival is only known when a column for it is given; time going
@@ -229,7 +236,7 @@ def checks(df: DataFrame, by=(), arrival: str | None = None) -> DataFrame:
     base = df.groupBy(*by).agg(*figures)
     back = F.lit(None).cast("bigint")
     if arrival is not None:
-        base = attach(base, _backsteps(df, by, arrival), by, ["backsteps"])
+        base = attach(base, _backsteps(df, by, arrival, block), by, ["backsteps"])
         back = F.coalesce("backsteps", F.lit(0))
     mean = F.coalesce(F.round("avg_length", 2), F.lit(0.0)).cast("string")
     number = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
@@ -251,15 +258,14 @@ def checks(df: DataFrame, by=(), arrival: str | None = None) -> DataFrame:
     return base.select(*by, F.inline(table))
 
 
-def _backsteps(df: DataFrame, by, arrival: str) -> DataFrame:
+def _backsteps(df: DataFrame, by, arrival: str, block: int) -> DataFrame:
     """Neighbours in arrival order whose time goes back by a second or more.
 
-    Arrival numbers are cut into blocks; only the edges of blocks meet in one
-    ordered table, which is a millionth of the messages.
+    Arrival numbers are cut into blocks of ``block`` numbers; only the edges
+    of blocks meet in one ordered table.
     """
-    block = F.floor(F.col(arrival) / 1_000_000)
     inside = Window.partitionBy(*by, "block").orderBy(arrival)
-    rows = df.select(*by, arrival, "ts", block.alias("block"))
+    rows = df.select(*by, arrival, "ts", F.floor(F.col(arrival) / block).alias("block"))
     rows = rows.withColumn("back", seconds_between(F.lag("ts").over(inside), F.col("ts")) < 0)
     blocks = rows.groupBy(*by, "block").agg(
         F.count_if("back").alias("back"),

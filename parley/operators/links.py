@@ -25,7 +25,7 @@ def messages_with_links(df: DataFrame, by=()) -> DataFrame:
 
 
 def top_urls(counts: DataFrame, n: int = 20, by=()) -> DataFrame:
-    """The n most pasted URLs (``n=MAX_ALL_URLS`` gives the long list)."""
+    """The n most pasted URLs; the count table itself is the whole list."""
     return top_k(counts, n, [F.desc("uses"), F.asc("url")], keys(by))
 
 

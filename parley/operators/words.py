@@ -45,7 +45,10 @@ def vocabulary(counts: DataFrame, by=()) -> DataFrame:
 
 
 def zipf_slope(counts: DataFrame, by=()) -> DataFrame:
-    """Slope of ln(count) over ln(rank) for the thousand most used words; null below ten words."""
+    """Slope of ln(count) over ln(rank) for the thousand most used words; null below ten words.
+
+    The head of a thousand is part of the definition of this figure.
+    """
     by = keys(by)
     head = top_words(counts, C.ZIPF_MAX_RANK, by)
     ranked = head.withColumn("rank", F.row_number().over(partition(by).orderBy(F.desc("uses"), F.asc("word"))))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley import constants as C
 from parley.functions.core import complete, keys, top_k
 from parley.operators import activity as act
-from parley.operators import anomalies, bots, cohorts, concentration, emotes, health, language, links, mentions
+from parley.operators import anomalies, bots, cohorts, concentration, emotes, health, links, mentions
+from parley.operators import language as lang
 from parley.operators import overview, roles, sessions, temporal, words
 from parley.operators.filters import filter_user
 from parley.plans.params import Params
@@ -63,7 +64,7 @@ class Shared:
 
     @property
     def pair_counts(self):
-        return self._once("pair_counts", lambda: emotes.pair_counts(self.df, self.by))
+        return self._once("pair_counts", lambda: emotes.pair_counts(self.df, self.by, C.MAX_EMOTES_PER_MSG))
 
     @property
     def word_counts(self):
@@ -107,10 +108,10 @@ def chat_stats(
     catalog: DataFrame | None = None,
     by=(),
     all_urls: bool = True,
-    detector=None,
+    language: Column | str | None = None,
     shared: Shared | None = None,
 ) -> dict[str, DataFrame]:
-    """All selected sections. Nothing runs until a section is read, so unread sections cost nothing.
+    """All selected sections; those on languages need a column that holds them. Nothing runs until a section is read, so unread sections cost nothing.
 
     The user filter comes first. ``by=("channel",)`` gives every section per
     channel in one pass instead of one run per channel.
@@ -156,6 +157,7 @@ def chat_stats(
         out["subscriber_count"] = every(roles.subscriber_count(s.rollup, by), "subscriber_count")
     if params.on("emote_pairs"):
         out["emote_pairs"] = emotes.top_emote_pairs(s.pair_counts, n, by)
+        out["emote_pairs_left_out"] = emotes.messages_above(df, C.MAX_EMOTES_PER_MSG, by)
     if params.on("emote_centrality"):
         out["emote_centrality"] = emotes.emote_centrality(s.pair_counts, n, by)
     if params.on("emote_entropy"):
@@ -170,7 +172,7 @@ def chat_stats(
         out["unique_urls"] = every(links.unique_urls(s.url_counts, by), "unique_url_count")
         out["platform_links"] = every(links.platform_links(s.url_counts, by), *C.PLATFORM_RES, "other")
         if all_urls:
-            out["all_urls"] = links.top_urls(s.url_counts, C.MAX_ALL_URLS, by)
+            out["all_urls"] = s.url_counts
     if params.on("mentions"):
         out["messages_with_mentions"] = mentions.messages_with_mentions(df, by)
         out["top_mentions"] = mentions.top_mentions(s.edge_counts, n, by)
@@ -181,7 +183,7 @@ def chat_stats(
         out["mutual_mentions"] = mentions.mutual_mentions(s.edge_counts, n, by)
     if params.on("duplicates"):
         out["duplicate_count"] = health.duplicate_count(s.text_counts, by)
-        out["top_repeated"] = health.top_repeated(s.text_counts, n, by)
+        out["top_repeated"] = health.top_repeated(df, s.text_counts, n, by)
     if params.on("sessions"):
         out["sessions"] = sessions.sessions(df, params.session_gap_minutes, by)
     if params.on("concentration"):
@@ -195,20 +197,20 @@ def chat_stats(
     if params.on("new_returning"):
         out["new_returning"] = temporal.new_returning(s.rollup, by)
     if params.on("anomalies"):
-        out["anomalies"] = anomalies.anomalies(s.bins, params.anomaly_sigma, by)
-    if params.on("language"):
-        out["language_breakdown"] = language.language_breakdown(df, detector, by)
+        out["anomalies"] = anomalies.anomalies(s.bins, params.anomaly_sigma, by, C.MAX_ANOMALIES)
+    if params.on("language") and language is not None:
+        out["language_breakdown"] = lang.language_breakdown(df, language, by)
         if params.on("language_by_day"):
-            out["language_by_day"] = language.language_by_day(df, detector, by)
+            out["language_by_day"] = lang.language_by_day(df, language, by)
     if params.on("copy_paste_chains"):
         out["copy_paste_summary"] = every(
             health.copy_paste_summary(s.copy_paste, by), "cross_user_copy_paste_count", "cross_user_copy_paste_texts"
         )
-        out["copy_paste_chains"] = health.top_copy_paste_chains(s.copy_paste, by=by)
+        out["copy_paste_chains"] = health.top_copy_paste_chains(df, s.copy_paste, by=by)
     if params.on("length_trend"):
         out["length_trend"] = anomalies.length_trend(s.rollup, by)
     if params.on("cohort_retention"):
-        out["cohort_retention"] = cohorts.cohort_retention(s.rollup, by)
+        out["cohort_retention"] = cohorts.cohort_retention(s.rollup, by, C.COHORT_MAX_WEEKS, C.COHORT_MAX_WEEKS)
     if params.on("bot_scores"):
         out["bot_scores"] = bots.bot_scores(df, by=by)
     if params.on("quote_replies"):

@@ -16,6 +16,7 @@ from parley.functions.core import time_cell
 from parley.operators import anomalies, bots, browse, cohorts, concentration, emotes, filters, health, language
 from parley.operators import links, mentions, overview, roles, sessions, temporal, words
 from parley.plans import bundle, channels, compare, export
+from parley.plans.run import report
 from parley.plans.params import Params, default_sections, preset_sections
 from parley.session import shared_folder
 from parley.sources import catalog as cat
@@ -345,7 +346,7 @@ def top_urls(i):
 
 @query
 def all_urls(i):
-    return links.top_urls(links.url_counts(i.messages), C.MAX_ALL_URLS)
+    return links.url_counts(i.messages)
 
 
 @query
@@ -433,7 +434,7 @@ def duplicate_count(i):
 
 @query
 def top_repeated(i):
-    return health.top_repeated(health.text_counts(i.messages), 20)
+    return health.top_repeated(i.messages, health.text_counts(i.messages), 20)
 
 
 @query
@@ -453,12 +454,12 @@ def copy_paste_summary(i):
 
 @query
 def copy_paste_chains(i):
-    return health.top_copy_paste_chains(health.copy_paste_events(i.messages))
+    return health.top_copy_paste_chains(i.messages, health.copy_paste_events(i.messages))
 
 
 @query
 def copy_paste_chains_slow(i):
-    return health.top_copy_paste_chains(health.copy_paste_events(i.messages, window_s=7200), 50)
+    return health.top_copy_paste_chains(i.messages, health.copy_paste_events(i.messages, window_s=7200), 50)
 
 
 @query
@@ -473,7 +474,7 @@ def message_classes(i):
 
 @query
 def message_classes_by_join(i):
-    return health.message_classes(i.messages, i.names, inline_names=0)
+    return health.message_classes(i.messages, i.names)
 
 
 @query
@@ -495,12 +496,12 @@ def arrival_checks(i):
 
 @query
 def language_breakdown(i):
-    return language.language_breakdown(i.with_lang, F.col("lang"))
+    return language.language_breakdown(i.with_lang, "lang")
 
 
 @query
 def language_by_day(i):
-    return language.language_by_day(i.with_lang, F.col("lang"))
+    return language.language_by_day(i.with_lang, "lang")
 
 
 # --- several sections, channels, periods --------------------------------------------------------
@@ -808,7 +809,7 @@ def channel_logs(i):
 
 @query
 def channel_logs_deep(i):
-    return _shown(browse.channel_logs(i.messages, "ch0", limit=100, offset=1500, reverse=True, shallow=100))
+    return _shown(browse.channel_logs(i.messages, "ch0", limit=100, offset=1500, reverse=True))
 
 
 @query
@@ -842,7 +843,14 @@ def merged_pages(i):
     rows = i.messages.withColumn("id", F.when(F.col("user_id") != "5", F.col("id")))
     first = rows.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
     second = rows.filter(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))
-    return _counted(browse.merge_pages(first, second))
+    return _shown(browse.merge_pages(first, second))
+
+
+@query
+def random_without_ids(i):
+    """A draw from messages of which every third has no id."""
+    rows = i.messages.withColumn("id", F.when(F.substr("id", F.lit(2)).cast("bigint") % 3 != 0, F.col("id")))
+    return _shown(browse.random_channel(rows, " CH2 ", 20, seed=7))
 
 
 @query
@@ -904,6 +912,39 @@ def stored_months(i):
     return _counted(store.read_store(i.spark, root, ["CH0", "ch2"], datetime(2024, 1, 5), datetime(2024, 1, 28)))
 
 
+@query
+def merged_last_arrival(i):
+    """A store after merges in which an id comes several times at one time; the last arrived copy stays."""
+    root = i.scratch("arrivals")
+    rows = i.messages.filter(F.col("user_id").cast("int") % 4 == 1).withColumn("came", F.lit(1))
+    again = rows.withColumn("text", F.concat(F.lit("zzz "), "role")).withColumn("came", F.lit(2))
+    last = rows.withColumn("text", F.concat(F.lit("aaa "), "role")).withColumn("came", F.lit(3))
+    store.merge_store(i.spark, root, filters.slice_window(rows, "2024-01-01", "2024-01-10"), arrival="came")
+    store.merge_store(i.spark, root, last.unionByName(rows).unionByName(again), arrival="came")
+    found = store.read_store(i.spark, root, CHANNELS, datetime(2024, 1, 1), datetime(2025, 1, 1))
+    return found.groupBy("channel", "text").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+
+
+@query
+def raw_files(i):
+    """Records written as lines, every tenth one broken, and read back: per channel, and the lines that are none."""
+    path = i.scratch("lines")
+    lines = i.records.withColumn("line", F.to_json(F.struct(*i.records.columns)))
+    broken = F.substr("id", F.lit(2)).cast("bigint") % 10 == 3
+    lines.select(F.when(broken, F.left("line", F.lit(40))).otherwise(F.col("line")).alias("value")).write.text(path)
+    good = rec.read_messages(i.spark, path).groupBy("channel").agg(F.count("*").alias("n"))
+    bad = rec.unreadable_lines(i.spark, path).agg(F.count("*").alias("n")).select(F.lit("unreadable").alias("channel"), "n")
+    return good.unionByName(bad)
+
+
+@query
+def run_any_case(i):
+    """The totals of a whole run for a channel whose name is written in another case."""
+    parts = report(i.messages, Params(*CURRENT, channels=(" CH0 ",)))
+    totals = parts["pooled"]["overview"]
+    return totals.withColumns({c: F.round(c, 6) for c in ("avg_message_length", "avg_words_per_message")})
+
+
 def _bins_as_intervals(i, minutes: int) -> DataFrame:
     start = time_cell("ts", f"{minutes} minutes")
     return i.messages.select(F.col("channel"), start.alias("cov_from")).distinct().withColumn(

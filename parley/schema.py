@@ -19,6 +19,8 @@ RAW = T.StructType(
         T.StructField("raw", T.StringType()),
     ]
 )
+#: Raw records with a place for lines that are none.
+RAW_OR_CORRUPT = T.StructType([*RAW.fields, T.StructField("_corrupt_record", T.StringType())])
 RAW_ENVELOPE = T.StructType([T.StructField("messages", T.ArrayType(RAW))])
 
 MESSAGES = T.StructType(

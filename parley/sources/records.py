@@ -7,19 +7,34 @@ from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.functions.core import keys
-from parley.schema import MESSAGES, RAW, RAW_ENVELOPE
+from parley.schema import MESSAGES, RAW, RAW_ENVELOPE, RAW_OR_CORRUPT
+
+
+def read_lines(spark: SparkSession, path) -> DataFrame:
+    """Raw records of files with one per line, and in ``_corrupt_record`` the lines that are none.
+
+    How many rows there are does not depend on the columns that are read: each line is parsed as text.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = F.from_json("value", RAW_OR_CORRUPT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return lines.select(parsed.alias("r")).select("r.*")
 
 
 def read_messages(spark: SparkSession, path, envelope: bool = False) -> DataFrame:
     """Raw records from JSON files: one record per line, or ``{"messages": [...]}`` documents.
 
-    Unreadable lines are kept out of the result, not fatal. Line files split
+    Lines that are no record are in ``unreadable_lines``. Line files split
     freely; an envelope is one document per file and is read whole by a task.
     """
     if envelope:
         docs = spark.read.schema(RAW_ENVELOPE).option("multiLine", True).json(path)
         return docs.select(F.inline("messages"))
-    return spark.read.schema(RAW).option("mode", "DROPMALFORMED").json(path)
+    return read_lines(spark, path).filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+
+
+def unreadable_lines(spark: SparkSession, path) -> DataFrame:
+    """The lines of record files that are no record."""
+    return read_lines(spark, path).filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
 
 
 def parse_records(df: DataFrame, column: str = "value") -> DataFrame:

@@ -22,13 +22,9 @@ def _joined(spark: SparkSession, folder: str) -> DataFrame:
     doc_count = documents.agg(F.count("*")).scalar()
     page_count = pages.agg(F.count("*")).scalar()
     docs = documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"), "lang")
-    # Narrow rows first: the long texts join last and are not shuffled again. The partitioning is the one
-    # that join needs; a fixed number keeps the text work spread over all cores when the tables are small. A
-    # setting above Spark's default of 200 was chosen for the data and is kept.
+    # Narrow rows first: the long texts join last and are not shuffled again.
     rows = events.withColumn("page_id", F.col("n") % page_count).join(pages.select("page_id", "url"), "page_id")
-    chosen = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2 * spark.sparkContext.defaultParallelism, chosen if chosen > 200 else 0)
-    return rows.withColumn("doc_id", F.col("n") % doc_count).repartition(parts, "doc_id").join(docs, "doc_id")
+    return rows.withColumn("doc_id", F.col("n") % doc_count).join(docs, "doc_id")
 
 
 def messages(spark: SparkSession, folder: str, keep=()) -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -31,11 +32,13 @@ def _with_partitions(df: DataFrame, id_type: str) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame | None:
-    """The whole store, or None before the first merge."""
+    """The whole store, or None before the first merge; any other fault is raised."""
     schema = T.StructType([*MESSAGES.fields, *[T.StructField(c, T.StringType()) for c in PARTITIONS]])
     try:
         return spark.read.schema(schema).parquet(location(root))
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
@@ -51,25 +54,47 @@ def read_store(spark: SparkSession, root: str, channels, start, end, id_type: st
     return slice_window(rows, start, end)
 
 
-def merge_store(spark: SparkSession, root: str, new: DataFrame, id_type: str = "channel") -> None:
+def _months(table: DataFrame) -> Column:
+    """The partitions of a small staged table as a filter: one test per channel, over its months."""
+    found = table.groupBy("channel_key").agg(F.collect_set("year_month").alias("months")).collect()
+    tests = [(F.col("channel_key") == r.channel_key) & F.col("year_month").isin(*r.months) for r in found]
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def merge_store(
+    spark: SparkSession,
+    root: str,
+    new: DataFrame,
+    id_type: str = "channel",
+    arrival: str | None = None,
+    stage: str | None = None,
+) -> None:
     """Add messages to the months they fall in; a message already there is replaced by the new one.
 
-    Touched months are written to a staging folder first, because a table
-    cannot be overwritten while it is read, and then replace their partitions.
+    Of several new copies of one id the last arrived stays: ``arrival`` names
+    the column that orders them, and without it the order of the rows counts.
+    The new rows are staged by month; the months found there become partition
+    filters on the store, so only these are read, and their merged rows
+    replace them. ``stage`` is a folder that all executors share (by default
+    one below spark.checkpoint.dir); what is staged there is removed at the end.
     Rebalancing splits a month that is far larger than the others over many
     files and puts small months together. Merging the same messages twice
     changes nothing.
     """
-    stage = f"{shared_folder(spark)}/parley-stage-{uuid.uuid4().hex}"
-    fresh = _with_partitions(new.select(*MESSAGES.fieldNames()), id_type).withColumn("__new", F.lit(1))
+    folder = f"{(stage or shared_folder(spark)).rstrip('/')}/parley-stage-{uuid.uuid4().hex}"
+    came = F.monotonically_increasing_id() if arrival is None else F.col(arrival)
+    fresh = _with_partitions(new.select(*MESSAGES.fieldNames(), came.alias("__came")), id_type)
+    order = [F.col("__came"), F.col("ts"), tx.text_key("text")]
+    fresh.write.partitionBy(*PARTITIONS).parquet(f"{folder}/new")
+    fresh = spark.read.schema(fresh.schema).parquet(f"{folder}/new")
+    merged = dedupe_by_id(fresh, order).withColumn("__new", F.lit(1)).drop("__came")
     stored = scan(spark, root)
     if stored is not None:
-        touched = fresh.select(*PARTITIONS).distinct()
-        kept = stored.join(touched, list(PARTITIONS), "left_semi").withColumn("__new", F.lit(0))
-        fresh = kept.select(*fresh.columns).unionByName(fresh)
-    merged = dedupe_by_id(fresh, [F.col("__new"), F.col("ts"), F.col("text")]).drop("__new")
-    merged.write.mode("overwrite").parquet(stage)
-    staged = spark.read.schema(merged.schema).parquet(stage)
+        kept = stored.filter(_months(fresh.select(*PARTITIONS).distinct())).withColumn("__new", F.lit(0))
+        merged = dedupe_by_id(kept.select(*merged.columns).unionByName(merged), [F.col("__new")])
+    merged = merged.drop("__new")
+    merged.write.parquet(f"{folder}/merged")
+    staged = spark.read.schema(merged.schema).parquet(f"{folder}/merged")
     (
         staged.hint("rebalance", *PARTITIONS)
         .write.mode("overwrite")
@@ -77,3 +102,5 @@ def merge_store(spark: SparkSession, root: str, new: DataFrame, id_type: str = "
         .partitionBy(*PARTITIONS)
         .parquet(location(root))
     )
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -13,18 +13,17 @@ from pyspark.sql.streaming import StreamingQuery
 
 from parley import constants as C
 from parley.functions import text as tx
-from parley.schema import RAW
-from parley.sources.records import normalize_messages
+from parley.sources.records import normalize_messages, parse_records
 
 LATENESS = f"{C.REFRESH_OVERLAP_MINUTES} minutes"
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Raw records arriving as JSON-lines files, as messages."""
-    reader = spark.readStream.schema(RAW).option("mode", "DROPMALFORMED")
+    reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return normalize_messages(reader.json(path))
+    return normalize_messages(parse_records(reader.text(path)))
 
 
 def _timed(messages: DataFrame) -> DataFrame:

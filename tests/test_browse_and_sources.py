@@ -100,12 +100,10 @@ def test_user_and_window_filters(chat):
 
 @pytest.mark.parametrize("reverse", [False, True])
 @pytest.mark.parametrize("limit,offset", [(3, 0), (4, 5), (10, 17), (5, 40)])
-def test_pages_deep_and_shallow(chat, reverse, limit, offset):
+def test_pages(chat, reverse, limit, offset):
     m = chat(*[("u", "x", 40 * (i // 2)) for i in range(20)])
     want = [f"m{i:04d}" for i in (reversed(range(20)) if reverse else range(20))][offset : offset + limit]
-    for shallow in (10_000, 0):
-        got = browse.page(m, limit, offset, reverse, shallow=shallow)
-        assert sorted(r.id for r in got.collect()) == sorted(want)
+    assert sorted(r.id for r in browse.page(m, limit, offset, reverse).collect()) == sorted(want)
     with pytest.raises(ValueError):
         browse.page(m, 1001)
 
@@ -131,6 +129,14 @@ def test_browse_queries(chat):
 def test_overlapping_pages_merge(chat):
     a = chat(("u", "x", 0), ("u", "x", 1, {"id": None}), ("u", "y", 1, {"id": ""}))
     assert browse.merge_pages(a, a).count() == 3
+    edited = a.filter("id = 'm0000'").withColumn("text", F.lit("edited"))
+    assert [r.text for r in browse.merge_pages(a, edited).collect()] == ["edited", "x", "y"]
+
+
+def test_a_draw_does_not_prefer_messages_without_id(chat):
+    m = chat(*[("u", f"t{i}", i, {"id": None} if i < 2 else {}) for i in range(20)])
+    drawn = [{r.text for r in browse.random_channel(m, " CHAN", 2, seed=s).collect()} for s in range(6)]
+    assert any(d != {"t0", "t1"} for d in drawn) and len({frozenset(d) for d in drawn}) > 1
 
 
 def test_store_merges_are_idempotent_and_pruned(spark, chat, tmp_path):
@@ -151,6 +157,23 @@ def test_store_merges_are_idempotent_and_pruned(spark, chat, tmp_path):
     assert "GreaterThanOrEqual(ts" in scan.split("PushedFilters: ")[1]
 
 
+def test_the_last_arrived_copy_stays_and_the_stage_is_removed(spark, chat, tmp_path):
+    root, stage = str(tmp_path / "store"), tmp_path / "stage"
+    m = chat(("u", "zzz first", 0, {"id": "a"}), ("u", "aaa last", 0, {"id": "a"}))
+    came = m.withColumn("came", F.when(F.col("text") == "aaa last", 2).otherwise(1))
+    store.merge_store(spark, root, came, arrival="came", stage=str(stage))
+    assert rows(store.scan(spark, root), "text") == [("aaa last",)]
+    store.merge_store(spark, root, came.withColumn("came", -F.col("came")), arrival="came", stage=str(stage))
+    assert rows(store.scan(spark, root), "text") == [("zzz first",)]
+    assert list(stage.iterdir()) == []
+
+
+def test_unreadable_lines_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "text": "x"}\nnot json\n\n{"id": "2", "te')
+    assert records.read_messages(spark, str(tmp_path)).count() == len(records.read_messages(spark, str(tmp_path)).collect()) == 1
+    assert rows(records.unreadable_lines(spark, str(tmp_path))) == [("not json",), ('{"id": "2", "te',)]
+
+
 def test_merging_one_month_leaves_the_others(spark, chat, tmp_path):
     root = str(tmp_path / "store")
     store.merge_store(spark, root, chat(("u", "a", datetime(2024, 1, 5)), ("u", "b", datetime(2024, 2, 5))))
