@@ -120,8 +120,8 @@ def _block(part: int, number: int, docs: list[tuple[int | None, bytes]]) -> pa.R
     return pa.record_batch(columns, list(row))
 
 
-def blocks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """The rows of the files."""
+def blocks(docs: DataFrame, vocabulary: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """The rows of the files; a block ends with the document that brings it to ``block_ids``."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +133,7 @@ def blocks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 for key, ids in zip(keys[at:], own.encode_all(texts)):
                     held.append((key, ids + end))
                     size += len(held[-1][1]) // 4
-                    if size >= BLOCK_IDS:
+                    if size >= block_ids:
                         yield _block(part, number, held)
                         number, held, size = number + 1, [], 0
         if held:
@@ -144,9 +144,9 @@ def blocks(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     return in_arrow(rows.repartitionByRange(*order).sortWithinPartitions(*order), run, FILES)
 
 
-def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str) -> None:
+def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str, block_ids: int = BLOCK_IDS) -> None:
     """Write the files below a folder that all executors share."""
-    blocks(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(folder)
+    blocks(docs, vocabulary, end_id, block_ids).write.option("compression", "zstd").parquet(folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
