@@ -631,6 +631,31 @@ SECTIONS = {
     "top_mention_pairs": "top_mention_pairs", "duplicate_count": "duplicate_count", "top_repeated": "top_repeated",
     "sessions": "session_summary", "message_classes": "message_classes",
 }
+#: Columns that a section has besides those of its query, or the other way round.
+ONLY = {"messages_with_links": "messages_with_links", "unique_urls": "unique_url_count"}
+
+
+def _values(section: str, body: str) -> str:
+    """The cells of a result as (section, key, value), numbers in thousandths."""
+    picked = ONLY.get(section, "*")
+    return f"""SELECT '{section}' AS section, key, CASE
+    WHEN regexp_matches(value, '^-?[0-9]+([.][0-9]+)?([eE]-?[0-9]+)?$')
+    THEN CAST(CAST(floor(CAST(value AS DOUBLE) * 1000 + 0.5) AS BIGINT) AS VARCHAR)
+    ELSE replace(regexp_replace(value, '^\\[|\\]$', '', 'g'), ', ', ',') END AS value
+  FROM (UNPIVOT (SELECT coalesce(CAST(COLUMNS(*) AS VARCHAR), '(null)') FROM (SELECT {picked} FROM ({body})))
+        ON COLUMNS(*) INTO NAME key VALUE value)"""
+
+
+#: A run looks at the URLs of the messages alone, and ends a session after 15 minutes.
+RUN = {
+    "platform_links": q(f"SELECT {_platforms('url', C.PLATFORM_RES)} FROM (SELECT lower(url) AS url FROM url_rows)", URLS),
+    "sessions": ORACLE["session_summary"].replace("< 7200 THEN", "< 900 THEN"),
+}
+ORACLE["chat_stats"] = (
+    "SELECT section, key, value, count(*) AS n FROM ("
+    + " UNION ALL ".join(_values(section, RUN.get(section, ORACLE[name])) for section, name in SECTIONS.items())
+    + ") GROUP BY ALL"
+)
 ORACLE["chat_stats_sizes"] = " UNION ALL ".join(
     f"SELECT '{section}' AS section, count(*) AS n FROM ({ORACLE[name]})" for section, name in SECTIONS.items()
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley import constants as C
@@ -19,23 +19,47 @@ def native_counts(df: DataFrame, by=()) -> DataFrame:
     return names.groupBy(*by, "name").agg(F.count("*").alias("uses"))
 
 
-def emote_counts(df: DataFrame, catalog: DataFrame | None = None, by=()) -> DataFrame:
+def token_counts(df: DataFrame, by=()) -> DataFrame:
+    """Per token: how often it is a native emote, a token of the text and a word of the cleaned text.
+
+    One pass over the messages and one shuffle, with map-side combine; emote
+    counts and word counts are both read from it. Within a plan the filters on
+    its counts leave the aggregate as it is, so Spark runs it once.
+    """
+    by = keys(by)
+
+    def marked(names: Column, kind: str) -> Column:
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(kind).alias("kind")))
+
+    native = F.when(F.length("emotes_tag") > 0, tx.parse_emotes("emotes_tag", "text"))
+    native = F.coalesce(native, F.array().cast("array<string>"))
+    each = F.concat(marked(native, "native"), marked(tx.emote_tokens("text"), "token"), marked(tx.words("text"), "word"))
+    tokens = df.select(*by, F.inline(F.coalesce(each, F.array().cast("array<struct<name:string,kind:string>>"))))
+    counts = [F.count_if(F.col("kind") == k).alias(f"{k}_uses") for k in ("native", "token", "word")]
+    return tokens.groupBy(*by, "name").agg(*counts)
+
+
+def emote_counts(df: DataFrame, catalog: DataFrame | None = None, by=(), counts: DataFrame | None = None) -> DataFrame:
     """Native emotes plus catalog names found as tokens of the text.
 
     Names already seen as native emotes are not counted a second time from
     the text. Tokens are counted before they meet the catalog, so a token in
-    a third of all messages is combined map-side first.
+    a third of all messages is combined map-side first. ``counts`` is the
+    table of ``token_counts`` where it is at hand.
     """
     by = keys(by)
-    native = native_counts(df, by)
     if catalog is None:
-        return native
+        return native_counts(df, by) if counts is None else _natives(counts, by)
+    counts = token_counts(df, by) if counts is None else counts
     scope = [c for c in by if c in catalog.columns]
     known = catalog.select(*scope, "name").distinct()
-    tokens = df.select(*by, F.explode(tx.emote_tokens("text")).alias("name"))
-    listed = tokens.groupBy(*by, "name").agg(F.count("*").alias("uses")).join(known, [*scope, "name"], "left_semi")
-    extra = listed.join(native.select(*by, "name"), [*by, "name"], "left_anti")
-    return native.unionByName(extra)
+    listed = counts.filter((F.col("token_uses") > 0) & (F.col("native_uses") == 0))
+    listed = listed.select(*by, "name", F.col("token_uses").alias("uses")).join(known, [*scope, "name"], "left_semi")
+    return _natives(counts, by).unionByName(listed)
+
+
+def _natives(counts: DataFrame, by) -> DataFrame:
+    return counts.filter(F.col("native_uses") > 0).select(*by, "name", F.col("native_uses").alias("uses"))
 
 
 def top_emotes(df: DataFrame, catalog: DataFrame | None = None, n: int = 50, by=()) -> DataFrame:

@@ -10,6 +10,10 @@ from parley.functions import text as tx
 from parley.functions.core import keys, seconds_between, time_cell, top_k
 
 
+#: Seconds of a cell of the search for replies, at most.
+CELL_S = 900
+
+
 def mention_edges(df: DataFrame, by=()) -> DataFrame:
     """One row per mention of somebody else: who, whom, when."""
     by = keys(by)
@@ -80,21 +84,26 @@ def mutual_mentions(edges: DataFrame, n: int = 20, by=()) -> DataFrame:
 def replies(df: DataFrame, by=(), window_s: int = C.REPLY_WINDOW_S) -> DataFrame:
     """Mentions of somebody whose latest message at or before the mention is recent.
 
-    An as-of join with a tolerance. Time is cut into cells one second longer
-    than the tolerance, so the wanted message is in the cell of the mention or
-    is the last one of the cell before; that one row per (user, cell) is
-    carried over. The search then runs inside (user, cell) groups, which splits
-    a user who wrote, or is mentioned in, a third of all messages by time.
+    An as-of join with a tolerance. Only messages of mentioned users take part.
+    Time is cut into cells of at most ``CELL_S`` seconds; the last message of
+    each (user, cell) is carried into as many later cells as the tolerance
+    reaches, so the wanted message is always in the cell of the mention. The
+    search then runs inside (user, cell) groups, which splits a user who
+    wrote, or is mentioned in, a third of all messages by time.
     """
     by = keys(by)
-    width = window_s + 1
+    width = min(window_s + 1, CELL_S)
+    reach = -(-(window_s + 1) // width)
     cell = time_cell("ts", f"{width} seconds")
     mentions = mention_edges(df, by).select(
         *by, F.col("to_user").alias("target"), cell.alias("cell"), "ts", F.lit(1).alias("side"), "from_user"
     )
     own = df.select(*by, F.lower("username").alias("target"), cell.alias("cell"), "ts")
+    own = own.join(mentions.select(*by, "target").distinct(), [*by, "target"], "left_semi")
     carried = own.groupBy(*by, "target", "cell").agg(F.max("ts").alias("ts"))
-    carried = carried.withColumn("cell", F.col("cell") + F.expr(f"interval {width} seconds"))
+    later = F.explode(F.sequence(F.lit(1), F.lit(reach))).alias("k")
+    carried = carried.select(*by, "target", "cell", "ts", later)
+    carried = carried.withColumn("cell", F.timestamp_add("SECOND", F.col("k") * width, F.col("cell"))).drop("k")
     targets = own.unionByName(carried).withColumn("side", F.lit(0)).withColumn("from_user", F.lit(None).cast("string"))
     upto = (
         Window.partitionBy(*by, "target", "cell")

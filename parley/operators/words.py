@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from parley import constants as C
 from parley.functions import text as tx
 from parley.functions.core import keys, partition, top_k
+from parley.operators.emotes import emote_counts
 
 
 def word_counts(df: DataFrame, seen: DataFrame | None = None, by=(), stop=C.STOPWORDS) -> DataFrame:
@@ -27,6 +28,15 @@ def word_counts(df: DataFrame, seen: DataFrame | None = None, by=(), stop=C.STOP
     return counts.join(ignored, [*scope, "word"], "left_anti")
 
 
+def words_apart(counts: DataFrame, catalog: DataFrame | None = None, by=(), stop=C.STOPWORDS) -> DataFrame:
+    """Word counts without stopwords and without emotes, from the table of ``emotes.token_counts``."""
+    by = keys(by)
+    words = counts.filter((F.col("word_uses") > 0) & ~F.col("name").isin(*stop))
+    words = words.select(*by, F.col("name").alias("word"), F.col("word_uses").alias("uses"))
+    seen = emote_counts(None, catalog, by, counts)
+    return words.join(seen.select(*by, F.lower("name").alias("word")).distinct(), [*by, "word"], "left_anti")
+
+
 def top_words(counts: DataFrame, n: int = 50, by=()) -> DataFrame:
     """The n most used words of a count table."""
     return top_k(counts, n, [F.desc("uses"), F.asc("word")], keys(by))

@@ -56,11 +56,15 @@ class Shared:
 
     @property
     def emote_counts(self):
-        return self._once("emote_counts", lambda: emotes.emote_counts(self.df, self.catalog, self.by))
+        return self._once("emote_counts", lambda: emotes.emote_counts(self.df, self.catalog, self.by, self.token_counts))
+
+    @property
+    def token_counts(self):
+        return self._once("token_counts", lambda: emotes.token_counts(self.df, self.by))
 
     @property
     def native_counts(self):
-        return self._once("native_counts", lambda: emotes.native_counts(self.df, self.by))
+        return self._once("native_counts", lambda: emotes.emote_counts(self.df, None, self.by, self.token_counts))
 
     @property
     def pair_counts(self):
@@ -68,7 +72,7 @@ class Shared:
 
     @property
     def word_counts(self):
-        return self._once("word_counts", lambda: words.word_counts(self.df, self.emote_counts, self.by))
+        return self._once("word_counts", lambda: words.words_apart(self.token_counts, self.catalog, self.by))
 
     @property
     def command_counts(self):
@@ -219,6 +223,22 @@ def chat_stats(
     return out
 
 
+def as_values(sections: dict[str, DataFrame]) -> DataFrame:
+    """All sections as one long table: (section, key, value, n), n being how many rows hold the value.
+
+    Numbers are given in thousandths, rounded, so that they compare; lists are joined by commas, null is ``(null)``.
+    """
+    out = None
+    for name, table in sections.items():
+        cells = F.array(*[F.struct(F.lit(c).alias("key"), F.coalesce(F.col(c).cast("string"), F.lit("(null)")).alias("value")) for c in table.columns])
+        rows = table.select(F.lit(name).alias("section"), F.inline(cells))
+        out = rows if out is None else out.unionByName(rows)
+    number = F.when(F.col("value").rlike(r"^-?[0-9]+(\.[0-9]+)?([eE]-?[0-9]+)?$"), F.col("value").cast("double"))
+    thousandths = F.floor(number * 1000 + 0.5).cast("bigint").cast("string")
+    text = F.regexp_replace(F.regexp_replace("value", r"^\[|\]$", ""), ", ", ",")
+    return out.groupBy("section", "key", F.coalesce(thousandths, text).alias("value")).agg(F.count("*").alias("n"))
+
+
 def as_document(sections: dict[str, DataFrame]) -> DataFrame:
     """All sections as one table of (section, row as JSON)."""
     out = None

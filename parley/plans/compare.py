@@ -58,7 +58,7 @@ def period_metrics(both: DataFrame, catalog: DataFrame | None = None) -> dict[st
     """Everything the comparison shows, each table with a ``period`` column."""
     rollup = act.activity(both, BY)
     bins = temporal.bins_5m(both, BY)
-    counts = words.word_counts(both, emotes.emote_counts(both, catalog, BY), BY)
+    counts = words.words_apart(emotes.token_counts(both, BY), catalog, BY)
     return {
         "overview": overview.overview(both, BY, rollup),
         "vocabulary": complete(words.vocabulary(counts, BY), rollup, BY, ["unique_word_count"]),

@@ -303,7 +303,7 @@ def emote_diversity(i):
 
 @query
 def top_words(i):
-    return words.top_words(words.word_counts(i.messages, emotes.emote_counts(i.messages, i.names)), 50)
+    return words.top_words(words.words_apart(emotes.token_counts(i.messages), i.names), 50)
 
 
 @query
@@ -313,12 +313,12 @@ def top_words_per_channel(i):
 
 @query
 def vocabulary(i):
-    return words.vocabulary(words.word_counts(i.messages, emotes.emote_counts(i.messages, i.names)))
+    return words.vocabulary(words.words_apart(emotes.token_counts(i.messages), i.names))
 
 
 @query
 def zipf_slope(i):
-    return words.zipf_slope(words.word_counts(i.messages, emotes.emote_counts(i.messages, i.names)))
+    return words.zipf_slope(words.words_apart(emotes.token_counts(i.messages), i.names))
 
 
 @query
@@ -509,7 +509,8 @@ def language_by_day(i):
 
 @query
 def chat_stats(i):
-    return bundle.as_document(bundle.chat_stats(i.messages, i.params("quick"), i.names))
+    """Every value of every section of a quick run."""
+    return bundle.as_values(bundle.chat_stats(i.messages, i.params("quick"), i.names))
 
 
 @query
