@@ -646,8 +646,11 @@ def _values(section: str, body: str) -> str:
         ON COLUMNS(*) INTO NAME key VALUE value)"""
 
 
-#: A run looks at the URLs of the messages alone, and ends a session after 15 minutes.
+#: A run looks at the URLs of the messages alone, ends a session after 15 minutes, and has figures without messages too.
 RUN = {
+    "duplicate_count": f"SELECT coalesce(duplicate_message_count, 0) AS duplicate_message_count FROM ({ORACLE['duplicate_count']})",
+    "self_repetition": f"""SELECT self_repetition_count,
+  CASE WHEN NOT isnan(self_repetition_pct) THEN self_repetition_pct END AS self_repetition_pct FROM ({ORACLE['self_repetition']})""",
     "platform_links": q(f"SELECT {_platforms('url', C.PLATFORM_RES)} FROM (SELECT lower(url) AS url FROM url_rows)", URLS),
     "sessions": ORACLE["session_summary"].replace("< 7200 THEN", "< 900 THEN"),
 }
@@ -656,6 +659,28 @@ ORACLE["chat_stats"] = (
     + " UNION ALL ".join(_values(section, RUN.get(section, ORACLE[name])) for section, name in SECTIONS.items())
     + ") GROUP BY ALL"
 )
+PER_CHANNEL = (
+    "hourly weekday_hour overview chatter_quantiles active_chatters non_ascii self_repetition "
+    "messages_with_commands messages_with_links messages_with_mentions unique_urls platform_links duplicate_count sessions"
+).split()
+
+
+def _of_channel(sql: str, channel: str) -> str:
+    """A statement over the messages of one channel only."""
+    everyone = MESSAGES.replace("messages AS (", "everyone AS (", 1)
+    return sql.replace(MESSAGES, everyone + f",\nmessages AS (SELECT * FROM everyone WHERE channel = '{channel}')", 1)
+
+
+def _with_channel(section: str, channel: str) -> str:
+    body = f"SELECT '{channel}' AS channel, {ONLY.get(section, '*')} FROM ({RUN.get(section, ORACLE[SECTIONS[section]])})"
+    return _values("#" + section, _of_channel(body, channel)).replace("'#", "'")
+
+
+ORACLE["per_channel_all"] = (
+    "SELECT section, key, value, count(*) AS n FROM ("
+    + " UNION ALL ".join(_with_channel(s, c) for s in PER_CHANNEL for c in ("ch1", "ghost"))
+    + ") GROUP BY ALL"
+)
 ORACLE["chat_stats_sizes"] = " UNION ALL ".join(
     f"SELECT '{section}' AS section, count(*) AS n FROM ({ORACLE[name]})" for section, name in SECTIONS.items()
 )

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley import constants as C
+from parley.functions.core import complete
 from parley.operators import activity as act
 from parley.operators import emotes, links, mentions, overview, roles, temporal, words
+from parley.operators.filters import filter_channel
 from parley.plans.bundle import Shared, chat_stats
 from parley.plans.params import Params
 
@@ -67,9 +69,46 @@ def channel_summaries(df: DataFrame, channels: Sequence[str], catalog: DataFrame
     }
 
 
+#: Sections with one row per channel, and their columns that are zero where there are no messages.
+ONE_ROW = {
+    "overview": ("total_messages", "unique_chatters"),
+    "chatter_quantiles": (),
+    "active_chatters": (),
+    "non_ascii": ("messages_with_non_ascii",),
+    "self_repetition": ("self_repetition_count",),
+    "messages_with_commands": ("messages_with_commands",),
+    "messages_with_links": ("messages_with_links",),
+    "messages_with_mentions": ("messages_with_mentions",),
+    "vocabulary": ("unique_word_count",),
+    "zipf_slope": (),
+    "unique_urls": ("unique_url_count",),
+    "platform_links": (*C.PLATFORM_RES, "other"),
+    "duplicate_count": ("duplicate_message_count",),
+    "sessions": ("total_sessions",),
+    "message_classes": ("questions", "exclamations", "all_caps", "short_messages", "long_messages", "emote_only"),
+}
+#: Sections with a row for every slot of time, and how many of each there are.
+SLOTS = {"hourly": {"hour": 24}, "weekday_hour": {"weekday": 7, "hour": 24}}
+
+
 def per_channel(df: DataFrame, params: Params, catalog: DataFrame | None = None, keep: str | None = None) -> dict[str, DataFrame]:
-    """Every selected section per channel, each channel with its own catalog."""
-    return chat_stats(df, params, catalog, BY, all_urls=False, shared=Shared(df, catalog, BY, keep))
+    """Every selected section per asked channel, each channel with its own catalog.
+
+    A channel without messages has the rows of an empty run: zero counts in
+    the sections with one row, and a zero for every hour.
+    """
+    asked = requested(df, [c.strip().lower() for c in params.channels])
+    df = filter_channel(df, params.channels).withColumn("channel", F.lower(F.trim("channel")))
+    out = chat_stats(df, params, catalog, BY, all_urls=False, shared=Shared(df, catalog, BY, keep))
+    for name, zeros in ONE_ROW.items():
+        if name in out:
+            out[name] = complete(out[name], asked, BY, zeros)
+    for name, slots in SLOTS.items():
+        every = asked
+        for slot, size in slots.items():
+            every = every.withColumn(slot, F.explode(F.sequence(F.lit(0), F.lit(size - 1))))
+        out[name] = every.join(out[name], [*BY, *slots], "left").fillna(0, ["messages"])
+    return out
 
 
 def channel_share(totals: DataFrame) -> DataFrame:

@@ -535,6 +535,14 @@ def per_channel_hours(i):
     return channels.per_channel(i.messages, i.params("quick"), i.catalog)["weekday_hour"]
 
 
+@query
+def per_channel_all(i):
+    """Every value of the sections that do not look at names, for a channel with messages and one without."""
+    found = channels.per_channel(i.messages, Params(*CURRENT, channels=("CH1", "ghost"), sections=preset_sections("quick")))
+    wide = [*channels.SLOTS, *(n for n in channels.ONE_ROW if n not in {"vocabulary", "zipf_slope", "message_classes"})]
+    return bundle.as_values({n: found[n] for n in wide if n in found})
+
+
 @query
 def channel_totals(i):
     return channels.channel_totals(i.messages, [*CHANNELS, "ghost"])
