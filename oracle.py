@@ -596,6 +596,12 @@ UNION ALL SELECT 'days_missing', spanned < active, CAST(spanned AS VARCHAR) FROM
 UNION ALL SELECT 'hours_do_not_add_up', hours <> total, CAST(hours AS VARCHAR) FROM figures
 UNION ALL SELECT 'empty_texts', empty_texts > 0, CAST(empty_texts AS VARCHAR) FROM figures"""
 ORACLE["data_checks"] = q(CHECKS, FIGURES)
+ORACLE["broken_tables"] = q(
+    CHECKS.replace("spanned < active, CAST(spanned AS VARCHAR)", "true, CAST(spanned - 1 AS VARCHAR)").replace(
+        "hours <> total, CAST(hours AS VARCHAR)", "true, CAST(hours + 1 AS VARCHAR)"
+    ),
+    FIGURES,
+)
 ORACLE["arrival_checks"] = q(
     CHECKS
     + f"""

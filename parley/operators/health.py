@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from parley import constants as C
 from parley.functions import text as tx
 from parley.functions.core import attach, keys, seconds_between, time_cell, top_k
+from parley.operators import temporal
+from parley.operators.activity import activity
 from parley.operators.emotes import native_counts
 
 
@@ -218,9 +220,20 @@ def message_classes(df: DataFrame, catalog: DataFrame | None = None, by=()) -> D
     return attach(shapes, emote_only(df, catalog, by), by, ["emote_only"])
 
 
-def checks(df: DataFrame, by=(), arrival: str | None = None, block: int = 1_000_000) -> DataFrame:
+def checks(
+    df: DataFrame,
+    by=(),
+    arrival: str | None = None,
+    block: int = 1_000_000,
+    days: DataFrame | None = None,
+    hours: DataFrame | None = None,
+) -> DataFrame:
     """Data-quality checks, one row each: name, whether it failed, and the figures behind it.
 
+    ``days`` and ``hours`` are the finished tables of ``per_day`` and
+    ``hourly``: a day of the range that is not in the one, or hours that do
+    not add up to all messages in the other, are reported. Without them they
+    are made from the messages.
     Order of arrival is only known when a column for it is given; time going
     back by a second or more against it is then reported.
     """
@@ -229,11 +242,15 @@ def checks(df: DataFrame, by=(), arrival: str | None = None, block: int = 1_000_
         F.count("*").alias("total"),
         F.avg(F.length("text")).alias("avg_length"),
         F.count_if(F.length("text") == 0).alias("empty_texts"),
-        F.count_distinct(F.to_date("ts")).alias("active_days"),
         (F.datediff(F.max(F.to_date("ts")), F.min(F.to_date("ts"))) + 1).alias("days_spanned"),
-        F.count(F.hour("ts")).alias("with_hour"),
     ]
     base = df.groupBy(*by).agg(*figures)
+    rollup = activity(df, by)
+    days = temporal.per_day(rollup, by) if days is None else days
+    hours = temporal.hourly(rollup, by) if hours is None else hours
+    base = attach(base, days.groupBy(*by).agg(F.count("*").alias("days_listed")), by, ["days_listed"])
+    base = attach(base, hours.groupBy(*by).agg(F.sum("messages").alias("with_hour")), by, ["with_hour"])
+    base = base.fillna(0, ["days_listed", "with_hour"])
     back = F.lit(None).cast("bigint")
     if arrival is not None:
         base = attach(base, _backsteps(df, by, arrival, block), by, ["backsteps"])
@@ -243,7 +260,7 @@ def checks(df: DataFrame, by=(), arrival: str | None = None, block: int = 1_000_
     rows = [
         ("avg_length_small", F.col("avg_length") < C.MIN_PLAUSIBLE_AVG_MESSAGE_LEN, mean),
         ("avg_length_large", F.col("avg_length") > C.MAX_PLAUSIBLE_AVG_MESSAGE_LEN, mean),
-        ("days_missing", F.col("days_spanned") < F.col("active_days"), number("days_spanned")),
+        ("days_missing", F.col("days_listed") < F.col("days_spanned"), number("days_listed")),
         ("hours_do_not_add_up", F.col("with_hour") != F.col("total"), number("with_hour")),
         ("empty_texts", F.col("empty_texts") > 0, number("empty_texts")),
     ]

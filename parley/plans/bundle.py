@@ -152,7 +152,7 @@ def chat_stats(
         "zipf_slope": every(words.zipf_slope(s.word_counts, by)),
         "non_ascii": health.non_ascii(df, by),
         "self_repetition": health.self_repetition(df, by),
-        "warnings": health.checks(df, by),
+        "warnings": health.checks(df, by, days=s.daily, hours=temporal.hourly(s.rollup, by)),
     }
     if params.on("staff_list"):
         out["staff_list"] = roles.staff_list(s.rollup, by)

@@ -494,6 +494,14 @@ def arrival_checks(i):
     return health.checks(numbered, arrival="arrival")
 
 
+@query
+def broken_tables(i):
+    """The checks over a table of days that misses one and a table of hours that counts one message twice."""
+    days = temporal.per_day(i.messages).filter(F.col("day") != F.lit("2024-01-10").cast("date"))
+    hours = temporal.hourly(i.messages).withColumn("messages", F.col("messages") + (F.col("hour") == 5).cast("int"))
+    return health.checks(i.messages, days=days, hours=hours)
+
+
 @query
 def language_breakdown(i):
     return language.language_breakdown(i.with_lang, "lang")
