@@ -1080,11 +1080,9 @@ FROM entries GROUP BY channel, emote_id"""
 ORACLE["emote_catalog_union"] = f"""WITH {CATALOG}
 SELECT 'e-' || name AS emote_id, last(name || '@' || channel ORDER BY list_position(['ch2', 'ch0', 'ch1'], channel)) AS name FROM catalog GROUP BY 1"""
 
-# --- streaming: only windows that the watermark has closed are written
+# --- streaming: all bins, and the sessions that the watermark has closed
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM messages)"
-ORACLE["live_bins"] = q(
-    f"SELECT window_start, message_count FROM bins WHERE window_start + INTERVAL 5 MINUTE <= {CLOSED}", BINS
-)
+ORACLE["live_bins"] = q("SELECT window_start, message_count FROM bins", BINS)
 ORACLE["live_sessions"] = q(
     f"SELECT user_id, session_start, session_end, messages FROM session_rows WHERE session_end + INTERVAL 2 HOUR <= {CLOSED}", SESSIONS
 )

@@ -1130,7 +1130,9 @@ def _finished(i, name: str, table: DataFrame, partitions=()) -> DataFrame:
 
 @query
 def live_bins(i):
-    return _finished(i, "bins", live.live_bins(_stream(i))).select("window_start", "message_count")
+    root, table = i.scratch("bins"), live.live_bins(_stream(i))
+    live.write_windows(table, f"{root}/data", f"{root}/checkpoint").awaitTermination()
+    return live.read_windows(i.spark, f"{root}/data", table).select("window_start", "message_count")
 
 
 @query

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from parley import constants as C
@@ -78,6 +79,27 @@ def write_stream(table: DataFrame, path: str, checkpoint: str, partitions=(), ev
     return writer.start(path)
 
 
+def write_windows(table: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Write the windows that each batch touched, with their figures so far, in a folder of its own below ``path``.
+
+    So windows that are still open are there too; a batch that is repeated after a failure replaces its own folder.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = table.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep)
+    writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def read_windows(spark: SparkSession, path: str, table: DataFrame, key: str = "window_start") -> DataFrame:
+    """The latest figures of each window that ``write_windows`` has written for a streaming table."""
+    shape = T.StructType([*table.schema.fields, T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(shape).parquet(path)
+    return rows.groupBy(key).agg(F.max_by(F.struct(*(c for c in table.columns if c != key)), "batch").alias("w")).select(key, "w.*")
+
+
 def live_refresh(table: DataFrame, path: str, checkpoint: str, partitions=()) -> StreamingQuery:
     """Keep a live table no older than 15 minutes."""
     return write_stream(table, path, checkpoint, partitions, every=f"{C.LIVE_TTL_S // 60} minutes")

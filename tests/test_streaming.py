@@ -1,6 +1,7 @@
 """Streams over files compared with the batch operators."""
 
 import json
+import os
 from datetime import timedelta
 
 import pytest
@@ -28,6 +29,7 @@ def files(tmp_path):
         sent += batch
         extra = sent[-45:-40] if part == 4 else []
         (folder / f"{part}.json").write_text("\n".join(json.dumps(r) for r in [*batch, *extra]))
+        os.utime(folder / f"{part}.json", (1_700_000_000 + part,) * 2)  # files are taken in order of their time
     return folder
 
 
@@ -82,3 +84,17 @@ def test_live_refresh_can_be_stopped(spark, files, tmp_path):
     assert "900000" in str(query._jsq) or query.isActive
     query.stop()
     assert not query.isActive
+
+
+def test_bins_that_are_still_open_are_read_too(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows_in = [("u", f"2024-01-01 10:{m:02d}:00") for m in (1, 2, 7, 8, 9, 14)]
+    for k, part in enumerate((rows_in[:4], rows_in[4:])):
+        made = spark.createDataFrame(part, "user_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+        made.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(made.schema).parquet(str(tmp_path / "in"))
+        table = live.live_bins(stream)
+        live.write_windows(table, str(tmp_path / "bins"), str(tmp_path / "check")).awaitTermination()
+    got = live.read_windows(spark, str(tmp_path / "bins"), table)
+    assert {r.window_start.minute: r.message_count for r in got.collect()} == {0: 2, 5: 3, 10: 1}
