@@ -136,6 +136,49 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+ORACLE["op1_substrings"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+windows AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)
+),
+often AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY s) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM often),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept k USING (r)"""
+
+ORACLE["op9_decontamination"] = r"""
+WITH split AS (
+  SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS key, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark
+),
+lists AS (
+  SELECT side, r, key, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM split
+),
+items AS (
+  SELECT DISTINCT coalesce(CAST(key AS VARCHAR), 'null') AS item, size, array_to_string(w[i : i + size - 1], ' ') AS s
+  FROM (SELECT key, w, least(13, len(w)) AS size, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i
+        FROM lists WHERE side = 'b' AND len(w) > 0)
+),
+sizes AS (SELECT DISTINCT size FROM items),
+windows AS (
+  SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS s
+  FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM lists, sizes WHERE side = 'd' AND len(w) >= size)
+),
+hits AS (SELECT r, i, size, item FROM windows JOIN items USING (size, s)),
+places AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM hits) GROUP BY r),
+named AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT key AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
+FROM lists LEFT JOIN places USING (r) LEFT JOIN named USING (r) WHERE side = 'd'"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
