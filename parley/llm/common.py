@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import parley
@@ -20,7 +20,9 @@ from parley.session import shared_folder
 #: Bytes of text that a pass holds as Python objects at once.
 SLICE_BYTES = 2 << 20
 #: Entries of a cache of words in a Python worker.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
+#: Bits of the filter of ``touched``: its size does not depend on the data.
+MARK_BITS = 1 << 24
 #: Longer words are not kept in a cache.
 CACHED_BYTES = 64
 #: White space that ends a word: space and U+0009 to U+000D, as bytes.split() has it.
@@ -65,6 +67,22 @@ def documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def touched(docs: DataFrame, mark: Column, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows whose mark is surely none of ``marks``, and the others with their ``__mark``; both keep all columns.
+
+    The marks are a filter of ``MARK_BITS`` bits in words of 32, which is broadcast: at most MARK_BITS / 32 rows, whatever
+    the number of marks. So texts that no mark concerns need no shuffle.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(MARK_BITS))
+    one = lambda b: F.expr(f"shiftleft(1L, cast({b} & 31 as int))")
+    words = marks.select(bit("mark").alias("__bit")).groupBy(F.shiftright("__bit", 5).alias("__word"))
+    words = words.agg(F.bit_or(one("__bit")).alias("__mask"))
+    rows = docs.withColumn("__mark", mark).withColumn("__bit", bit("__mark"))
+    rows = rows.withColumn("__word", F.shiftright("__bit", 5)).join(F.broadcast(words), "__word", "left")
+    maybe = F.coalesce(F.col("__mask").bitwiseAND(one("__bit")) != 0, F.lit(False))
+    return rows.where(~maybe).select(*docs.columns), rows.where(maybe).select(*docs.columns, "__mark")
+
+
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with the package at hand on the workers."""
     ship(df.sparkSession)
@@ -96,10 +114,11 @@ def pieces(data: bytes, most: int = SLICE_BYTES) -> Iterator[bytes]:
         yield data[at:] if at else data
 
 
-def make_room(cache: dict, more: int) -> None:
+def make_room(cache: dict, more: int, most: int | None = None) -> None:
     """Where ``more`` entries would go over the bound, keep the older half: frequent words come early."""
-    if len(cache) + more > CACHE_WORDS:
-        for key in list(cache)[CACHE_WORDS // 2 :]:
+    most = most or CACHE_WORDS
+    if len(cache) + more > most:
+        for key in list(cache)[most // 2 :]:
             del cache[key]
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import Hashes, Rolling, documents, hashes_of, in_arrow, slices, written
+from parley.llm.common import Hashes, Rolling, documents, hashes_of, in_arrow, slices, touched, written
 
 WIDTH = 13
 GRAM = 8
@@ -202,6 +202,7 @@ def contaminated() -> Column:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows that are not contaminated, with all their columns. The verdict follows from the text, so texts are compared."""
-    bad = hits(docs, items).where(contaminated()).select(F.col("mark").alias("bad_mark")).distinct()
-    mark = F.sha2(F.col("text").cast("binary"), 256)
-    return docs.join(bad, mark == F.col("bad_mark"), "left_anti")
+    bad = written(hits(docs, items).where(contaminated()).select("mark").distinct(), "bad")
+    sure, rest = touched(docs, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), bad)
+    kept = rest.join(bad.withColumnRenamed("mark", "__mark"), "__mark", "left_anti").select(*docs.columns)
+    return sure.unionByName(kept)

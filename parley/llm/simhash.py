@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import documents, in_arrow, slices, written
+from parley.llm.common import documents, in_arrow, slices, touched, written
 from parley.llm.components import components
 
 SHINGLE = 3
@@ -54,9 +54,13 @@ def fingerprint(data: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def mark_of() -> Column:
+    """What stands for a row: a hash of its id and text; rows that are equal in both have one mark."""
+    return F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").cast("binary"), 256)
+
+
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, mark (of id and text) and fp, the 64 bits as a signed long, of each document."""
-    mark = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").cast("binary"), 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,7 +69,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 kept = (batch.column(c).slice(at, len(texts)) for c in ("doc_id", "mark"))
                 yield pa.record_batch([*kept, pa.array(fp)], ["doc_id", "mark", "fp"])
 
-    return in_arrow(documents(docs).withColumn("mark", mark), run, "doc_id long, mark string, fp long")
+    return in_arrow(documents(docs).withColumn("mark", mark_of()), run, "doc_id long, mark string, fp long")
 
 
 def codewords() -> np.ndarray:
@@ -143,7 +147,10 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     labels = labelled(marked, threshold)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     by_fp = marked.groupBy("fp").agg(first.alias("first"))
-    chosen = labels.join(by_fp, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.mark").alias("own_mark"))
-    mark = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text").cast("binary"), 256)
-    kept = docs.withColumn("own_mark", mark).join(chosen, "own_mark", "left_semi")
-    return kept.dropDuplicates(["own_mark"]).drop("own_mark")
+    chosen = labels.join(by_fp, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.mark").alias("mark"))
+    chosen = written(chosen, "chosen")
+    counts = marked.groupBy("mark").agg(F.count("*").alias("n")).join(chosen.withColumn("stays", F.lit(True)), "mark", "left")
+    concerned = written(counts.where("stays is null or n > 1").select("mark"), "concerned")
+    sure, rest = touched(docs, mark_of(), concerned)
+    kept = rest.join(chosen.withColumnRenamed("mark", "__mark"), "__mark", "left_semi").dropDuplicates(["__mark"])
+    return sure.unionByName(kept.select(*docs.columns))

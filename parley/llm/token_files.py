@@ -31,6 +31,8 @@ from parley.llm.common import documents, drop_long, in_arrow, make_room, pieces,
 BLOCK_IDS = 1 << 16
 #: Words between two entries of ``jumps``.
 JUMP = 128
+#: Entries of each of the two caches of words: a miss costs a call of the library.
+KEPT_WORDS = 700_000
 #: Marks that are a token of their own after a letter.
 TAILS = {b".", b",", b";", b":", b"!", b"?"}
 FILES = (
@@ -62,7 +64,7 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[bytes]) -> None:
-        make_room(self.known, len(chunks))
+        make_room(self.known, len(chunks), KEPT_WORDS)
         plain, tailed, other = [], [], []
         for c in chunks:
             if c not in self.known:
@@ -73,7 +75,7 @@ class Encoder:
                     tailed.append(c)
                 else:
                     other.append(c)
-        make_room(self.words, len(plain) + len(tailed))
+        make_room(self.words, len(plain) + len(tailed), KEPT_WORDS)
         new = list({*plain, *(c[:-1] for c in tailed), *(c[-1:] for c in tailed)}.difference(self.words))
         if new:
             ids = np.array(self._ids([b" ".join(new).decode()])[0], "<u4")

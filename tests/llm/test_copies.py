@@ -163,7 +163,7 @@ def test_code_covers_the_space():
 
 def test_one_of_each_group_stays_whole(table):
     text = " ".join(f"w{i}" for i in range(200))
-    docs = table([(5, text), (3, text), (3, text), (None, text), (7, "something else"), (8, None), (9, "")], clash=("own_mark2",))
+    docs = table([(5, text), (3, text), (3, text), (None, text), (7, "something else"), (8, None), (9, "")], clash=("own_mark", "mark", "fp", "word", "n"))
     kept = found(simhash.one_of_each(docs))
     assert [(r["doc_id"], r["text"]) for r in kept] == [(3, text), (7, "something else"), (8, None)]
     assert set(kept[0]) == set(docs.columns)

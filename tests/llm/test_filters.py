@@ -170,7 +170,7 @@ def test_hits_of_benchmark_passages(spark, table):  # noqa: F811
 
 def test_clean_keeps_what_is_not_contaminated(spark, table):  # noqa: F811
     texts, items = bench()
-    docs = table([*texts, texts[-1], texts[-1]], clash=("doc_mark", "n_hit"))
+    docs = table([*texts, texts[-1], texts[-1]], clash=("mark", "n_hit", "windows", "row"))
     want = [i for i, (n, hit, _) in enumerate(plain_hits(texts, items)) if not (hit and 20 * hit >= n)]
     kept = found(decontamination.clean(docs, spark.createDataFrame(items, "item_id long, text string")))
     assert [r["doc_id"] for r in kept] == want and set(kept[0]) == set(docs.columns)
