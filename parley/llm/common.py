@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes.util
 import os
 import tempfile
 import uuid
@@ -18,9 +19,9 @@ import parley
 from parley.session import shared_folder
 
 #: Bytes of text that a pass holds as Python objects at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Entries of a cache of words in a Python worker.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Bits of the filter of ``touched``: its size does not depend on the data.
 MARK_BITS = 1 << 24
 #: Longer words are not kept in a cache.
@@ -84,9 +85,22 @@ def touched(docs: DataFrame, mark: Column, marks: DataFrame) -> tuple[DataFrame,
 
 
 def in_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand on the workers."""
+    """``mapInArrow`` with the package at hand on the workers, which give back what a task held before the next."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Return free memory of this worker to the system: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(found := ctypes.CDLL(libc), "malloc_trim"):
+        found.malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes | None]]]:
