@@ -144,7 +144,11 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id, null ids last, then by a hash of the text."""
     marked = written(fingerprints(docs), "fingerprints")
-    labels = labelled(marked, threshold)
+    return first_rows(docs, marked, labelled(marked, threshold))
+
+
+def first_rows(docs: DataFrame, marked: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows that stay of written (doc_id, mark, fp) and the (fp, root) of every fp."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark"))
     by_fp = marked.groupBy("fp").agg(first.alias("first"))
     chosen = labels.join(by_fp, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.mark").alias("mark"))
