@@ -3,7 +3,8 @@
 A ratio is compressed bytes by bytes. Repetitive text compresses below the lower limit of its band, random or encoded
 text stays above the upper one. The whole document is judged by the band of its length. Of its chunks of ``CHUNK`` bytes, a
 document may have up to ``BAD_SHARE`` outside the band of their length: a repeated stretch or a block of encoded data inside
-an ordinary document rejects it only if it is a good part of it.
+an ordinary document rejects it only if it is a good part of it. Hexadecimal data compresses like prose; so a document may
+have up to ``BAD_SHARE`` of its bytes in words in which letters and digits change places twice or more.
 
 Base rules come first: at least ``MIN_WORDS`` words, and at most ``REPEAT_PERCENT`` of the words inside 8-word windows that
 occur twice or more.
@@ -14,6 +15,7 @@ a null id stays null; extra columns are left out by ``judge``, kept by ``kept_do
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,17 +31,25 @@ MIN_WORDS = 20
 REPEAT_WORDS = 8
 REPEAT_PERCENT = 30
 CHUNK = 4096
-BAD_SHARE = 0.5
+BAD_SHARE = 0.25
 LEVEL = 3
 #: (bytes up to, lowest, highest ratio). Short texts compress less, and the frame's own bytes weigh more. The
-#: limits lie well outside what prose in any alphabet gives: see README.
+#: limits lie between what prose gives and what base64 gives at the band's upper end: see README.
 BANDS = (
-    (256, 0.20, 1.10),
-    (1024, 0.25, 0.90),
-    (4096, 0.25, 0.80),
-    (16384, 0.22, 0.75),
-    (None, 0.20, 0.70),
+    (160, 0.55, 1.00),
+    (192, 0.55, 0.945),
+    (256, 0.50, 0.90),
+    (384, 0.45, 0.83),
+    (512, 0.45, 0.80),
+    (768, 0.42, 0.76),
+    (1024, 0.42, 0.74),
+    (2048, 0.36, 0.70),
+    (4096, 0.36, 0.68),
+    (16384, 0.32, 0.65),
+    (None, 0.28, 0.64),
 )
+#: A word of encoded data: letters and digits change places twice or more. Hexadecimal digits compress like prose.
+_CODED = re.compile(rb"[A-Za-z][0-9]+[A-Za-z]|[0-9][A-Za-z]+[0-9]")
 SYMBOLS = b"#*$%&|<>"
 SHAPE = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -88,6 +98,11 @@ def duplicate_lines(data: bytes) -> int:
     return sum(counts.values()) - len(counts)
 
 
+def coded(words: list[bytes]) -> int:
+    """Bytes in words of encoded data."""
+    return sum(len(w) for w in words if _CODED.search(w))
+
+
 def measure(data: bytes | None, press: zstandard.ZstdCompressor) -> tuple:
     data = data or b""
     words = data.split()
@@ -99,7 +114,7 @@ def measure(data: bytes | None, press: zstandard.ZstdCompressor) -> tuple:
     kept = not base_failed
     if data:
         ratio = len(press.compress(data)) / len(data)
-        kept &= in_band(len(data), ratio)
+        kept = kept and in_band(len(data), ratio) and coded(words) <= BAD_SHARE * len(data)
         if len(data) > CHUNK:
             parts = [data[i : i + CHUNK] for i in range(0, len(data), CHUNK)]
             if len(parts[-1]) < CHUNK // 4:

@@ -1,5 +1,6 @@
 """Operators 6, 7 and 9: quality rules, personal data, decontamination, against plain Python."""
 
+import base64
 import random
 import re
 import string
@@ -7,6 +8,7 @@ from collections import Counter
 from hashlib import sha256
 
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import DOCS as ODD
@@ -61,6 +63,21 @@ def test_bands_reject_repetition_and_noise_but_no_prose(table):  # noqa: F811
     assert rows[1]["ratio"] > 0.75 and rows[-1]["bad_chunks"] <= 1 < rows[-1]["n_chunks"]
 
 
+@pytest.mark.parametrize("size", [200, 500, 1000, 2000, 4000, 8000, 16000, 40000])
+def test_encoded_and_half_repetitive_texts_are_rejected(size):
+    rng = random.Random(size)
+    press = zstandard.ZstdCompressor(level=quality.LEVEL)
+    kept = lambda t: quality.measure(t.encode(), press)[-1]
+    eights = lambda s: " ".join(s[i : i + 8] for i in range(0, len(s), 8))[:size]
+    assert not kept(eights(base64.b64encode(rng.randbytes(size)).decode()))
+    assert not kept(eights(rng.randbytes(size).hex()))
+    assert not kept(eights("".join(chr(rng.randrange(33, 127)) for _ in range(size))))
+    half = prose(rng, size)[: size // 2]
+    assert not kept(half + " " + "=" * (size // 2))
+    assert not kept(half[: size // 4] + " " + "ab" * (size // 4) + " " + half[size // 4 :])
+    assert kept(prose(rng, size)[:size])
+
+
 def test_kept_documents_keep_their_columns(table):  # noqa: F811
     docs = table(quality_texts(), clash=("kept", "ratio"))
     verdict = {r["doc_id"] for r in found(quality.judge(docs)) if r["kept"]}
