@@ -145,10 +145,11 @@ def places(begin: np.ndarray, anchors_: np.ndarray) -> np.ndarray:
 
 def judged(table: pa.Table, most: int) -> pa.Table:
     """For the pairs of a bucket a byte each: 1 if other groups have it, 2 if it is to be sent, 4 if its gram has more than ``most``
-    contexts."""
+    contexts. The smallest group of a pair sends it, in whatever order the rows came: a bucket that runs again names the same."""
+    table = table.sort_by("grp")
     counts = table.column("n").to_pylist()
     every = np.concatenate([pairs_of(n, d) for n, d in zip(counts, table.column("data").to_pylist())])
-    order = np.lexsort((every["b"], every["a"]))  # stable: the first row of a run is the first group's
+    order = np.lexsort((every["b"], every["a"]))  # stable: the first row of a run is the smallest group's
     a, b = every["a"][order], every["b"][order]
     new = first_of_runs(a, b)
     run = np.cumsum(new) - 1

@@ -85,6 +85,15 @@ def test_bytes_in_repeated_strings(table, hot, group_bytes):
     assert [(r["n_bytes"], r["n_removed"], len(r["removed"]), bytes(r["kept"])) for r in rows] == removed_bytes(texts, 200)
 
 
+def test_who_sends_a_context_does_not_depend_on_the_order_of_arrival():
+    pairs = np.array([(5, 1), (5, 2), (9, 4)], suffixes.PAIR)
+    sent = [suffixes.hashed(p, grp, 0) for grp, p in ((3, pairs), (1, pairs[:2]), (2, pairs[1:]))]
+    ways = [suffixes.judged(suffixes.pa.concat_tables(sent[k] for k in order), 4096) for order in ((0, 1, 2), (2, 1, 0), (1, 2, 0))]
+    answers = [dict(zip(t.column("grp").to_pylist(), t.column("data").to_pylist())) for t in ways]
+    assert answers[0] == answers[1] == answers[2]
+    assert [list(answers[0][g]) for g in (1, 2, 3)] == [[3, 3], [1, 1], [1, 1, 1]]
+
+
 def test_strings_need_room_for_an_anchor(table):
     with pytest.raises(ValueError):
         suffixes.repeated(table(["x"]), 100)
