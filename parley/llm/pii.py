@@ -8,7 +8,7 @@ Kinds in the order in which spans of one start are listed:
 * iban: two letters, two check digits and 11 to 30 letters or digits after the cue, modulo 97;
 * ssn: ddd-dd-dddd soon after a cue;
 * account: 6 to 20 digits soon after a cue for an account or passport;
-* secret: an access key id, or the value that is assigned to a password, token or key;
+* secret: an access key id, or the value, up to its delimiter, that is assigned to a password, token or key, quoted or not;
 * login: user and password in front of the host of an address with a scheme.
 
 Defined results: a null or empty text has no spans; repeated rows are searched each; a null id stays null; positions are code
@@ -49,12 +49,14 @@ DIGITS = frozenset("0123456789")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 PHONE_TAIL = re.compile(r"[ ().0-9-]+")
-SECRET_VALUE = re.compile(r"""\s{0,2}[=:]\s{0,2}["']?([^\s"',;<>]{6,200})""")
+SECRET_SIGN = re.compile(r"""["']?\s{0,2}[=:]\s{0,2}["']?""")
+SECRET_VALUE = re.compile(r"""[^\s"',;<>]*+""")
+SECRET_LEAST = 6
 ACCESS_KEY = re.compile(r"akia([a-z0-9]{16})(?![a-z0-9])")
 IBAN_VALUE = re.compile(r"[^a-z0-9]{0,3}((?:[a-z]{2}[0-9]{2})(?: ?[a-z0-9]){11,30})")
 SSN_VALUE = re.compile(r"[^0-9]{0,12}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
 ACCOUNT_VALUE = re.compile(r"[^0-9\n]{0,16}?([0-9](?:[ -]?[0-9]){5,19})(?![0-9])")
-LOGIN = re.compile(r"([^\s/@:]{1,100}:[^\s/@]{1,100})@")
+LOGIN = re.compile(r"([^\s/@:]++:[^\s/@]++)@")
 
 
 @lru_cache(1)
@@ -119,7 +121,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind."""
     low = text if text.islower() and text.isascii() else text.encode().lower().decode()
     out: list[tuple[str, int, int]] = []
-    mail_end = digits_end = phone_end = 0
+    mail_end = digits_end = phone_end = secret_end = 0
     for at, kind in automaton().iter(low):
         if kind == "digit":
             if at >= digits_end:
@@ -143,8 +145,11 @@ def spans(text: str) -> list[tuple[str, int, int]]:
             if m := ACCESS_KEY.match(low, at - 3):
                 out.append(("secret", m.start(), m.end()))
         elif kind == "secret":
-            if m := SECRET_VALUE.match(text, at + 1):
-                out.append(("secret", m.start(1), m.end(1)))
+            if m := SECRET_SIGN.match(text, at + 1):
+                if m.end() >= secret_end:  # a value inside another one ends with it
+                    secret_end = SECRET_VALUE.match(text, m.end()).end()
+                if secret_end - m.end() >= SECRET_LEAST:
+                    out.append(("secret", m.end(), secret_end))
         elif kind == "iban":
             if m := IBAN_VALUE.match(low, at + 1):
                 end = m.end(1)

@@ -121,6 +121,17 @@ def test_added_kinds():
     assert kinds("https://bob:pw@host.example/x and https://host.example/a") == [("login", "bob:pw")]
 
 
+def test_secrets_and_logins_of_any_length():
+    cut = lambda t: [(k, t[a:b]) for k, a, b in pii.spans(t) if k not in pii.BASE]
+    long = "xYz" * 250
+    assert cut(f"token={long}, end") == [("secret", long)] and pii.masked(f"token={long}, end") == "token=<SECRET>, end"
+    assert cut('{"password": "hunter22", "n": 1}') == [("secret", "hunter22")] and cut("'token' = 'abcdef'") == [("secret", "abcdef")]
+    assert cut('the "password" is lost') == cut('"password": "short"') == []
+    assert cut(f"https://{long}:{long}@host.example/x") == [("login", f"{long}:{long}")]
+    chain = "token=" * 50_000
+    assert {e for _, _, e in pii.spans(chain)} == {len(chain)} and len(pii.spans(chain)) == 49_999
+
+
 def test_find_and_mask(table):  # noqa: F811
     texts = [*ODD, "é mail a.b@c.dd, +1 (988) 555-2485 and 4041 8949 7460 8795 at 10.0.0.255", "a@b.cc a@b.cc"]
     docs = table(texts, clash=("spans", "kind"))
