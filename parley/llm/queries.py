@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bpe, decontamination, pii, quality, sharding, simhash, substrings, suffixes, token_files, toxicity
+from parley.llm import bpe, decontamination, divergence, periodic, pii, quality, sharding, simhash, substrings, suffixes, token_files, toxicity, urls
 from parley.llm.common import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +136,55 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op11_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the word shares of each source lie from those of the other sources and of its language."""
+    return divergence.audit(table(spark, folder, "documents"))
+
+
+#: The rules that operator 12 is asked for.
+URL_RULES = """VALUES ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')"""
+
+
+@query
+def op12_urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page by host suffix and path prefix."""
+    rules = spark.sql(f"SELECT * FROM {URL_RULES} AS rules(verdict, rule)")
+    return urls.judge(table(spark, folder, "pages"), rules)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text; in documents whose CRC-32 of the id ends in 0 all words after a place repeat the first ones from there on."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n = F.greatest(F.size("words"), F.lit(1))
+    some = docs.select("doc_id", "text", hashed.alias("h")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    )
+    some = some.withColumn("n", n).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    whole = F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), F.col("n"))
+    return some.select("doc_id", F.when(F.size("words") > 0, F.array_join(whole, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, with the runs that the contract plants."""
+    found = periodic.runs(with_planted_runs(table(spark, folder, "documents"))).withColumn("longest", periodic.longest())
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.start",
+        "longest.length",
+        "longest.period",
+        F.expr("1000 * longest.length div longest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 ORACLE["op1_substrings"] = r"""
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -179,6 +228,63 @@ SELECT key AS doc_id, len(w) AS n_words, coalesce(n, 0) AS n_hit, coalesce(n_ite
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(w) AS contaminated
 FROM lists LEFT JOIN places USING (r) LEFT JOIN named USING (r) WHERE side = 'd'"""
 
+ORACLE["op11_divergence"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+),
+terms AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grid AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+),
+priced AS (
+  SELECT *,
+    1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER g + 5 * count(*) OVER g) AS p,
+    1 + (1000000000::HUGEINT * (lang_n + 5)) // (sum(lang_n) OVER g + 5 * count(*) OVER g) AS q
+  FROM grid WINDOW g AS (PARTITION BY lang, source)
+),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM priced a JOIN priced b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM priced WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+  CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 50"""
+
+ORACLE["op12_urls"] = rf"""
+WITH rules AS (
+  SELECT verdict, rule, split_part(rule, '/', 1) AS rule_host, substr(rule, strpos(rule, '/')) AS rule_path
+  FROM ({URL_RULES}) AS r(verdict, rule)
+),
+rests AS (
+  SELECT row_number() OVER () AS r, page_id,
+    CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+),
+parts AS (
+  SELECT r, page_id, regexp_extract(rest, '^[^/?#]*') AS own, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests
+),
+hosts AS (
+  SELECT r, page_id, path, translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts
+),
+best AS (
+  SELECT r, rule, verdict FROM hosts JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC) = 1
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hosts LEFT JOIN best USING (r)"""
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
