@@ -24,7 +24,7 @@ from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import documents, in_arrow, slices
@@ -212,11 +212,7 @@ def runs(docs: DataFrame, least: int = LEAST, times: int = TIMES) -> DataFrame:
     return in_arrow(documents(docs), work, SHAPE)
 
 
-def longest():
-    """The run of greatest length, the first of equal ones (by start, then period); null without runs."""
-    best = F.aggregate(
-        F.slice("runs", 2, 2**31 - 1),
-        F.get("runs", F.lit(0)),
-        lambda a, b: F.when(b["length"] > a["length"], b).otherwise(a),
-    )
-    return F.when(F.size("runs") > 0, best)
+def longest() -> Column:
+    """The run of greatest length, the first of equal ones (by start, then period); its fields are null without runs."""
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    return F.struct(*(f.alias(name) for f, name in zip((-best["col2"], best["length"], -best["col3"]), ("start", "length", "period"))))
