@@ -981,7 +981,7 @@ ORDER BY md5('7:' || name), name LIMIT 20"""
 )
 ORACLE["run_any_case"] = q(f"SELECT {TOTALS} FROM messages WHERE channel = 'ch0' AND ts >= {MID} AND ts < {NOW}")
 ORACLE["merged_last_arrival"] = q(
-    "SELECT channel, 'aaa ' || role AS text, count(*) AS n, min(id) AS first_id FROM messages WHERE u % 4 = 1 GROUP BY ALL"
+    "SELECT channel, 'aaa ' || role AS text, count(*) AS n, min(id) AS first_id FROM messages GROUP BY ALL"
 )
 ORACLE["raw_files"] = q(
     """SELECT channel, count(*) AS n FROM messages WHERE n % 10 <> 3 GROUP BY channel

@@ -31,8 +31,7 @@ def word_counts(df: DataFrame, seen: DataFrame | None = None, by=(), stop=C.STOP
 def words_apart(counts: DataFrame, catalog: DataFrame | None = None, by=(), stop=C.STOPWORDS) -> DataFrame:
     """Word counts without stopwords and without emotes, from the table of ``emotes.token_counts``."""
     by = keys(by)
-    words = counts.filter((F.col("word_uses") > 0) & ~F.col("name").isin(*stop))
-    words = words.select(*by, F.col("name").alias("word"), F.col("word_uses").alias("uses"))
+    words = counts.filter((F.col("kind") == "word") & ~F.col("name").isin(*stop)).select(*by, F.col("name").alias("word"), "uses")
     seen = emote_counts(None, catalog, by, counts)
     return words.join(seen.select(*by, F.lower("name").alias("word")).distinct(), [*by, "word"], "left_anti")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TASKS_PER_CORE = 2
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
@@ -22,9 +24,16 @@ def _joined(spark: SparkSession, folder: str) -> DataFrame:
     doc_count = documents.agg(F.count("*")).scalar()
     page_count = pages.agg(F.count("*")).scalar()
     docs = documents.select("doc_id", F.replace("text", F.lit("\n"), F.lit(" ")).alias("t"), "lang")
-    # Narrow rows first: the long texts join last and are not shuffled again.
+    # Narrow rows first: the long texts join last and are not shuffled again. Both sides are dealt by document over all cores,
+    # or a table of one file would be joined, and read by every analysis after, in one task.
     rows = events.withColumn("page_id", F.col("n") % page_count).join(pages.select("page_id", "url"), "page_id")
-    return rows.withColumn("doc_id", F.col("n") % doc_count).join(docs, "doc_id")
+    rows = rows.withColumn("doc_id", F.col("n") % doc_count).repartition(_parts(spark), "doc_id")
+    return rows.join(docs.repartition(_parts(spark), "doc_id").hint("merge"), "doc_id")
+
+
+def _parts(spark: SparkSession) -> int:
+    """Partitions of the derived table at every size: ``TASKS_PER_CORE``, or as many as the session sets for shuffles."""
+    return max(TASKS_PER_CORE * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def messages(spark: SparkSession, folder: str, keep=()) -> DataFrame:

@@ -1,12 +1,13 @@
 """Known answers on small inputs."""
 
+import math
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 from conftest import START, one, rows
 
-from parley.functions.stats import poisson_lower, poisson_upper
+from parley.functions.stats import erfc, log_gamma, poisson_tail
 from parley.operators import anomalies, bots, cohorts, concentration, emotes, health, language, links, mentions
 from parley.operators import overview, roles, sessions, temporal, words
 
@@ -136,12 +137,34 @@ def test_anomalies_need_enough_bins(chat):
     assert anomalies.anomalies(temporal.bins_5m(chat(*quiet[:5])), 1.0).count() == 0
 
 
-def test_poisson_tails():
-    assert poisson_upper(20, 10) == pytest.approx(0.0035, abs=1e-4)
-    assert poisson_upper(21, 10) == pytest.approx(0.0016, abs=1e-4)
-    assert poisson_lower(10, 10) + poisson_upper(11, 10) == pytest.approx(1)
-    assert poisson_upper(0, 5) == 1.0 and poisson_lower(-1, 5) == 0.0
-    assert poisson_upper(50, 50) == pytest.approx(0.5 + 0.0282, abs=1e-3)
+def plain_tail(k, lam, upper):
+    if (k <= 0) if upper else (k < 0):
+        return float(upper)
+    if lam <= 0:
+        return float(not upper)
+    if lam >= 30:
+        return 0.5 * math.erfc((k - 0.5 - lam) / math.sqrt(2 * lam)) if upper else 0.5 * math.erfc((lam - k - 0.5) / math.sqrt(2 * lam))
+    terms = (math.exp(j * math.log(lam) - lam - math.lgamma(j + 1)) for j in (range(k, k + 400) if upper else range(k + 1)))
+    return min(1.0, math.fsum(terms))
+
+
+def test_poisson_tails(spark):
+    cases = [(k, lam, up) for k in (-1, 0, 1, 2, 5, 10, 20, 29, 30, 60, 200) for lam in (0.0, 1e-9, 0.3, 1.0, 5.0, 10.0, 29.99, 30.0, 50.0, 4e5) for up in (True, False)]
+    rows = spark.createDataFrame(cases, "k long, lam double, up boolean")
+    got = {(r.k, r.lam, r.up): r.p for r in rows.withColumn("p", poisson_tail("k", "lam", F.col("up"))).collect()}
+    for case in cases:
+        assert got[case] == pytest.approx(plain_tail(*case), abs=1e-9, rel=1e-9), case
+    assert got[20, 10.0, True] == pytest.approx(0.0035, abs=1e-4)
+    assert got[10, 10.0, False] + plain_tail(11, 10.0, True) == pytest.approx(1)
+
+
+def test_gamma_and_error_functions(spark):
+    xs = [1e-6, 0.1, 0.5, 1.0, 1.5, 3.0, 10.0, 1e3, 1e8]
+    zs = [-6.0, -1.5, -1e-9, 0.0, 1e-3, 0.7, 1.3, 3.0, 8.0, 20.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(log_gamma(F.col("x"))).collect()]
+    assert got == [pytest.approx(math.lgamma(x), abs=1e-9, rel=1e-12) for x in xs]
+    got = [r[0] for r in spark.createDataFrame([(z,) for z in zs], "z double").select(erfc(F.col("z"))).collect()]
+    assert got == [pytest.approx(math.erfc(z), abs=1e-9) for z in zs]
 
 
 def test_native_emotes_by_position(chat):
