@@ -1080,12 +1080,10 @@ FROM entries GROUP BY channel, emote_id"""
 ORACLE["emote_catalog_union"] = f"""WITH {CATALOG}
 SELECT 'e-' || name AS emote_id, last(name || '@' || channel ORDER BY list_position(['ch2', 'ch0', 'ch1'], channel)) AS name FROM catalog GROUP BY 1"""
 
-# --- streaming: all bins, and the sessions that the watermark has closed
-CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM messages)"
-ORACLE["live_bins"] = q("SELECT window_start, message_count FROM bins", BINS)
-ORACLE["live_sessions"] = q(
-    f"SELECT user_id, session_start, session_end, messages FROM session_rows WHERE session_end + INTERVAL 2 HOUR <= {CLOSED}", SESSIONS
-)
-ORACLE["ingest_stream"] = q(
-    "SELECT 'channel_' || channel AS channel_key, strftime(ts, '%Y_%m') AS year_month, count(*) AS n FROM messages GROUP BY ALL"
-)
+# --- streaming: every row, however late, and sessions that are still open
+ORACLE["live_bins"] = q("SELECT window_start, message_count, unique_chatters FROM bins", BINS)
+ORACLE["live_sessions"] = ORACLE["session_table"]
+ORACLE["ingest_stream"] = """SELECT 'channel_ch' || (user_id % 3) AS channel_key, strftime(ts, '%Y_%m') AS year_month, count(*) AS n,
+  count(DISTINCT event_id) AS ids, count(*) AS second, CAST(sum(length(concat_ws(' ', event_type, props, '2'))) AS BIGINT) AS chars
+FROM events GROUP BY ALL"""
+ORACLE["stored_page"] = ORACLE["channel_logs_deep"]

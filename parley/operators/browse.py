@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from datetime import timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.constants import SUGGESTION_LIMIT
@@ -10,6 +12,7 @@ from parley.functions import text as tx
 from parley.functions.core import time_cell, top_k
 from parley.operators.activity import last_by_time
 from parley.operators.filters import filter_channel, filter_user, has_text, slice_window
+from parley.sources import store
 
 MAX_PAGE = 1000
 MAX_RANDOM = 100
@@ -25,17 +28,46 @@ def page(df: DataFrame, limit: int = 50, offset: int = 0, reverse: bool = False)
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
     order = [F.desc("ts"), F.desc("id")] if reverse else [F.asc("ts"), F.asc("id")]
     rows = df.withColumn("__cell", time_cell("ts", "1 minute"))
-    sizes = rows.groupBy("__cell").agg(F.count("*").alias("__size"))
-    along = Window.orderBy(F.desc("__cell") if reverse else F.asc("__cell"))
-    upto = F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, 0))
-    places = sizes.withColumn("__before", upto - F.col("__size"))
-    hit = places.filter((F.col("__before") < offset + limit) & (F.col("__before") + F.col("__size") > offset))
+    hit = _cells_of(rows.groupBy("__cell").agg(F.count("*").alias("__size")), limit, offset, reverse)
     near = rows.join(hit.select("__cell", "__before"), "__cell")
     place = F.col("__before") + F.row_number().over(Window.partitionBy("__cell").orderBy(*order))
     found = near.withColumn("__place", place).filter((F.col("__place") > offset) & (F.col("__place") <= offset + limit))
     return found.orderBy("__place").drop("__cell", "__before", "__place")
 
 
+def _cells_of(sizes: DataFrame, limit: int, offset: int, reverse: bool) -> DataFrame:
+    """The cells (``__cell``, ``__size``) that places offset to offset + limit fall in, with the rows before each."""
+    along = Window.orderBy(F.desc("__cell") if reverse else F.asc("__cell"))
+    upto = F.sum("__size").over(along.rowsBetween(Window.unboundedPreceding, 0))
+    places = sizes.withColumn("__before", upto - F.col("__size"))
+    return places.filter((F.col("__before") < offset + limit) & (F.col("__before") + F.col("__size") > offset))
+
+
+def stored_page(
+    spark: SparkSession, root: str, channel: str, limit: int = 50, offset: int = 0, reverse: bool = False, id_type: str = "channel"
+) -> DataFrame:
+    """One page of a stored channel, found through the counts of messages that the merges keep.
+
+    Counts per month, then per minute of the months hit, tell the minutes of the page, at most ``limit`` of them; only their stretch of
+    the store is read, however deep the page lies. Messages without a time are not part of it.
+    """
+    if not 1 <= limit <= MAX_PAGE:
+        raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
+    at = store.snapshot(spark, root)
+    counts = store.minutes(spark, root, channel, id_type, at).filter(F.col("minute").isNotNull())
+    months = counts.groupBy(F.col("year_month").alias("__cell")).agg(F.sum("messages").alias("__size"))
+    hit = _cells_of(months, limit, offset, reverse).collect()
+    offset -= min((r["__before"] for r in hit), default=0)
+    inside = counts.filter(F.col("year_month").isin([r["__cell"] for r in hit]))
+    sizes = inside.groupBy(F.col("minute").alias("__cell")).agg(F.sum("messages").alias("__size"))
+    cells = _cells_of(sizes, limit, offset, reverse).collect() if hit else []
+    if not cells:
+        return spark.createDataFrame([], store.STORED)
+    start, last = min(r["__cell"] for r in cells), max(r["__cell"] for r in cells)
+    rows = store.read_store(spark, root, channel, start, last + timedelta(minutes=1), id_type, at)
+    return page(rows, limit, offset - min(r["__before"] for r in cells), reverse)
+
+
 def _window(df: DataFrame, start, end) -> DataFrame:
     return df if start is None and end is None else slice_window(df, start or "0001-01-01", end or "9999-12-31")
 

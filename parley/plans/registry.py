@@ -1114,34 +1114,52 @@ def _stream(i) -> DataFrame:
     """The events file as a stream of messages."""
     schema = i.table("events").schema
     events = i.spark.readStream.schema(schema).parquet(f"{i.folder.rstrip('/')}/events.parquet*")
+    user = F.col("user_id").cast("string")
     return events.select(
         F.concat(F.lit("m"), F.col("event_id").cast("string")).alias("id"),
         F.col("ts").cast("timestamp_ntz").alias("ts"),
-        F.col("user_id").cast("string").alias("user_id"),
+        user.alias("user_id"),
+        F.concat(F.lit("User"), user).alias("username"),
+        F.concat_ws(" ", "event_type", "props").alias("text"),
+        F.lit(None).cast("string").alias("emotes_tag"),
+        F.lit("regular").alias("role"),
         F.concat(F.lit("ch"), (F.col("user_id") % 3).cast("string")).alias("channel"),
     )
 
 
-def _finished(i, name: str, table: DataFrame, partitions=()) -> DataFrame:
-    root = i.scratch(name)
-    live.write_stream(table, f"{root}/data", f"{root}/checkpoint", partitions).awaitTermination()
-    return i.spark.read.schema(table.schema).parquet(f"{root}/data")
-
-
 @query
 def live_bins(i):
-    root, table = i.scratch("bins"), live.live_bins(_stream(i))
-    live.write_windows(table, f"{root}/data", f"{root}/checkpoint").awaitTermination()
-    return live.read_windows(i.spark, f"{root}/data", table).select("window_start", "message_count")
+    """Messages and users of every 5-minute bin of a stream."""
+    root = i.scratch("bins")
+    live.write_bins(_stream(i), f"{root}/data", f"{root}/checkpoint").awaitTermination()
+    return live.read_bins(i.spark, f"{root}/data")
 
 
 @query
 def live_sessions(i):
-    return _finished(i, "sessions", live.live_sessions(_stream(i), 120))
+    """All sessions of a stream, those that are still open included."""
+    root = i.scratch("sessions")
+    live.write_sessions(_stream(i), f"{root}/data", f"{root}/checkpoint", 120).awaitTermination()
+    return live.read_sessions(i.spark, f"{root}/data", 120).drop("session_no")
 
 
 @query
 def ingest_stream(i):
-    twice = _stream(i).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    done = _finished(i, "ingest", live.ingest_stream(twice), store.PARTITIONS)
-    return done.groupBy("channel_key", "year_month").agg(F.count("*").alias("n"))
+    """A store that a stream was merged into, every message sent twice with another text: the last stays."""
+    root = i.scratch("ingest")
+    copy = F.explode(F.array(F.lit(1), F.lit(2)))
+    twice = _stream(i).withColumn("came", copy).withColumn("text", F.concat_ws(" ", "text", "came"))
+    live.ingest_into_store(twice, f"{root}/store", f"{root}/checkpoint", arrival="came").awaitTermination()
+    rows = store.scan(i.spark, f"{root}/store")
+    last = F.count_if(F.endswith("text", F.lit(" 2"))).alias("second")
+    digest = F.sum(F.length("text")).alias("chars")
+    return rows.groupBy("channel_key", "year_month").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), last, digest)
+
+
+@query
+def stored_page(i):
+    """A deep page of a stored channel, found by the counts that the merges keep."""
+    root = i.scratch("pages")
+    store.merge_store(i.spark, root, filters.slice_window(i.messages, "2024-01-01", "2024-01-12"))
+    store.merge_store(i.spark, root, filters.slice_window(i.messages, "2024-01-10", "2024-02-01"))
+    return _shown(browse.stored_page(i.spark, root, "ch0", limit=100, offset=1500, reverse=True))

@@ -157,6 +157,78 @@ def test_store_merges_are_idempotent_and_pruned(spark, chat, tmp_path):
     assert "GreaterThanOrEqual(ts" in scan.split("PushedFilters: ")[1]
 
 
+def test_a_reader_keeps_its_version_and_a_merge_that_dies_shows_nothing(spark, chat, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    day = lambda n: datetime(2024, 1, 1) + timedelta(days=n)
+    old = chat(*[("u", "old", day(n)) for n in range(60)])
+    store.merge_store(spark, root, old)
+    reader, whole = store.read_store(spark, root, "chan", day(0), day(90)), rows(old, "id", "text")
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            store.merge_store(spark, root, old.withColumn("text", F.lit("half")))
+    assert rows(store.scan(spark, root), "id", "text") == whole
+    store.merge_store(spark, root, old.filter("id < 'm0040'").withColumn("text", F.lit("new")))
+    assert rows(reader, "id", "text") == whole
+    texts = dict(rows(store.scan(spark, root), "id", "text"))
+    assert len(texts) == 60 and {i for i, t in texts.items() if t == "new"} == {f"m{n:04d}" for n in range(40)}
+    first = store.snapshot(spark, root, 1)
+    assert rows(store.scan(spark, root, first), "id", "text") == whole
+    assert store.vacuum(spark, root, keep=1) == 2 and rows(store.scan(spark, root), "id") == rows(old, "id")
+    assert store.versions(spark, root) == [2]
+
+
+def test_of_two_merges_at_once_the_second_is_refused(spark, chat, tmp_path, monkeypatch):
+    root, real = str(tmp_path / "store"), store.snapshot
+    store.merge_store(spark, root, chat(("u", "a", 0)))
+    seen = real(spark, root)
+    store.merge_store(spark, root, chat(("u", "b", 0)))
+    monkeypatch.setattr(store, "snapshot", lambda *a: seen)
+    with pytest.raises(store.MergeConflict):
+        store.merge_store(spark, root, chat(("u", "c", 0)))
+    monkeypatch.undo()
+    assert rows(store.scan(spark, root), "text") == [("b",)] and store.versions(spark, root) == [1, 2]
+
+
+def test_store_takes_messages_without_time_or_channel_and_empty_merges(spark, chat, tmp_path):
+    root = str(tmp_path / "store")
+    odd = chat(("u", "x", 0), ("u", "y", 1), ("u", "z", 2)).withColumn("ts", F.when(F.col("text") != "y", F.col("ts")))
+    odd = odd.withColumn("channel", F.when(F.col("text") != "z", F.col("channel")))
+    for _ in range(2):
+        store.merge_store(spark, root, odd)
+        store.merge_store(spark, root, odd.limit(0))
+        assert rows(store.scan(spark, root), "text") == [("x",), ("y",), ("z",)]
+    assert sum(r.messages for r in store.minutes(spark, root, "chan").collect()) == 1
+
+
+def test_without_an_arrival_the_order_of_rows_does_not_count(spark, chat, tmp_path):
+    copies = chat(("u", "b", 0, {"id": "x"}), ("u", "a", 0, {"id": "x"}), ("u", "c", 0, {"id": "x"}))
+    kept = set()
+    for k, part in enumerate((copies, copies.orderBy("text"), copies.orderBy(F.desc("text")))):
+        store.merge_store(spark, str(tmp_path / str(k)), part)
+        kept.add(one(store.scan(spark, str(tmp_path / str(k))), "text"))
+    assert len(kept) == 1
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_stored_pages_equal_pages_and_read_their_minutes_only(spark, chat, tmp_path, reverse):
+    root = str(tmp_path / "store")
+    m = chat(*[("u", f"t{n}", datetime(2024, 1, 25) + timedelta(hours=n % 400, seconds=n % 7)) for n in range(900)])
+    store.merge_store(spark, root, m.filter("id < 'm0500'"))
+    store.merge_store(spark, root, m.filter("id >= 'm0450'"))
+    for limit, offset in ((1, 0), (10, 0), (50, 400), (1000, 0), (7, 896), (5, 900), (5, 5000)):
+        got = browse.stored_page(spark, root, "CHAN", limit, offset, reverse)
+        want = browse.channel_logs(m, "chan", limit=limit, offset=offset, reverse=reverse)
+        assert [r.id for r in got.collect()] == [r.id for r in want.collect()], (limit, offset)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = browse.stored_page(spark, root, "chan", 5, 100, reverse)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert plan.count("FileScan parquet") <= 2 and "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+    with pytest.raises(ValueError):
+        browse.stored_page(spark, root, "chan", 0)
+    assert browse.stored_page(spark, str(tmp_path / "none"), "chan").count() == 0
+
+
 def test_the_last_arrived_copy_stays_and_the_stage_is_removed(spark, chat, tmp_path):
     root, stage = str(tmp_path / "store"), tmp_path / "stage"
     m = chat(("u", "zzz first", 0, {"id": "a"}), ("u", "aaa last", 0, {"id": "a"}))

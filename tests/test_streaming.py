@@ -98,3 +98,80 @@ def test_bins_that_are_still_open_are_read_too(spark, tmp_path):
         live.write_windows(table, str(tmp_path / "bins"), str(tmp_path / "check")).awaitTermination()
     got = live.read_windows(spark, str(tmp_path / "bins"), table)
     assert {r.window_start.minute: r.message_count for r in got.collect()} == {0: 2, 5: 3, 10: 1}
+
+
+def test_late_and_repeated_rows_end_up_in_the_store(spark, late, tmp_path):
+    root, check = str(tmp_path / "store"), str(tmp_path / "check")
+    live.ingest_into_store(messages(spark, late), root, check).awaitTermination()
+    batch = records.normalize_messages(records.read_messages(spark, str(late))).dropDuplicates(["id"])
+    assert rows(store.scan(spark, root), *batch.columns) == rows(batch) and len(rows(batch)) == 241
+    assert store.snapshot(spark, root).batches == {check: 5}
+    # more files, taken up where the stream stopped
+    row = {"id": "more", "text": "x", "username": "u1", "channel": "chan", "tags": {}, "timestamp": "2023-12-31T00:00:00Z"}
+    (late / "6.json").write_text(json.dumps(row))
+    live.ingest_into_store(messages(spark, late), root, check).awaitTermination()
+    assert store.scan(spark, root).count() == 242 and store.snapshot(spark, root).batches == {check: 6}
+
+
+def test_a_batch_that_is_repeated_changes_nothing(spark, chat, tmp_path):
+    root = str(tmp_path / "store")
+    first, second = chat(("a", "one", 0)), chat(("a", "two", 0))
+    assert store.merge_store(spark, root, first, batch=("s", 0))
+    assert not store.merge_store(spark, root, second, batch=("s", 0))
+    assert rows(store.scan(spark, root), "text") == [("one",)] and store.versions(spark, root) == [1]
+    assert store.merge_store(spark, root, second, batch=("other", 0)) and store.merge_store(spark, root, first, batch=("s", 1))
+    assert rows(store.scan(spark, root), "text") == [("one",)]
+    assert store.snapshot(spark, root).batches == {"s": 1, "other": 0}
+
+
+def test_a_merge_that_is_overtaken_is_tried_again(spark, files, tmp_path, monkeypatch):
+    root, real, refused = str(tmp_path / "store"), store.merge_store, []
+
+    def merge(*args):
+        if len(refused) < 2:
+            refused.append(args[-1])
+            raise store.MergeConflict
+        return real(*args)
+
+    monkeypatch.setattr(store, "merge_store", merge)
+    live.ingest_into_store(messages(spark, files), root, str(tmp_path / "check")).awaitTermination()
+    assert store.scan(spark, root).count() == 240 and len(refused) == 2
+
+
+def test_live_bins_equal_the_batch_table(spark, late, tmp_path):
+    sent = records.normalize_messages(records.read_messages(spark, str(late)))
+    for _ in range(2):  # a second call finds nothing new
+        live.write_bins(messages(spark, late), str(tmp_path / "bins"), str(tmp_path / "check")).awaitTermination()
+        got = live.read_bins(spark, str(tmp_path / "bins"))
+        columns = ("window_start", "message_count", "unique_chatters")
+        assert rows(got, *columns) == rows(temporal.bins_5m(sent), *columns)
+
+
+def test_live_sessions_equal_the_batch_table(spark, late, tmp_path):
+    sent = records.normalize_messages(records.read_messages(spark, str(late)))
+    columns = ("user_id", "session_start", "session_end", "messages", "duration_s")
+    for gap in (11, 12):
+        root = tmp_path / str(gap)
+        live.write_sessions(messages(spark, late), str(root / "out"), str(root / "check"), gap).awaitTermination()
+        assert rows(live.read_sessions(spark, str(root / "out"), gap), *columns) == rows(sessions.session_table(sent, gap), *columns)
+
+
+def test_a_pause_of_exactly_the_gap_splits_and_parts_are_put_together(spark, chat, tmp_path):
+    times = [0, 600, 1199, 1200, 1799, 3000]  # a gap of ten minutes: 600, then 599, 1, 599, 1201 seconds
+    for k, second in enumerate(reversed(times)):
+        chat(("u", "x", second)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(chat(("u", "x", 0)).schema).parquet(str(tmp_path / "in"))
+        live.write_sessions(stream, str(tmp_path / "out"), str(tmp_path / "check"), 10).awaitTermination()
+        batch = spark.read.parquet(str(tmp_path / "in"))
+        columns = ("user_id", "session_start", "session_end", "messages")
+        assert rows(live.read_sessions(spark, str(tmp_path / "out"), 10), *columns) == rows(sessions.session_table(batch, 10), *columns)
+    assert sorted(r.messages for r in live.read_sessions(spark, str(tmp_path / "out"), 10).collect()) == [1, 1, 4]
+
+
+def test_nothing_sent_is_nothing_read(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    stream = messages(spark, tmp_path / "in")
+    live.write_bins(stream, str(tmp_path / "bins"), str(tmp_path / "c1")).awaitTermination()
+    live.write_sessions(stream, str(tmp_path / "sessions"), str(tmp_path / "c2")).awaitTermination()
+    assert live.read_bins(spark, str(tmp_path / "bins")).count() == 0
+    assert live.read_sessions(spark, str(tmp_path / "sessions")).count() == 0
