@@ -687,6 +687,22 @@ ORACLE["per_channel_all"] = (
     + " UNION ALL ".join(_with_channel(s, c) for s in PER_CHANNEL for c in ("ch1", "ghost"))
     + ") GROUP BY ALL"
 )
+TOP_ANOMALIES = ORACLE["anomalies_5m"] + " ORDER BY round(abs(z), 9) DESC, window_start LIMIT 50"
+EVERY_CHANNEL = {k: v for k, v in SECTIONS.items() if k not in {"top_emotes", "top_words", "vocabulary", "zipf_slope", "message_classes", "all_urls"}}
+for more in "emote_pairs emote_centrality emote_entropy lorenz mention_graph mutual_mentions new_returning staff_list subscriber_list subscriber_count length_trend copy_paste_summary copy_paste_chains top_phrases bot_scores cohort_retention quote_reply_count quote_reply_pairs".split():
+    EVERY_CHANNEL[more] = more
+EVERY_CHANNEL |= {"concentration": "concentration_of_users"}
+EVERY_SQL = {n: ORACLE[n] for n in EVERY_CHANNEL.values()} | {
+    "top_anomalies": TOP_ANOMALIES,
+    "top_chatters": f"SELECT * EXCLUDE (channels) FROM ({ORACLE['top_chatters']})",
+}
+EVERY_CHANNEL |= {"anomalies": "top_anomalies"}
+RUN_EVERY = [
+    _values("#" + s, _of_channel(f"SELECT '{c}' AS channel, {ONLY.get(s, '*')} FROM ({RUN.get(s, EVERY_SQL[n])})", c)).replace("'#", "'")
+    for s, n in EVERY_CHANNEL.items()
+    for c in ("ch0", "ch1", "ch2")
+]
+ORACLE["per_channel_every"] = "SELECT section, key, value, count(*) AS n FROM (" + " UNION ALL ".join(RUN_EVERY) + ") GROUP BY ALL"
 ORACLE["chat_stats_sizes"] = " UNION ALL ".join(
     f"SELECT '{section}' AS section, count(*) AS n FROM ({ORACLE[name]})" for section, name in SECTIONS.items()
 )
@@ -858,13 +874,27 @@ ORACLE["summary_text"] = q(
     EMOTE_COUNTS,
     BINS,
 )
-ORACLE["exported_sections"] = q(
-    """SELECT 'top_chatters' AS section, least(20, count(DISTINCT user_id)) AS n FROM messages
-UNION ALL SELECT 'top_commands', least(20, count(DISTINCT name)) FROM commands WHERE name <> ''
-UNION ALL SELECT 'per_day', count(*) FROM daily
-UNION ALL SELECT 'roles', count(DISTINCT role) FROM messages""",
-    COMMANDS,
-    DAILY,
+STAMPS = ("first_seen", "last_seen", "window_start")
+EXPORTED = {
+    "top_chatters": ("top_chatters", "user_id, username, message_count, active_days, first_seen, last_seen"),
+    "top_words": ("top_words", "word, uses"), "top_emotes": ("top_emotes", "name, uses"),
+    "emote_pairs": ("emote_pairs", "emote1, emote2, uses"), "top_commands": ("top_commands", "name, uses, unique_users"),
+    "top_domains": ("top_domains", "domain, uses"), "top_urls": ("top_urls", "url, uses"), "top_mentions": ("top_mentions", "username, uses"),
+    "per_day": ("per_day", "day, messages"), "roles": ("roles_seen", "role, messages, unique_users"),
+    "staff_list": ("staff_list", "user_id, username, role, message_count, first_seen, last_seen"),
+    "subscriber_list": ("subscriber_list", "user_id, username, message_count, first_seen, last_seen"),
+    "anomalies": (TOP_ANOMALIES, "window_start, message_count, z_score"),
+}
+
+
+def _exported(section: str) -> str:
+    body, columns = EXPORTED[section]
+    iso = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%f') || '+00:00' AS {c}" if c in STAMPS else c
+    return _values("#" + section, f"SELECT {', '.join(map(iso, columns.split(', ')))} FROM ({ORACLE.get(body, body)})").replace("'#", "'")
+
+
+ORACLE["exported_sections"] = (
+    "SELECT section, key, value, count(*) AS n FROM (" + " UNION ALL ".join(map(_exported, EXPORTED)) + ") GROUP BY ALL"
 )
 ORACLE["message_lines"] = q(
     r"""SELECT '[' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z] ' || username || ': ' || text AS line

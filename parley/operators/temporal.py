@@ -50,6 +50,17 @@ def bins_5m(df: DataFrame, by=()) -> DataFrame:
     )
 
 
+def bin_users(df: DataFrame, by=()) -> DataFrame:
+    """Messages per 5-minute bin and user: counts that add up over channels, which distinct users do not."""
+    return df.groupBy(*keys(by), time_cell("ts", f"{C.BIN_MINUTES} minutes").alias("window_start"), "user_id").agg(F.count("*").alias("n"))
+
+
+def bins_of_users(users: DataFrame, by=()) -> DataFrame:
+    """``bins_5m`` from the counts per user."""
+    per_bin = users.groupBy(*keys(by), "window_start")
+    return per_bin.agg(F.sum("n").alias("message_count"), F.count_distinct("user_id").alias("unique_chatters"))
+
+
 def peaks_5m(bins: DataFrame, n: int = 3, by=()) -> DataFrame:
     """The n bins with the most messages."""
     by = keys(by)

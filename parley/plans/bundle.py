@@ -24,13 +24,17 @@ class Shared:
     lost executor held is computed again. ``keep="folder"`` writes each one
     once to the shared folder, so nothing is ever repeated. Without it they
     are plain lazy tables and Spark reuses exchanges within a single plan.
+
+    ``fine`` is the same per channel, of the same messages: counts that add up
+    over channels are then taken from it and not from the messages again, for
+    all channels together (``by=()``) as for each name in lower case.
     """
 
-    def __init__(self, df: DataFrame, catalog: DataFrame | None, by=(), keep: str | None = None):
+    def __init__(self, df: DataFrame, catalog: DataFrame | None, by=(), keep: str | None = None, fine: Shared | None = None):
         if keep not in (None, "disk", "folder"):
             raise ValueError(f"unknown keep: {keep}")
         self.df, self.catalog, self.by = df, catalog, keys(by)
-        self._keep, self._made = keep, {}
+        self.fine, self._keep, self._made = fine, keep, {}
 
     def _once(self, name, make) -> DataFrame:
         if name not in self._made:
@@ -42,13 +46,31 @@ class Shared:
             self._made[name] = made
         return self._made[name]
 
+    def _added_up(self, name: str, make, *counts: str) -> DataFrame:
+        """``make()`` over the messages, or the sums of the counts of the finer table."""
+        if self.fine is None:
+            return self._once(name, make)
+        rows = getattr(self.fine, name)
+        if self.by:
+            rows = rows.withColumn("channel", F.lower(F.trim("channel")))
+        labels = [c for c in rows.columns if c not in counts and (self.by or c != "channel")]
+        return self._once(name, lambda: rows.groupBy(*labels).agg(*(F.sum(c).alias(c) for c in counts)))
+
     @property
     def rollup(self):
-        return self._once("rollup", lambda: act.activity(self.df, self.by))
+        if self.fine is None:
+            return self._once("rollup", lambda: act.activity(self.df, self.by))
+        rows = self.fine.rollup
+        # the roll-up has the channel either way; its readers sum rows that a change of case makes equal
+        return rows.withColumn("channel", F.lower(F.trim("channel"))) if self.by else rows
+
+    @property
+    def bin_users(self):
+        return self._added_up("bin_users", lambda: temporal.bin_users(self.df, self.by), "n")
 
     @property
     def bins(self):
-        return self._once("bins", lambda: temporal.bins_5m(self.df, self.by))
+        return self._once("bins", lambda: temporal.bins_of_users(self.bin_users, self.by))
 
     @property
     def daily(self):
@@ -60,7 +82,7 @@ class Shared:
 
     @property
     def token_counts(self):
-        return self._once("token_counts", lambda: emotes.token_counts(self.df, self.by))
+        return self._added_up("token_counts", lambda: emotes.token_counts(self.df, self.by), "uses")
 
     @property
     def native_counts(self):
@@ -68,7 +90,7 @@ class Shared:
 
     @property
     def pair_counts(self):
-        return self._once("pair_counts", lambda: emotes.pair_counts(self.df, self.by, C.MAX_EMOTES_PER_MSG))
+        return self._added_up("pair_counts", lambda: emotes.pair_counts(self.df, self.by, C.MAX_EMOTES_PER_MSG), "uses")
 
     @property
     def word_counts(self):
@@ -80,11 +102,11 @@ class Shared:
 
     @property
     def url_counts(self):
-        return self._once("url_counts", lambda: links.url_counts(self.df, self.by))
+        return self._added_up("url_counts", lambda: links.url_counts(self.df, self.by), "uses")
 
     @property
     def edge_counts(self):
-        return self._once("edge_counts", lambda: mentions.edge_counts(self.df, self.by))
+        return self._added_up("edge_counts", lambda: mentions.edge_counts(self.df, self.by), "uses")
 
     @property
     def reply_counts(self):
@@ -92,7 +114,7 @@ class Shared:
 
     @property
     def text_counts(self):
-        return self._once("text_counts", lambda: health.text_counts(self.df, self.by))
+        return self._added_up("text_counts", lambda: health.text_counts(self.df, self.by), "uses")
 
     @property
     def copy_paste(self):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley import constants as C
@@ -25,6 +25,18 @@ def requested(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     return spark.range(1).select(F.explode(names).alias("channel"))
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """Channel names as they are asked for: trimmed and in lower case."""
+    return df.withColumn("channel", F.lower(F.trim("channel")))
+
+
+def needs(spark: SparkSession, params: Params) -> DataFrame:
+    """The range asked for, per channel, as ``coverage.clamp_to_calendar`` takes it."""
+    span = [F.lit(str(t)).cast("timestamp_ntz").alias(n) for t, n in ((params.from_date, "need_from"), (params.to_date, "need_to"))]
+    names = F.array(*[F.lit(c.strip().lower()) for c in params.channels])
+    return spark.range(1).select(F.explode(names).alias("channel"), *span)
+
+
 def channel_totals(df: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Messages, chatters, peak concurrency, first and last message; zeros for silent channels."""
     rollup = act.activity(df)
@@ -91,15 +103,19 @@ ONE_ROW = {
 SLOTS = {"hourly": {"hour": 24}, "weekday_hour": {"weekday": 7, "hour": 24}}
 
 
-def per_channel(df: DataFrame, params: Params, catalog: DataFrame | None = None, keep: str | None = None) -> dict[str, DataFrame]:
+def per_channel(
+    df: DataFrame, params: Params, catalog: DataFrame | None = None, keep: str | None = None, fine: Shared | None = None
+) -> dict[str, DataFrame]:
     """Every selected section per asked channel, each channel with its own catalog.
 
+    ``fine`` holds counts per channel of the same messages that another part of the run reads too.
+
     A channel without messages has the rows of an empty run: zero counts in
     the sections with one row, and a zero for every hour.
     """
     asked = requested(df, [c.strip().lower() for c in params.channels])
-    df = filter_channel(df, params.channels).withColumn("channel", F.lower(F.trim("channel")))
-    out = chat_stats(df, params, catalog, BY, all_urls=False, shared=Shared(df, catalog, BY, keep))
+    df = plain_names(filter_channel(df, params.channels))
+    out = chat_stats(df, params, catalog, BY, all_urls=False, shared=Shared(df, catalog, BY, keep, fine))
     for name, zeros in ONE_ROW.items():
         if name in out:
             out[name] = complete(out[name], asked, BY, zeros)

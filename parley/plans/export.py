@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
 from parley.plans.bundle import as_document
 
+CRLF = "\r\n"
 # Sections of the CSV export and their columns.
 CSV_SECTIONS = {
     "top_chatters": ("user_id", "username", "message_count", "active_days", "first_seen", "last_seen"),
@@ -51,22 +53,53 @@ def _flat(table: DataFrame) -> DataFrame:
     return table.select(*out)
 
 
+#: Columns that order a section, those that count downwards.
+_COUNTS = ("message_count", "uses")
+
+
+def csv_lines(table: DataFrame) -> DataFrame:
+    """A column ``line`` of RFC 4180 records after the other columns: quotes only where a comma, quote or line break asks for them."""
+    flat = _flat(table)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in flat.columns]
+    quoted = [F.when(c.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cells]
+    return flat.select("*", F.concat_ws(",", *quoted).alias("line"))
+
+
 def write_csv(table: DataFrame, path: str) -> None:
-    """One section as CSV: header, quotes only where needed and doubled inside, CRLF line ends are for readers."""
+    """One table as CSV files: header, quotes only where needed and doubled inside, lines that end with CR and LF."""
     writer = _flat(table).write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False)
-    writer.option("emptyValue", "").option("lineSep", "\n").csv(path)
+    writer.option("emptyValue", "").option("lineSep", CRLF).csv(path)
 
 
-def write_sections(sections: dict[str, DataFrame], root: str) -> list[str]:
-    """One CSV folder per exportable section that was computed."""
-    written = []
+def write_sections(sections: dict[str, DataFrame], root: str, base: str = "") -> list[str]:
+    """Every exportable section that was computed, in one pass: a folder ``section=<base_>name`` with one CSV file each.
+
+    The sections are reports of bounded size, so each is put in order in one task: counts downwards, then by its first columns.
+    """
+    rows, written = [], []
     for name, columns in CSV_SECTIONS.items():
-        if name in sections:
-            write_csv(sections[name].select(*columns), f"{root.rstrip('/')}/{name}")
-            written.append(name)
+        if name not in sections:
+            continue
+        table = csv_lines(sections[name].select(*columns))
+        order = [F.desc(c) for c in columns if c in _COUNTS] + [F.asc(c) for c in columns if c not in _COUNTS]
+        place = F.row_number().over(Window.partitionBy(F.lit(name)).orderBy(*order))
+        header = table.sparkSession.range(1).select(F.lit(0).alias("place"), F.lit(",".join(columns)).alias("line"))
+        full = header.unionByName(table.select(place.alias("place"), "line"))
+        rows.append(full.withColumn("section", F.lit(f"{base}_{name}" if base else name)))
+        written.append(name)
+    if rows:
+        lines = reduce(DataFrame.unionByName, rows).repartition(len(rows), "section").sortWithinPartitions("section", "place")
+        lines.select("section", "line").write.mode("overwrite").option("lineSep", CRLF).partitionBy("section").text(root.rstrip("/"))
     return written
 
 
+def read_section(spark: SparkSession, root: str, name: str, base: str = "") -> DataFrame:
+    """A section that ``write_sections`` has written, all columns as text."""
+    shape = ", ".join(f"{c} string" for c in CSV_SECTIONS[name])
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "")
+    return reader.schema(shape).csv(f"{root.rstrip('/')}/section={f'{base}_{name}' if base else name}")
+
+
 def summary_text(sections: dict[str, DataFrame], channel: str, start, end) -> DataFrame:
     """The headline lines as one text: totals, top chatter, top emote, peak."""
     one = sections["overview"].select("total_messages", "unique_chatters", "days_spanned")

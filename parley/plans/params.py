@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields, replace
+from dataclasses import MISSING, Field, dataclass, field, fields, replace
 from datetime import datetime, timedelta
 
 # Section toggles and their defaults.
@@ -28,16 +28,15 @@ _EVERYTHING_ON = (
 PRESETS = ("quick", "standard", "everything")
 COMPARISON_MODES = ("previous_period", "previous_week", "previous_month", "previous_year", "custom")
 
-# Bounds of the numeric parameters.
-BOUNDS = {
-    "top_n": (5, 100),
-    "top_words_n": (10, 200),
-    "top_emotes_n": (10, 200),
-    "top_phrases_n": (0, 50),
-    "session_gap_minutes": (2, 120),
-    "anomaly_sigma": (1.0, 6.0),
-    "max_range_days": (1, 3660),
-}
+
+def _number(default, low, high):
+    """A parameter between two bounds, both allowed."""
+    return field(default=default, metadata={"low": low, "high": high})
+
+
+def _choice(default: str, *others: str):
+    """A parameter that is one of some words."""
+    return field(default=default, metadata={"choices": (default, *others)})
 
 
 def default_sections() -> frozenset[str]:
@@ -70,20 +69,20 @@ class Params:
     to_date: datetime
     channels: tuple[str, ...] = ()
     channel: str | None = None
-    channel_id_type: str = "channel"
+    channel_id_type: str = _choice("channel", "channelid")
     user: str | None = None
-    user_id_type: str = "user"
+    user_id_type: str = _choice("user", "userid")
     user_everywhere: bool = False
-    top_n: int = 20
-    top_words_n: int = 50
-    top_emotes_n: int = 50
-    top_phrases_n: int = 20
-    sections: frozenset[str] = field(default_factory=default_sections)
-    session_gap_minutes: int = 15
-    anomaly_sigma: float = 3.0
-    max_range_days: int = 366
+    top_n: int = _number(20, 5, 100)
+    top_words_n: int = _number(50, 10, 200)
+    top_emotes_n: int = _number(50, 10, 200)
+    top_phrases_n: int = _number(20, 0, 50)
+    sections: frozenset[str] = field(default_factory=default_sections, metadata={"choices": (*DEFAULT_ON, *DEFAULT_OFF)})
+    session_gap_minutes: int = _number(15, 2, 120)
+    anomaly_sigma: float = _number(3.0, 1.0, 6.0)
+    max_range_days: int = _number(366, 1, 3660)
     compare_previous: bool = False
-    comparison_mode: str = "previous_period"
+    comparison_mode: str = _choice(*COMPARISON_MODES)
     compare_from_date: datetime | None = None
     compare_to_date: datetime | None = None
 
@@ -93,23 +92,15 @@ class Params:
             raise ValueError(f"between one and three channels are needed; got {len(names)}")
         object.__setattr__(self, "channels", names)
         object.__setattr__(self, "channel", names[0] if len(names) == 1 else None)
-        unknown = set(self.sections) - set(DEFAULT_ON) - set(DEFAULT_OFF)
-        if unknown:
-            raise ValueError(f"unknown sections: {', '.join(sorted(unknown))}")
         object.__setattr__(self, "sections", frozenset(self.sections))
-        for name, (low, high) in BOUNDS.items():
-            if not low <= getattr(self, name) <= high:
-                raise ValueError(f"{name} must be between {low} and {high}")
-        if self.channel_id_type not in ("channel", "channelid") or self.user_id_type not in ("user", "userid"):
-            raise ValueError("unknown id type")
+        for f in fields(self):
+            _check(f, getattr(self, f.name))
         if self.from_date >= self.to_date:
             raise ValueError("from_date must be before to_date")
         if (self.to_date - self.from_date).days > self.max_range_days:
             raise ValueError(f"the range is longer than {self.max_range_days} days")
         if self.user is not None and not self.user.strip():
             raise ValueError("user must not be blank")
-        if self.comparison_mode not in COMPARISON_MODES:
-            raise ValueError(f"unknown comparison mode: {self.comparison_mode}")
         if self.comparison_mode == "custom":
             low, high = self.compare_from_date, self.compare_to_date
             if low is None or high is None or low >= high:
@@ -133,6 +124,22 @@ class Params:
         return start - days.get(self.comparison_mode, self.to_date - start), start
 
 
+def _check(f: Field, value) -> None:
+    """Raise ValueError where a value breaks what its field says."""
+    if "low" in f.metadata and not f.metadata["low"] <= value <= f.metadata["high"]:
+        raise ValueError(f"{f.name} must be between {f.metadata['low']} and {f.metadata['high']}")
+    if "choices" in f.metadata:
+        unknown = (set(value) if isinstance(value, frozenset) else {value}) - set(f.metadata["choices"])
+        if unknown:
+            raise ValueError(f"unknown {f.name}: {', '.join(sorted(map(str, unknown)))}")
+
+
 def schema() -> list[dict]:
-    """Names, types and defaults of the parameters, for listing."""
-    return [{"name": f.name, "type": str(f.type)} for f in fields(Params)]
+    """Name, type, default, bounds and choices of every parameter, from the fields that are validated; ``required`` ones have no default."""
+    out = []
+    for f in fields(Params):
+        default = f.default if f.default_factory is MISSING else sorted(f.default_factory())
+        limits = {"minimum": f.metadata.get("low"), "maximum": f.metadata.get("high"), "choices": list(f.metadata.get("choices", ())) or None}
+        required = default is MISSING
+        out.append({"name": f.name, "type": str(f.type), "required": required, "default": None if required else default, **limits})
+    return out

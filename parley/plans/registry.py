@@ -26,6 +26,8 @@ from parley.sources import sample, store
 from parley.streaming import live
 
 REGISTRY: dict[str, Callable] = {}
+#: Sections that look at a catalog, which have queries per channel of their own, and a count that is zero here.
+NAMED_SECTIONS = ("emote_pairs_left_out", "top_emotes", "top_words", "vocabulary", "zipf_slope", "message_classes")
 CHANNELS = ("ch0", "ch1", "ch2")
 CURRENT = (datetime(2024, 1, 16), datetime(2024, 1, 31))
 PREVIOUS = (datetime(2024, 1, 1), datetime(2024, 1, 16))
@@ -551,6 +553,15 @@ def per_channel_all(i):
     return bundle.as_values({n: found[n] for n in wide if n in found})
 
 
+@query
+def per_channel_every(i):
+    """Every value of all sections that need no catalog, for all channels, from one count of the messages per channel."""
+    params = Params(*CURRENT, channels=("CH0", "ch1", " Ch2 "), sections=preset_sections("everything"), top_phrases_n=50)
+    fine = bundle.Shared(i.messages, None, channels.BY)
+    found = channels.per_channel(i.messages, params, None, fine=fine)
+    return bundle.as_values({n: t for n, t in found.items() if n not in NAMED_SECTIONS})
+
+
 @query
 def channel_totals(i):
     return channels.channel_totals(i.messages, [*CHANNELS, "ghost"])
@@ -632,16 +643,12 @@ def summary_text(i):
 
 @query
 def exported_sections(i):
-    """CSV folders written and read back: rows per section."""
+    """All sections of the CSV export written in one pass and read back: every cell but p-values, and lines that follow the order."""
     root = i.scratch("csv")
-    made = bundle.chat_stats(i.messages, i.params("quick"), i.names)
-    names = export.write_sections({k: made[k] for k in ("top_chatters", "top_commands", "per_day", "roles")}, root)
-    read = lambda n: i.spark.read.option("header", True).schema("a string, b string").csv(f"{root}/{n}")
-    out = None
-    for n in names:
-        part = read(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("section"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    made = bundle.chat_stats(i.messages, i.params("everything"), i.names)
+    names = export.write_sections(made, root, "all")
+    read = {n: export.read_section(i.spark, root, n, "all") for n in names}
+    return bundle.as_values({n: t.drop("p_value") for n, t in read.items()})
 
 
 @query

@@ -376,6 +376,24 @@ def test_text_functions(spark):
     assert value(tx.ellipsis(F.lit("x" * 300))) == "x" * 300
 
 
+def test_sections_are_written_in_one_pass_with_their_order_and_line_ends(spark, tmp_path):
+    words = spark.createDataFrame([("b,c", 2), ('q"x', 9), ("a\nb", 2), ("plain", 5)], "word string, uses long")
+    days = spark.createDataFrame([(datetime(2024, 1, 2).date(), 3), (datetime(2024, 1, 1).date(), 4)], "day date, messages long")
+    empty = spark.createDataFrame([], "url string, uses long")
+    sections = {"top_words": words, "per_day": days, "top_urls": empty, "overview": words}
+    assert export.write_sections(sections, str(tmp_path / "out"), "base") == ["top_words", "top_urls", "per_day"]
+    text = {f.parent.name: f.read_bytes().decode() for f in (tmp_path / "out").glob("*/*.txt")}
+    assert text == {
+        "section=base_top_words": 'word,uses\r\n"q""x",9\r\nplain,5\r\n"a\nb",2\r\n"b,c",2\r\n',
+        "section=base_top_urls": "url,uses\r\n",
+        "section=base_per_day": "day,messages\r\n2024-01-01,4\r\n2024-01-02,3\r\n",
+    }
+    back = export.read_section(spark, str(tmp_path / "out"), "top_words", "base")
+    assert rows(back) == sorted([("b,c", "2"), ('q"x', "9"), ("a\nb", "2"), ("plain", "5")], key=str)
+    export.write_csv(words, str(tmp_path / "one"))
+    assert all(f.read_bytes().endswith(b"\r\n") for f in (tmp_path / "one").glob("*.csv"))
+
+
 def test_exports(spark, chat, tmp_path):
     m = chat(("a,b", 'say "hi"', 0), ("c", "x", 61))
     export.write_csv(m.select("username", "text", "ts"), str(tmp_path / "csv"))

@@ -6,12 +6,13 @@ from datetime import datetime, timedelta
 
 import pytest
 from conftest import one, rows
+from pyspark.sql import functions as F
 
 from parley.operators import overview, temporal
 from parley.plans import bundle, channels, compare, export
-from parley.plans.params import Params, preset_sections
-from parley.plans.registry import REGISTRY, Inputs, listing
-from parley.plans.run import load, report
+from parley.plans.params import Params, default_sections, preset_sections, schema
+from parley.plans.registry import CURRENT, REGISTRY, Inputs, listing
+from parley.plans.run import history, load, report
 from parley.sources import store
 
 SMALL = "/root/testdata/sf0.001"
@@ -39,6 +40,25 @@ def test_params_check_their_bounds():
         Params(B, A, channel="x")
 
 
+def test_listing_of_parameters_is_what_is_validated():
+    listed = {f["name"]: f for f in schema()}
+    assert listed["from_date"]["required"] and not listed["top_n"]["required"] and listed["channels"]["default"] == ()
+    assert listed["sections"]["default"] == sorted(default_sections()) and set(listed["sections"]["default"]) < set(listed["sections"]["choices"])
+    bounded = [f for f in listed.values() if f["minimum"] is not None]
+    assert len(bounded) == 7
+    for f in bounded:
+        span = {} if f["name"] != "max_range_days" else {"to_date": A + timedelta(hours=1)}
+        for value in (f["minimum"], f["maximum"], f["default"]):
+            assert getattr(Params(**{"from_date": A, "to_date": B, "channel": "x", f["name"]: value, **span}), f["name"]) == value
+        for value in (f["minimum"] - 1, f["maximum"] + 1, f["minimum"] - 0.01, f["maximum"] + 0.01):
+            with pytest.raises(ValueError, match=f"{f['name']} must be between"):
+                Params(**{"from_date": A, "to_date": B, "channel": "x", f["name"]: value, **span})
+    for name in ("channel_id_type", "user_id_type", "comparison_mode"):
+        assert listed[name]["default"] in listed[name]["choices"]
+        with pytest.raises(ValueError, match=f"unknown {name}"):
+            Params(A, B, channel="x", **{name: "else"})
+
+
 @pytest.mark.parametrize(
     "mode,start",
     [
@@ -126,6 +146,33 @@ def test_a_whole_run(inputs, spark, tmp_path):
     assert {r.channel: r.total_messages for r in only["summaries"]["totals"].collect()} == {"ch0": mine, "ch1": 0}
 
 
+def test_pooled_and_per_channel_sections_come_from_one_count(inputs):
+    m = inputs.messages.withColumn("channel", F.when(F.col("channel") == "ch1", F.lit(" CH1")).otherwise(F.col("channel")))
+    p = Params(*CURRENT, channels=("ch0", "ch1", "ch2"), sections=preset_sections("everything"))
+    fine = bundle.Shared(m, None, channels.BY, "folder")
+    kept = ("token_counts", "pair_counts", "url_counts", "edge_counts", "text_counts", "bins", "rollup")
+    for by, own in (((), m), (channels.BY, channels.plain_names(m))):
+        shared, alone = bundle.Shared(own, inputs.names, by, None, fine), bundle.Shared(own, inputs.names, by)
+        for name in kept:
+            got = getattr(shared, name)
+            assert not re.search("regexp_extract_all|emotes_tag", got._jdf.queryExecution().executedPlan().toString()), name
+            if name != "rollup":
+                want = getattr(alone, name)
+                assert rows(got, *want.columns) == rows(want), name
+        a, b = (bundle.chat_stats(own, p, inputs.names, by, shared=s) for s in (shared, alone))
+        for name in ("overview", "top_chatters", "top_words", "top_emotes", "emote_pairs", "peaks_5m", "roles", "top_urls", "mention_graph", "staff_list"):
+            assert rows(a[name]) == rows(b[name]), name
+
+
+def test_a_range_outside_the_logged_days_is_named(inputs, spark, tmp_path):
+    root = str(tmp_path / "store")
+    store.merge_store(spark, root, inputs.messages.filter("channel <> 'ch1' or ts < '2024-01-10'"))
+    p = Params(*CURRENT, channels=("ch0", "CH1", "none"))
+    parts = report(load(spark, root, p), p, logged=history(spark, root, p))
+    checks = {r.check: (r.failed, r.detail) for r in parts["summaries"]["checks"].collect()}
+    assert checks["outside_history"] == (True, "ch1") and checks["totals_do_not_add_up"][0] is False
+
+
 @pytest.mark.parametrize("keep", ["disk", "folder"])
 def test_kept_intermediates_change_nothing(inputs, keep):
     p = Params(A, B, channels=("ch0",), sections=preset_sections("standard"))
@@ -214,7 +261,7 @@ def test_summary_text(inputs):
 
 
 STREAMING = {"live_bins", "live_sessions", "ingest_stream"}
-WRITING = {"stored_months", "exported_sections", "merged_last_arrival", "raw_files"}
+WRITING = {"stored_page", "stored_months", "exported_sections", "merged_last_arrival", "raw_files"}
 
 
 @pytest.mark.parametrize("name", sorted(set(REGISTRY) - STREAMING - WRITING))
