@@ -16,6 +16,8 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ BLOCK_IDS = 1 << 16
 JUMP = 128
 #: Entries of each of the two caches of words: a miss costs a call of the library.
 KEPT_WORDS = 700_000
-#: Marks that are a token of their own after a letter.
-TAILS = {b".", b",", b";", b":", b"!", b"?"}
+#: Marks that are a word of their own after a letter: all of ASCII but the apostrophe, which may begin an ending.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and b != 39)
 FILES = (
     "part int, block int, n_ids long, doc_ids array<long>, doc_counts array<long>, words binary, jumps array<long>"
 )
@@ -64,44 +66,53 @@ class Encoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[bytes]) -> None:
+        """Add runs that are not known yet: letters, letters before marks, and all others, which the library gets one by one."""
         make_room(self.known, len(chunks), KEPT_WORDS)
         plain, tailed, other = [], [], []
         for c in chunks:
-            if c not in self.known:
-                text = c.decode()
-                if text.isalpha():
-                    plain.append(c)
-                elif c[-1:] in TAILS and text[:-1].isalpha():
-                    tailed.append(c)
+            if c.decode().isalpha():
+                plain.append(c)
+            else:
+                head = c.rstrip(MARKS)
+                if len(head) < len(c) and head.decode().isalpha():
+                    tailed.append((c, head, c[len(head) :]))
                 else:
                     other.append(c)
-        make_room(self.words, len(plain) + len(tailed), KEPT_WORDS)
-        new = list({*plain, *(c[:-1] for c in tailed), *(c[-1:] for c in tailed)}.difference(self.words))
+        make_room(self.words, len(plain) + 2 * len(tailed), KEPT_WORDS)
+        new = list({*plain, *(x for _, *both in tailed for x in both)}.difference(self.words))
         if new:
             ids = np.array(self._ids([b" ".join(new).decode()])[0], "<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(new):
-                flat, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
-                self.words.update((w, flat[a:b]) for w, a, b in zip(new, cuts, cuts[1:]))
+                flat, cuts = ids.tobytes(), (4 * ends).tolist()
+                self.words.update(zip(new, map(flat.__getitem__, map(slice, [0, *cuts], cuts))))
             else:
-                other += [*plain, *tailed]
-                plain, tailed = [], []
-        for c in plain:
-            self.known[c] = self.words[c]
-        for c in tailed:
-            self.known[c] = self.words[c[:-1]] + self.words[c[-1:]]
+                other, plain, tailed = list(chunks), [], []
+        words = self.words
+        self.known.update(zip(plain, map(words.__getitem__, plain)))
+        self.known.update((c, words[head] + words[tail]) for c, head, tail in tailed)
         for c, ids in zip(other, self._ids([c.decode() for c in other])):
             self.known[c] = np.array(ids, "<u4").tobytes()
         drop_long(self.words, new)
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [[p.split() for p in pieces(folded(t))] if t else [] for t in texts]
-        chunks = {w for doc in split for part in doc for w in part}
-        self.learn(chunks)
-        known = self.known.__getitem__
-        ids = [b"".join(b"".join(map(known, part)) for part in doc) for doc in split]
-        drop_long(self.known, chunks)
-        return ids
+        """The ids of each text. Every run is looked up once; only those not found are learned and filled in."""
+        runs, counts = [], []
+        for t in texts:
+            before = len(runs)
+            for part in pieces(folded(t)) if t else ():
+                runs += part.split()
+            counts.append(len(runs) - before)
+        found = list(map(self.known.get, runs))
+        missed = list(compress(range(len(runs)), map(not_, found)))
+        if missed:
+            chunks = {runs[i] for i in missed}
+            self.learn(chunks)
+            for i in missed:
+                found[i] = self.known[runs[i]]
+            drop_long(self.known, chunks)
+        each = iter(found)
+        return [b"".join(islice(each, n)) for n in counts]
 
 
 @lru_cache(2)
