@@ -32,6 +32,8 @@ THRESHOLD = 2
 SEED = 42
 #: Length, dimension, covering radius and generator polynomial of the Golay code.
 LENGTH, DIMENSION, RADIUS, GENERATOR = 23, 12, 3, 0b110001110101
+#: Anchors of a fingerprint, about, and rows of them that a task makes.
+REPLICAS, TASK_ROWS = 80, 4_000_000
 #: Hashes that are unpacked to bits at once.
 ROWS = 1 << 15
 
@@ -104,22 +106,43 @@ def replicas(fp: np.ndarray, code: np.ndarray, reach: int) -> tuple[np.ndarray,
     return owner, one.astype(np.int64) << DIMENSION | two, own
 
 
+def own_anchor(fp: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The anchor that each fingerprint belongs to: the only one within the radius in both halves, as the code is perfect."""
+    mask = np.uint64((1 << LENGTH) - 1)
+    one, two = (
+        np.bitwise_count((fp >> np.uint64(shift) & mask).astype(np.uint32)[:, None] ^ code[None, :]).argmin(axis=1) for shift in (0, LENGTH)
+    )
+    return one.astype(np.int64) << DIMENSION | two
+
+
 def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b) pairs of distinct fingerprints, a above b, that differ in at most ``threshold`` bits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codewords()
         for batch in batches:
             fp = batch.column("fp").to_numpy()
             for at in range(0, len(fp), 256):
                 part = fp[at : at + 256]
-                index, anchor, own = replicas(part.view(np.uint64), code, 2 * RADIUS + threshold)
-                yield pa.record_batch([pa.array(anchor), pa.array(part[index]), pa.array(own)], ["anchor", "fp", "own"])
+                index, anchor, _ = replicas(part.view(np.uint64), code, 2 * RADIUS + threshold)
+                yield pa.record_batch([pa.array(anchor), pa.array(part[index])], ["anchor", "b"])
 
-    spread = in_arrow(distinct.select("fp"), run, "anchor long, fp long, own boolean")
-    own = spread.where("own").select("anchor", F.col("fp").alias("a"))
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = codewords()
+        for batch in batches:
+            fp = batch.column("fp").to_numpy()
+            for at in range(0, len(fp), 256):
+                part = fp[at : at + 256]
+                yield pa.record_batch([pa.array(own_anchor(part.view(np.uint64), code)), pa.array(part)], ["anchor", "a"])
+
+    # A fingerprint of eight bytes becomes about a hundred rows: the number of tasks follows those, not the bytes that come in.
+    spark = distinct.sparkSession
+    rows = distinct.count() * REPLICAS
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    even = distinct.select("fp").repartition(parts, "fp")
+    own, spread = in_arrow(even, placed, "anchor long, a long"), in_arrow(even, spread_out, "anchor long, b long")
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold
-    return own.join(spread.select("anchor", F.col("fp").alias("b")), "anchor").where((F.col("b") < F.col("a")) & close).select("a", "b")
+    return own.join(spread, "anchor").where((F.col("b") < F.col("a")) & close).select("a", "b")
 
 
 def labelled(marked: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
