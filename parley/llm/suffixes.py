@@ -15,7 +15,8 @@ the bytes before it (its context: all strings of which the place is the anchor).
 3. A gram with more than ``HOT`` contexts would make a bucket large. Its strings are counted one by one by two hashes
    instead, in buckets of hash values, where a hot string is one entry per group.
 
-The texts are shuffled once, for all rounds; all is one plan, so a lost executor costs its own tasks only. What is settled by
+Rows equal in id and text are one row with a count, as in ``substrings``. The texts are shuffled once, for all rounds (those of equal
+rows twice); all but the table of equal rows is one plan, so a lost executor costs its own tasks only. What is settled by
 hash rests on 120 bits; what suffixes decide is compared byte by byte.
 
 Defined results: a null text is empty; a text shorter than ``width`` is kept; repeated rows are documents of their own, so they
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.common import Rolling, covered, documents, in_arrow, mixed, runs, ship, slices
-from parley.llm.substrings import GROUP_BYTES, in_order
+from parley.llm.substrings import GROUP_BYTES, counted_rows, each_row, in_order
 
 GRAM = 64
 #: Contexts of one gram that a bucket sorts.
@@ -44,7 +45,7 @@ SAMPLED, BUCKET_BYTES = 64, 16 << 20
 #: Leading bits of hashes that are the bucket of a round of hashes.
 BITS = 8
 MESSAGE = "bucket long, grp long, n long, idx binary, data binary"
-RESULT = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, removed array<struct<start:int,end:int>>, kept binary, copies long"
 _REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: States of an anchor: nothing repeats, all does, suffixes decide, hashes decide.
@@ -290,10 +291,10 @@ def repeated(docs: DataFrame, width: int, group_bytes: int = GROUP_BYTES, hot: i
     cuts = splitters(rows, width, buckets)
     hashes, strings = 0, 1 << 40  # buckets of pairs, of counted strings; suffixes come in between
     suffixes = 1 << 20
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    dealt = counted_rows(rows).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text", "part"), F.lit(groups)))
 
     def first(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        own = Survey([t for _, t in in_order(table)], width)
+        own = Survey([r[1] for r in in_order(table)], width)
         return hashed(np.unique(own.pairs()), key[0].as_py(), hashes)
 
     def first_answer(table: pa.Table) -> pa.Table:
@@ -303,11 +304,13 @@ def repeated(docs: DataFrame, width: int, group_bytes: int = GROUP_BYTES, hot: i
         if not left.num_rows:
             return message([], 0, [], [], [])
         grp = key[0].as_py()
-        own = Survey([t for _, t in in_order(left)], width)
+        rows = in_order(left)
+        own = Survey([r[1] for r in rows], width)
         pairs, index, inverse, times = np.unique(own.pairs(), return_index=True, return_inverse=True, return_counts=True)
         answers = sorted(zip(right.column("bucket").to_pylist(), right.column("data").to_pylist()))
         code = np.frombuffer(b"".join(d for _, d in answers), np.uint8)
-        settled = (code & 1 > 0) | (times > 1)
+        again = np.array([r[3] for r in rows], bool)[own.doc]  # a document with copies is elsewhere as a whole
+        settled = (code & 1 > 0) | (times > 1) | (np.bincount(inverse.ravel(), again, len(pairs)) > 0)
         sent, many = code & 2 > 0, code & 4 > 0
         state = np.full(len(pairs), NONE, np.uint8)
         state[sent & ~settled] = SORTED
@@ -347,7 +350,7 @@ def repeated(docs: DataFrame, width: int, group_bytes: int = GROUP_BYTES, hot: i
 
     def third(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
         rows = in_order(left)
-        texts = [t for _, t in rows]
+        texts = [r[1] for r in rows]
         own = Survey(texts, width)
         n = len(own.doc)
         count = own.last - own.first + 1
@@ -368,12 +371,12 @@ def repeated(docs: DataFrame, width: int, group_bytes: int = GROUP_BYTES, hot: i
             _, inverse, times = np.unique(strings_of(own, heavy), return_inverse=True, return_counts=True)
             often = np.frombuffer(b"".join(others), np.uint8).astype(bool) | (times > 1)
             flags[places(begin, heavy)] |= often[inverse.ravel()]
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "removed", "kept")}
+        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "removed", "kept", "copies")}
         hits = np.flatnonzero(flags)
         anchor = np.searchsorted(begin, hits, "right") - 1
         hits += own.first[anchor] - begin[anchor]
         cut = np.searchsorted(own.doc[anchor], np.arange(len(texts) + 1))
-        for k, (doc_id, text) in enumerate(rows):
+        for k, (doc_id, text, copies, _) in enumerate(rows):
             gone = covered(hits[cut[k] : cut[k + 1]], width, len(text))
             a, b = runs(gone)
             out["doc_id"].append(doc_id)
@@ -381,11 +384,12 @@ def repeated(docs: DataFrame, width: int, group_bytes: int = GROUP_BYTES, hot: i
             out["n_removed"].append(int(gone.sum()))
             out["removed"].append([{"start": x, "end": y} for x, y in zip(a.tolist(), b.tolist())])
             out["kept"].append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-        kinds = (pa.int64(), pa.int64(), pa.int64(), _REMOVED, pa.binary())
+            out["copies"].append(copies)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), _REMOVED, pa.binary(), pa.int64())
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), kinds)})
 
     by_group = dealt.groupBy("grp")
     once = by_group.applyInArrow(first, MESSAGE).groupBy("bucket").applyInArrow(first_answer, MESSAGE)
     twice = by_group.cogroup(once.groupBy("grp")).applyInArrow(second, MESSAGE)
     twice = twice.groupBy("bucket").applyInArrow(second_answer, MESSAGE)
-    return by_group.cogroup(twice.groupBy("grp")).applyInArrow(third, RESULT)
+    return each_row(by_group.cogroup(twice.groupBy("grp")).applyInArrow(third, RESULT))

@@ -8,6 +8,7 @@ import pytest
 import xxhash
 from llm_data import DOCS as ODD
 from llm_data import found, table  # noqa: F401
+from pyspark.sql import functions as F
 
 from parley.llm import simhash, substrings, suffixes
 from parley.llm.components import components
@@ -72,6 +73,27 @@ def test_repeated_rows_and_null_ids_are_documents_of_their_own(table):
     assert [(r["doc_id"], r["n_removed"]) for r in rows] == [(None, 50), (1, 50), (1, 50), (2, 0)]
 
 
+@pytest.mark.parametrize("operator,width,plain", [(substrings, 10, removed_words), (suffixes, 200, removed_bytes)])
+def test_equal_rows_count_as_often_as_they_come(table, monkeypatch, operator, width, plain):
+    monkeypatch.setattr(substrings, "COPIES", 4)
+    words = [f"w{i}" for i in range(130)]
+    rows = [(1, " ".join(words))] * 11 + [(2, " ".join(words[20:90]) + " and more")] + [(None, None)] * 3 + [(3, "")] * 2 + [(4, " ".join(words[::-1]))]
+    for group_bytes in (600, 1 << 20):
+        got = found(operator.repeated(table(rows, clash=("part", "copies", "again", "n")), width, group_bytes))
+        ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+        want = [(r[0], w[1]) for r, w in zip(ordered, plain([t for _, t in ordered], width))]
+        assert [(r["doc_id"], r["n_removed"]) for r in got] == want
+
+
+def test_many_equal_rows_are_few_documents(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = spark.range(20_000).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text"))
+    counted = [(r.doc_id, r.copies, r.again, r.part) for r in substrings.counted_rows(substrings.documents(rows)).collect()]
+    assert sorted(counted) == [(7, 10_000, True, 0), (7, 10_000, True, 1)]
+    for done in (substrings.repeated(rows, 35), suffixes.repeated(rows, 400)):
+        assert [tuple(r) for r in done.groupBy("doc_id", "n_removed").count().collect()] == [(7, 200 if "n_words" in done.columns else len(text), 20_000)]
+
+
 @pytest.mark.parametrize("operator", [lambda d: substrings.repeated(d, 5), lambda d: suffixes.repeated(d, 200), simhash.groups, simhash.one_of_each])
 def test_empty_tables(table, operator):
     assert operator(table([])).count() == 0
