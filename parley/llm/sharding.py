@@ -33,17 +33,17 @@ CELL = 20_000
 #: Rows that are numbered in one task, about.
 SLOTS = 200_000
 #: What bytes, tokens and rows count for in the dot product; bytes are the law.
-WEIGHTS = (1.0, 0.003, 0.003)
+WEIGHTS = (1.0, 0.01, 0.01)
 PLACED = "unit binary, piece int, shard int, bytes long, tokens long, rows long"
 
 
-def pack(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: np.ndarray, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
     """The shard of each group; ``sizes`` is groups by dimensions, ``capacity`` shards by dimensions.
 
     Both are taken relative to the whole capacity of a dimension, so that the dimensions compare.
     """
     whole = np.maximum(capacity.sum(axis=0), 1e-9)
-    weight = np.array(WEIGHTS)
+    weight = np.array(weights)
     left = capacity / whole
     out = np.zeros(len(sizes), np.int32)
     relative = sizes / whole
@@ -55,17 +55,17 @@ def pack(sizes: np.ndarray, capacity: np.ndarray) -> np.ndarray:
     return out
 
 
-def _packed(table: pa.Table, capacity: np.ndarray) -> pa.Table:
+def _packed(table: pa.Table, capacity: np.ndarray, weights: tuple[float, ...]) -> pa.Table:
     order = table.sort_by([("bytes", "descending"), ("unit", "ascending"), ("piece", "ascending")])
     sizes = np.stack([order.column(c).to_numpy().astype(float) for c in ("bytes", "tokens", "rows")], axis=1)
-    shard = pa.array(pack(sizes, capacity), pa.int32())
+    shard = pa.array(pack(sizes, capacity, weights), pa.int32())
     return order.select(["unit", "piece"]).append_column("shard", shard).append_column("bytes", order["bytes"]).append_column(
         "tokens", order["tokens"]
     ).append_column("rows", order["rows"])
 
 
-def shard(docs: DataFrame, shards: int) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and tokens of each document."""
+def shard(docs: DataFrame, shards: int, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot and tokens of each document; ``weights`` are those of bytes, tokens and rows."""
     ship(docs.sparkSession)
     text = F.col("text")
     plain = F.coalesce(text, F.lit(""))
@@ -90,7 +90,7 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
     capacity = np.array([[float(x or 0) / shards for x in total]] * shards)
 
     def place_large(table: pa.Table) -> pa.Table:
-        return _packed(table, capacity)
+        return _packed(table, capacity, weights)
 
     large = units.where(F.col("bytes") > each / LARGE)
     large = written(large.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(place_large, PLACED), "large")
@@ -100,7 +100,7 @@ def shard(docs: DataFrame, shards: int) -> DataFrame:
 
     def place_cell(table: pa.Table) -> pa.Table:
         own = np.array([float(sum(table.column(c).to_pylist())) for c in ("bytes", "tokens", "rows")])
-        return _packed(table, room / np.maximum(room.sum(axis=0), 1e-9) * own)
+        return _packed(table, room / np.maximum(room.sum(axis=0), 1e-9) * own, weights)
 
     small = units.where(F.col("bytes") <= each / LARGE)
     cells = max(1, -(-small.count() // CELL))

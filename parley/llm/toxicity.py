@@ -4,7 +4,10 @@
    other letters, one for a word's border.
 2. Words that look disguised (digits or signs among letters, a letter three times in a row, letters set apart) become a
    lattice of what each character may stand for: itself, a letter it looks like, a repetition, a separator or a border.
-   Viterbi decoding finds the most likely reading under the model. Plain words stay as they are.
+   Viterbi decoding finds the most likely reading under the model. Plain words stay as they are. Signs at the edges of a word
+   have two readings, noise or letters, and so have words of digits and signs alone: a number or noise, or letters; the costs
+   decide. In a trigram model that depends on the signs and the two letters next to them, so it is worked out once for those.
+   Masks (``*#%``) in runs at an edge, exclamation marks at the end, and words of one repeated sign are noise: any letter costs more.
 3. Words and their beginnings are features. A feature's weight is the log odds of the lower Wilson bound, ``Z`` standard errors
    down, of the share of toxic documents among those that have it, with both kinds of document counted as equally many; so a
    rare word that only chance brought into toxic texts weighs nothing. Beginnings are counted over words that do not weigh
@@ -50,11 +53,17 @@ LOOKS = {
 MASKS = "*#%"
 #: Costs of the channel in nats.
 LOOK, MASK, DROP, REPEAT, DOUBLE, GAP, BORDER, ODD = 0.7, 4.0, 2.0, 0.3, 1.5, 0.1, 2.0, 6.0
+#: A sign at an edge as noise, if it is punctuation or one of a run of equal signs; a digit as itself.
+NOISE, DIGIT = 0.5, 2.3
 _EDGE = ".,;:?\"'()[]{}<>|-_/\\=~`^&"
+#: Punctuation that is no letter in any reading, signs that may be one, and those of them that are punctuation too.
+_MARKS = "".join(c for c in _EDGE if c not in LOOKS)
+_LETTERS = "".join(c for c in LOOKS if not c.isdigit())
+_PUNCTUATION = "".join(c for c in _EDGE if c in LOOKS)
 #: Three or more single characters, each set apart.
 _APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .\-_*]{1,2}(?:[^\W_]|[@$!|+])(?!\w)){2,}(?!\S)")
 _RUN = re.compile(r"([^\W\d_])\1\1")
-_SIGNS = re.compile(r"(.)\1+$|^(.)\2+")
+_MASKED = re.compile(r"([*#%])\1+$|^([*#%])\2+")
 
 
 def symbol(c: str) -> int:
@@ -137,12 +146,28 @@ class Decoder:
         out.append(("", ODD if c.isdigit() else DROP))
         return out
 
-    def read(self, text: str) -> list[str]:
-        """The words of the likeliest path through the lattice of a lower-case text."""
+    def noisy(self, text: str, at: int) -> list[tuple[str, float]]:
+        """The same for a sign at an edge, which may be noise."""
+        c = text[at]
+        run = text[at - 1 : at] == c or text[at + 1 : at + 2] == c
+        return [*((x, LOOK) for x in LOOKS.get(c, "")), ("", NOISE if run or c in _PUNCTUATION or c not in LOOKS else DROP)]
+
+    def alone(self, text: str, at: int) -> list[tuple[str, float]]:
+        """The same in a word without letters, where a digit may be itself."""
+        c = text[at]
+        itself = (c, DIGIT) if c.isdigit() else ("", DROP if any(map(str.isdigit, text)) else ODD)
+        return [*((x, LOOK) for x in LOOKS.get(c, "")), itself]
+
+    def read(self, text: str, inner: range | None = None, start: tuple[int, int] = (0, 0), ends: bool = True, digits: bool = False) -> list[str]:
+        """The words of the likeliest path through the lattice of a lower-case text.
+
+        Signs outside ``inner`` may be noise. ``start`` is what comes before the text, ``ends`` whether a border follows it.
+        """
         costs = self.costs
-        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {start: (0.0, None)}
         for at in range(len(text)):
-            choices = [(x, symbol(x) if x.strip() else 0, price) for x, price in self.options(text, at)]
+            found = self.alone if digits else self.options if inner is None or at in inner else self.noisy
+            choices = [(x, symbol(x) if x.strip() else 0, price) for x, price in found(text, at)]
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (cost, path) in best.items():
                 for x, s, price in choices:
@@ -152,12 +177,16 @@ class Decoder:
                         if not b:
                             continue
                         state, now, way = (0, 0), cost + price + costs[a][b][0], (x, path)
+                    elif x.isdigit():
+                        state, now, way = (b, OTHER), cost + price, (x, path)
                     else:
                         state, now, way = (b, s), cost + price + costs[a][b][s], (x, path)
                     if state not in after or now < after[state][0]:
                         after[state] = (now, way)
             best = after
-        _, path = min(((cost + costs[a][b][0], path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
+        # after a digit the border is free, as the digit was priced without the model
+        last = lambda a, b, path: costs[a][b][0] if ends and not (path and path[0].isdigit()) else 0.0
+        _, path = min(((cost + last(a, b, path), path) for (a, b), (cost, path) in best.items()), key=lambda x: x[0])
         out = []
         while path:
             out.append(path[0])
@@ -178,16 +207,52 @@ class Restorer:
     def __init__(self, costs: np.ndarray):
         self.decoder = Decoder(costs)
         self.known: dict[bytes, list[str]] = {}
+        self.edges: dict[tuple[str, str, bool], str] = {}
+
+    def edge(self, signs: str, beside: str, lead: bool) -> str:
+        """The letters that signs stand for before (``lead``) or after at most two letters of a word."""
+        if not signs:
+            return ""
+        key = (signs, beside, lead)
+        found = self.edges.get(key)
+        if found is None:
+            if lead:
+                out = "".join(self.decoder.read(signs + beside, range(len(signs), len(signs) + len(beside)), ends=False))
+                found = out[: len(out) - len(beside)] if out.endswith(beside) else ""
+            else:
+                before = (0, 0, *map(symbol, beside))[-2:]
+                found = "".join(self.decoder.read(signs, range(0), before))
+            if len(signs) <= CACHED_BYTES:
+                make_room(self.edges, 1)
+                self.edges[key] = found
+        return found
+
+    def reading(self, chunk: bytes) -> list[str]:
+        """The words that a chunk of lower-case text without blanks was meant to be."""
+        text = chunk.decode()
+        if not text.isalpha():
+            text = text.strip(_MARKS).rstrip("!" + _MARKS)
+            if not text.isalpha():
+                return self.signs(_MASKED.sub("", text).strip(_MARKS))
+        return self.decoder.read(text) if _RUN.search(text) else [text]
+
+    def signs(self, text: str) -> list[str]:
+        """The same for text that holds more than letters."""
+        core = text.strip(_LETTERS + _MARKS)
+        if not core or all(c in LOOKS for c in text):  # no letters
+            return self.decoder.read(text, digits=True) if len(set(text)) > 1 and all(c in LOOKS for c in text) else [core] if core else []
+        at = text.index(core)
+        lead, trail = text[:at], text[at + len(core) :]
+        if not core.isalpha() or _RUN.search(core):
+            if not disguised(core):
+                return [core]
+            return self.decoder.read(text, range(at, at + len(core)))
+        return [self.edge(lead, core[:2], True) + core + self.edge(trail, core[-2:], False)]
 
     def word(self, chunk: bytes) -> list[str]:
         found = self.known.get(chunk)
         if found is None:
-            text = chunk.decode().strip(_EDGE)
-            if not text.isalpha():
-                text = _SIGNS.sub(lambda m: "" if not (m[1] or m[2]).isalnum() else m[0], text).rstrip("!")
-            found = [text] if text else []
-            if text and disguised(text):
-                found = self.decoder.read(text)
+            found = self.reading(chunk)
             if len(chunk) <= CACHED_BYTES:
                 make_room(self.known, 1)
                 self.known[chunk] = found
@@ -244,8 +309,14 @@ def weight(sizes: dict[int, int]) -> Column:
     return F.log(F.greatest(low, F.lit(1e-9)) / (1 - F.least(low, F.lit(1 - 1e-9))))
 
 
-def train_weights(training: DataFrame, costs: np.ndarray) -> dict[int, float]:
-    """Feature to weight, from (doc_id, text, toxic) rows; a negative weight says that the word is known to be harmless."""
+def root_of(word: str) -> str:
+    """What all features of a word that weighs anything have in common: its shortest beginning, or the word if it is shorter."""
+    return word[: PREFIXES[0]] if len(word) >= PREFIXES[0] else f"{word}$"
+
+
+def train_weights(training: DataFrame, costs: np.ndarray) -> tuple[dict[int, float], set[int]]:
+    """Feature to weight, from (doc_id, text, toxic) rows, and the features' roots; a negative weight says that the word is known
+    to be harmless."""
     sent = training.sparkSession.sparkContext.broadcast(costs)
     begin = [f"p{n}" for n in PREFIXES]
 
@@ -264,7 +335,7 @@ def train_weights(training: DataFrame, costs: np.ndarray) -> dict[int, float]:
 
     sizes = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes[0] or not sizes[1]:
-        return {}
+        return {}, set()
     shape = ", ".join(f"{c} long" for c in ("f", *begin, "n0", "n1"))
     sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
     enough, of = F.col("n0") + F.col("n1") >= SUPPORT, weight(sizes)
@@ -277,19 +348,27 @@ def train_weights(training: DataFrame, costs: np.ndarray) -> dict[int, float]:
         each.groupBy("f", "root").agg(*sums).where(enough).withColumn("w", of)
     )
     near = found.join(found.where("w > 0").select("root").distinct(), "root", "left_semi").where("w > 0 or n0 > 0")
-    kept = near.orderBy(F.desc("w"), "f").limit(FEATURES)
-    return {r["f"]: max(r["w"], -1.0) for r in kept.collect()}  # at most FEATURES
+    kept = near.orderBy(F.desc("w"), "f").limit(FEATURES).collect()  # at most FEATURES
+    return {r["f"]: max(r["w"], -1.0) for r in kept}, {r["root"] for r in kept}
 
 
 class Figures:
     """The figures of a text."""
 
-    def __init__(self, costs: np.ndarray, weights: dict[int, float]):
-        self.restorer, self.weights = Restorer(costs), weights
+    def __init__(self, costs: np.ndarray, weights: dict[int, float], roots: set[int]):
+        self.restorer, self.weights, self.roots = Restorer(costs), weights, roots
+        self.near: dict[str, bool] = {}
         self.known: dict[bytes, tuple[float, float, int]] = {}
 
     def weight(self, word: str) -> float:
         """The largest of a word's features, or none if the most special one that is known speaks against it."""
+        root = root_of(word)
+        near = self.near.get(root)
+        if near is None:
+            make_room(self.near, 1)
+            near = self.near[root] = xxhash.xxh3_64_intdigest(root) - (1 << 63) in self.roots
+        if not near:
+            return 0.0
         found = [self.weights[f] for f in features(word) if f in self.weights]
         return 0.0 if not found or found[0] <= 0 else max(found)
 
@@ -307,7 +386,7 @@ class Figures:
         for chunk in rest.split():
             found = known.get(chunk)
             if found is None:
-                found = self.chunk(self.restorer.word(chunk))
+                found = self.chunk(self.restorer.reading(chunk))
                 if len(chunk) <= CACHED_BYTES:
                     make_room(known, 1)
                     known[chunk] = found
@@ -318,9 +397,9 @@ class Figures:
         return total, most, n
 
 
-def figures(docs: DataFrame, costs: np.ndarray, weights: dict[int, float], *keep: str) -> DataFrame:
+def figures(docs: DataFrame, costs: np.ndarray, weights: tuple[dict[int, float], set[int]], *keep: str) -> DataFrame:
     """doc_id, ``keep``, and the figures x1 to x3 of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast((costs, weights))
+    sent = docs.sparkSession.sparkContext.broadcast((costs, *weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Figures(*sent.value)

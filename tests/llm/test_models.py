@@ -76,6 +76,34 @@ def test_packing_takes_the_highest_dot_product():
     assert sorted(np.bincount(got, sizes[:, 0]).tolist()) == [8.0, 8.0]
 
 
+def plain_packing(sizes, capacity):
+    """The rule in plain Python: larger groups first, each to the shard of the highest dot product with what is left."""
+    whole = [sum(c[k] for c in capacity) for k in range(3)]
+    left = [[c[k] / whole[k] for k in range(3)] for c in capacity]
+    out = [None] * len(sizes)
+    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i][0], i)):
+        v = [sizes[i][k] / whole[k] for k in range(3)]
+        scores = [sum(w * x * y for w, x, y in zip(sharding.WEIGHTS, v, room)) for room in left]
+        out[i] = max(range(len(left)), key=lambda s: (scores[s], -s))
+        left[out[i]] = [a - b for a, b in zip(left[out[i]], v)]
+    return out
+
+
+def test_packing_equals_plain_packing():
+    rng = random.Random(8)
+    sizes = [[rng.randrange(20, 5000), rng.randrange(1, 900), rng.randrange(1, 4)] for _ in range(500)]
+    capacity = [[sum(s[k] for s in sizes) / 7 for k in range(3)]] * 7
+    assert sharding.pack(np.array(sizes, float), np.array(capacity)).tolist() == plain_packing(sizes, capacity)
+
+
+def test_bytes_tokens_and_rows_are_balanced_together(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sums = sharding.shard(docs, 40).groupBy("shard").agg(F.sum("size"), F.sum("tokens"), F.count("*")).collect()
+    totals = np.array([r[1:] for r in sums], float)
+    spread = (totals.max(axis=0) - totals.min(axis=0)) / totals.mean(axis=0)
+    assert len(sums) == 40 and (spread < [0.01, 0.01, 0.05]).all(), spread  # a row is 0.004 of a shard
+
+
 # --- toxicity ------------------------------------------------------------------------------------------
 
 
@@ -107,6 +135,50 @@ def test_disguised_words_are_restored(text, words):
     assert [w for w in got if w.isalpha()] == words
 
 
+def model_of(words):
+    counts = np.zeros((28, 28, 28))
+    for word in words:
+        s = [0, 0, *map(toxicity.symbol, word), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[a, b, c] += 1
+    return toxicity.language_model(counts)
+
+
+@pytest.mark.parametrize(
+    "text,words",
+    [
+        ("dumba$$ $$hit", ["dumbass", "shit"]),  # letters at edges
+        ("(unt |diot", ["cunt", "idiot"]),
+        ("@$$ 455", ["ass", "ass"]),  # no letter at all
+        ("dog$$$ (dog) cat!! that*** the### <cat>", ["dog", "dog", "cat", "that", "the", "cat"]),  # plain words with noise beside them
+        ("$$$ | ### !!!", []),
+        ("2014 $100 (985)", ["2014", "100", "985"]),
+    ],
+)
+def test_signs_at_edges_and_words_of_signs_have_both_readings(text, words):
+    common = "dumbass ass shit cunt idiot".split() * 40 + "dog cat that the".split() * 30
+    assert toxicity.Restorer(model_of(common)).words(text.encode()) == words
+
+
+@pytest.mark.parametrize("signs,beside", [("$$", "ba"), ("$", "b"), ("(<", "a"), ("@", ""), ("|!", "at")])
+def test_an_edge_reads_as_in_the_whole_word(signs, beside):
+    own = toxicity.Restorer(model_of("dumbass ass shit cunt idiot bat at the cat of bars".split() * 20))
+    for rest in ("r", "os", "cr"):  # no doubled letters, which the whole lattice may fold
+        whole = own.decoder.read(signs + beside + rest, range(len(signs), 99))
+        assert whole == [own.edge(signs, (beside + rest)[:2], True) + beside + rest]
+        text = rest + beside + signs
+        assert own.decoder.read(text, range(len(text) - len(signs))) == [rest + beside + own.edge(signs, (rest + beside)[-2:], False)]
+
+
+def test_weights_through_roots_equal_weights_of_all_features():
+    weights = {toxicity.features(w)[k]: x for w, k, x in (("moron", 0, 3.0), ("moronic", 1, 1.5), ("moro", 0, -1.0), ("at", 0, 2.0))}
+    roots = {toxicity.features(toxicity.root_of(w).rstrip("$"))[0 if len(w) < 4 else 1] for w in ("moron", "at")}
+    own = toxicity.Figures(model(), weights, roots)
+    for word in ("moron", "moronic", "moronical", "moro", "mor", "at", "atom", "", "é"):
+        known = [weights[f] for f in toxicity.features(word) if f in weights]
+        assert own.weight(word) == (0.0 if not known or known[0] <= 0 else max(known))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text("ab1$* .-ZÉ\n", max_size=30))
 def test_any_text_is_read(text):
@@ -159,7 +231,7 @@ def test_labels_of_one_kind_or_none(spark, table, labels):  # noqa: F811
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in QUERIES and set(ORACLE) <= set(QUERIES)
 
 
