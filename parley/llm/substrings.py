@@ -69,10 +69,11 @@ def each_row(found: DataFrame) -> DataFrame:
     return found.select(*shown, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy")).select(*shown)
 
 
-def in_order(table: pa.Table) -> list[tuple[int | None, bytes, int, bool]]:
-    """The documents of a group, their copies, and whether there are several, in an order that is the same in each round."""
+def in_order(table: pa.Table) -> list[tuple]:
+    """The documents of a group, with ``copies`` and ``again`` if they are counted rows, in an order that is the same in each round."""
     texts = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-    rows = zip(table.column("doc_id").to_pylist(), texts, *(table.column(c).to_pylist() for c in ("copies", "again")))
+    counted = [table.column(c).to_pylist() for c in ("copies", "again") if c in table.column_names]
+    rows = zip(table.column("doc_id").to_pylist(), texts, *counted)
     return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, *r[1:]))
 
 
