@@ -13,6 +13,7 @@ from parley.plans import bundle, channels, compare, export
 from parley.plans.params import Params, default_sections, preset_sections, schema
 from parley.plans.registry import CURRENT, REGISTRY, Inputs, listing
 from parley.plans.run import history, load, report
+from parley.session import checkpointed
 from parley.sources import store
 
 SMALL = "/root/testdata/sf0.001"
@@ -184,6 +185,22 @@ def test_kept_intermediates_change_nothing(inputs, keep):
     shared.release()
 
 
+def test_values_of_many_sections_are_planned_one_at_a_time(spark, chat):
+    m = chat(("a", "x y", 0), ("b", None, 1), ("a", "x y", 2))
+    sections = {f"s{k}": m.groupBy("user_id").agg(F.count("*").alias("n"), F.max("text").alias("t")) for k in range(3)}
+    got = bundle.as_values(sections)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan and plan.count("FileScan parquet") == 1
+    one_section = [("n", "1000", 1), ("n", "2000", 1), ("t", "(null)", 1), ("t", "x y", 1), ("user_id", "a", 1), ("user_id", "b", 1)]
+    assert rows(got) == sorted((s, *r) for s in sections for r in one_section)
+
+
+def test_a_kept_table_is_read_by_column(chat):
+    kept = checkpointed(chat(("a", "x", 0)))
+    plan = kept.select("user_id")._jdf.queryExecution().executedPlan().toString()
+    assert rows(kept) == rows(chat(("a", "x", 0))) and "ReadSchema: struct<user_id:string>" in plan
+
+
 def test_nothing_found_gives_empty_shapes(inputs):
     p = Params(A, B, channels=("ch0",), user="nobody")
     got = bundle.chat_stats(inputs.messages, p, inputs.names)
