@@ -107,3 +107,12 @@ def test_replies(m, data, window):
             if past and whole(r[1], max(past)) <= window:
                 want.append((r[2], target, r[1], max(past)))
     assert rows(mentions.replies(m, window_s=window)) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("by", [[], ["channel"]])
+def test_copies_of_a_text_meet_by_cell_only(spark, m, by):
+    """No task gets all rows of the raid text, so nothing is joined or dealt by the text alone before cells are counted."""
+    odd = spark.createDataFrame([(f"x{i}", START + timedelta(seconds=i), f"u{i % 2}", "u", None, None, "regular", "c0") for i in range(6)], MESSAGES)
+    events = health.copy_paste_events(m.unionByName(odd), by)
+    assert events.filter("text_key is null").count() == 0 and events.count() > 0
+    assert "Join" not in events._jdf.queryExecution().optimizedPlan().toString()
