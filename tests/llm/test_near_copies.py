@@ -7,7 +7,7 @@ from llm_data import found, table  # noqa: F401
 from test_copies import classes
 
 import corpus_pipeline
-from parley.llm import near_copies
+from parley.llm import near_copies, simhash
 
 
 def plain_shingles(text):
@@ -89,3 +89,35 @@ def test_repeated_rows_null_ids_and_no_rows(table):  # noqa: F811
     rows = found(near_copies.one_of_each(table([(None, text), (4, text), (3, text + " end"), (3, text + " end"), (9, "x")])))
     assert [r["doc_id"] for r in rows] == [3, 9]
     assert near_copies.one_of_each(table([])).count() == 0
+
+
+def test_the_links_of_the_simhash_operator_take_part(spark, table):  # noqa: F811
+    """Where no two sets are similar enough, the components are those of operator 2."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(12):
+        first = [f"w{int(20000 ** rng.random())}" for _ in range(1500)]
+        texts += [" ".join(first), edited(rng, first, 1), edited(rng, first, 40)]
+    docs = table([*texts, *ODD, None, "One", (None), " "])
+    want = [r["doc_id"] for r in found(simhash.one_of_each(docs))]
+    assert 24 < len(want) < docs.count() - 12
+    assert [r["doc_id"] for r in found(near_copies.one_of_each(docs, similarity=2.0, fingerprints=True))] == want
+    assert len(found(corpus_pipeline.near_dedup(spark, docs, ""))) <= len(want)
+
+
+def test_pairs_that_unique_shingles_rule_out_are_not_made(table, monkeypatch):  # noqa: F811
+    """A family in one bucket: results of all pairs, with far fewer of them than outsiders times sets."""
+    rng = random.Random(5)
+    monkeypatch.setattr(near_copies, "signature", lambda found: near_copies.np.array([1], "u8"))
+    first = [f"w{int(20000 ** rng.random())}" for _ in range(200)]
+    texts = [edited(rng, first, 1 if i % 2 else 5 + i % 40) for i in range(160)]
+    docs = table(texts)
+    roots = classes([plain_shingles(t) for t in texts], similar)
+    made, real = [], near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda pairs, *a: made.append(pairs.count()) or real(pairs, *a))
+    assert [r["doc_id"] for r in found(near_copies.one_of_each(docs))] == sorted(set(roots))
+    assert len(set(roots)) > 60 and sum(made) <= 4 * 160
+    made.clear()
+    monkeypatch.setattr(near_copies, "LARGE", 1000)
+    assert [r["doc_id"] for r in found(near_copies.one_of_each(docs))] == sorted(set(roots))
+    assert sum(made) > 20 * 160
