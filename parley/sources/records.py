@@ -9,6 +9,9 @@ from parley.functions import text as tx
 from parley.functions.core import keys
 from parley.schema import MESSAGES, RAW, RAW_ENVELOPE, RAW_OR_CORRUPT
 
+#: Bits of the filter of repeated ids: its size does not depend on the data.
+REPEAT_BITS = 1 << 24
+
 
 def read_lines(spark: SparkSession, path) -> DataFrame:
     """Raw records of files with one per line, and in ``_corrupt_record`` the lines that are none.
@@ -84,6 +87,22 @@ def dedupe_by_id(df: DataFrame, arrival: list[Column]) -> DataFrame:
     return named.filter(F.col("__n") == 1).drop("__n").unionByName(df.filter(F.col("id").isNull()))
 
 
+def dedupe_repeated(df: DataFrame, arrival: list[Column]) -> DataFrame:
+    """``dedupe_by_id`` of a written table, for which only rows of ids that come several times are shuffled.
+
+    Ids are counted first. Those found twice are bits of a filter of fixed size, which is broadcast: at most REPEAT_BITS / 32 rows,
+    whatever their number. Rows that it does not name have an id of their own; the others, few of them by chance, are put in order.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(REPEAT_BITS))
+    one = F.expr("shiftleft(1L, cast(__bit & 31 as int))")
+    twice = df.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(bit.alias("__bit"))
+    words = twice.groupBy(F.shiftright("__bit", 5).alias("__word")).agg(F.bit_or(one).alias("__mask"))
+    rows = df.withColumn("__bit", bit).withColumn("__word", F.shiftright("__bit", 5)).join(F.broadcast(words), "__word", "left")
+    rows = rows.withColumn("__hit", F.coalesce(F.col("__mask").bitwiseAND(one) != 0, F.lit(False)))
+    sure, maybe = (rows.filter(test).select(*df.columns) for test in (~F.col("__hit"), F.col("__hit")))
+    return sure.unionByName(dedupe_by_id(maybe, arrival))
+
+
 def pool_channels(frames: dict[str, DataFrame]) -> DataFrame:
     """Tables of several channels as one, tagged with the channel, one row per id."""
     pooled = None

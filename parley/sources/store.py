@@ -22,7 +22,7 @@ from parley.functions.core import time_cell
 from parley.operators.filters import slice_window
 from parley.schema import MESSAGES
 from parley.session import shared_folder
-from parley.sources.records import dedupe_by_id
+from parley.sources.records import dedupe_repeated
 
 VERSION = "v2"
 PARTITIONS = ("channel_key", "year_month")
@@ -189,16 +189,19 @@ def merge_store(
     fresh = _with_partitions(new.select(*MESSAGES.fieldNames(), came.alias("__came")), id_type)
     order = [F.col("__came"), F.col("ts"), tx.text_key("text")]
     try:
-        fresh.write.partitionBy(*PARTITIONS).parquet(f"{folder}/new")
+        _write(fresh, f"{folder}/new")
         fresh = spark.read.schema(fresh.schema).parquet(f"{folder}/new")
         months = fresh.groupBy("channel_key").agg(F.collect_set("year_month"), F.bool_or(F.col("year_month").isNull())).collect()
         merge = uuid.uuid4().hex
         if months:
-            merged = dedupe_by_id(fresh, order).withColumn("__new", F.lit(1)).drop("__came")
+            every = fresh.withColumn("__new", F.lit(1))
             if now is not None:
-                kept = scan(spark, root, now, _months(months)).withColumn("__new", F.lit(0))
-                merged = dedupe_by_id(kept.select(*merged.columns).unionByName(merged), [F.col("__new")])
-            _write(merged.drop("__new").hint("rebalance", *PARTITIONS), f"{location(root)}/data/merge={merge}")
+                # stored and new rows are put in order together, and of them only what comes several times: texts are long
+                none = F.lit(None).cast(fresh.schema["__came"].dataType)
+                kept = scan(spark, root, now, _months(months)).withColumn("__new", F.lit(0)).withColumn("__came", none)
+                every = kept.select(*every.columns).unionByName(every)
+            merged = dedupe_repeated(every, [F.col("__new"), *order]).drop("__new", "__came")
+            _write(merged.hint("rebalance", *PARTITIONS), f"{location(root)}/data/merge={merge}")
             whole = spark.read.schema(STORED).parquet(f"{location(root)}/data/merge={merge}")
             counted = whole.groupBy(*PARTITIONS, time_cell("ts", "1 minute").alias("minute")).agg(F.count("*").alias("messages"))
             _write(counted.hint("rebalance", *PARTITIONS), f"{location(root)}/minutes/merge={merge}")
@@ -215,7 +218,7 @@ def merge_store(
 
 
 def _write(rows: DataFrame, path: str) -> None:
-    rows.write.partitionBy(*PARTITIONS).parquet(path)
+    rows.write.option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 10) -> int:

@@ -240,6 +240,21 @@ def test_the_last_arrived_copy_stays_and_the_stage_is_removed(spark, chat, tmp_p
     assert list(stage.iterdir()) == []
 
 
+def test_only_repeated_ids_are_put_in_order(spark, chat):
+    m = chat(*[("u", f"t{n}", n, {"id": f"i{n // 2 if n < 20 else n}"}) for n in range(60)])
+    m = m.unionByName(m.limit(3).withColumn("id", F.lit(None).cast("string")).withColumn("text", F.lit("same")))
+    order = [F.col("ts"), F.col("text")]
+    got = records.dedupe_repeated(m, order)
+    assert rows(got) == rows(records.dedupe_by_id(m, order)) and got.count() == 53
+    through, real = [], records.dedupe_by_id
+    records.dedupe_by_id = lambda df, *a: through.append(df.filter("id is not null").count()) or real(df, *a)
+    try:
+        records.dedupe_repeated(m, order)
+    finally:
+        records.dedupe_by_id = real
+    assert 20 <= through[0] < 25
+
+
 def test_unreadable_lines_are_kept_apart(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1", "text": "x"}\nnot json\n\n{"id": "2", "te')
     assert records.read_messages(spark, str(tmp_path)).count() == len(records.read_messages(spark, str(tmp_path)).collect()) == 1
