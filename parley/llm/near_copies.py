@@ -15,7 +15,9 @@ Pairs whose sizes rule the similarity out are left. In buckets of more than ``LA
 counts as not shared: where a set has n shingles and c of them elsewhere too, two sets have a similarity of at most
 min(c, c') / (n + n' - min(c, c')). A family of near copies is full of edits that occur once, so sets that can have no link, and nearly
 all pairs that are none, go before pairs are made. There each set is also paired with the one of the greatest c / n, so that a
-family comes together at once. The rows that a bucket sends to its outsiders are dealt into ``SALTS`` parts.
+family comes together at once. The rows that a bucket sends to its outsiders are dealt into ``SALTS`` parts; there two sets are
+a pair only if their sketches allow it. A sketch says of each of ``SKETCH_BITS`` classes of shingles whether the set has an odd number
+of them, so the bits in which two sketches differ are at most the shingles in which the sets do, and no link is lost.
 
 Words are those of operator 2: A-Z in lower case, anything but U+0009 to U+000D and space. Fewer than ``width`` words are one
 shingle; null and blank texts have none and are copies of each other. Repeated rows, null ids and extra columns: as in
@@ -25,6 +27,8 @@ shingle; null and blank texts have none and are copies of each other. Repeated r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,9 @@ NEIGHBOURS = 3
 SALTS = 8
 #: Sets of a bucket from which on unique shingles are counted.
 LARGE = 64
+#: Bits of a sketch, in columns of 64.
+SKETCH_BITS = 1024
+SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 #: Shingles that meet all hash functions at once, and bytes of sets that a comparison holds.
 PART, HELD_BYTES = 1 << 10, 16 << 20
 _FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -69,12 +76,18 @@ def signature(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)], np.uint64)
 
 
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Whether the set has an odd number of shingles, by class."""
+    odd = np.bincount((found % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def hashing() -> tuple[Hashes, Rolling]:
     return Hashes(), Rolling(0x9E3779B97F4A7C15)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (of id and text), fp (128 bits of the set of shingles), its size n and the buckets of each document."""
+    """doc_id, mark (of id and text), fp (128 bits of the set of shingles), its size n, buckets and sketch of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = hashing()
@@ -84,9 +97,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 kept = (batch.column(c).slice(at, len(texts)) for c in ("doc_id", "mark"))
                 fp = pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string())
                 buckets = pa.array([signature(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-                yield pa.record_batch([*kept, fp, pa.array(map(len, sets), pa.int64()), buckets], ["doc_id", "mark", "fp", "n", "buckets"])
+                sizes, sketches = pa.array(map(len, sets), pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.record_batch([*kept, fp, sizes, buckets, sketches], ["doc_id", "mark", "fp", "n", "buckets", "sketch"])
 
-    shape = "doc_id long, mark string, fp string, n long, buckets array<long>"
+    shape = "doc_id long, mark string, fp string, n long, buckets array<long>, sketch array<long>"
     return in_arrow(documents(docs).withColumn("mark", mark_of()), run, shape)
 
 
@@ -115,13 +129,15 @@ def candidates(shared: DataFrame, similarity: float) -> DataFrame:
     return near.select(F.greatest("fp", "b.fp").alias("a"), F.least("fp", "b.fp").alias("b")).distinct()
 
 
-def mixed_buckets(able: DataFrame, roots: DataFrame) -> DataFrame:
-    """(bucket, fp, n, c, root, main) of the buckets that hold several components, of which ``main`` is the largest."""
+def mixed_buckets(able: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
+    """(bucket, fp, n, c, root, main) and ``SKETCH`` of the buckets that hold several components, of which ``main`` is the largest."""
     named = able.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     sizes = named.groupBy("bucket", "root").agg(F.count("*").alias("sets"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("sets", "root")).alias("main"), F.count("*").alias("roots"))
     several = main.where("roots > 1").select("bucket", F.col("main.root").alias("main"))
-    return named.join(several, "bucket").select("bucket", "fp", "n", "c", "root", "main")
+    bits = marked.groupBy("fp").agg(F.first("sketch").alias("sketch"))
+    bits = bits.select("fp", *(F.get("sketch", F.lit(k)).alias(name) for k, name in enumerate(SKETCH)))
+    return named.join(several, "bucket").join(bits, "fp").select("bucket", "fp", "n", "c", "root", "main", *SKETCH)
 
 
 def able_sets(shared: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
@@ -154,14 +170,19 @@ def shared_sizes(docs: DataFrame, marked: DataFrame, shared: DataFrame) -> DataF
 def outsiders(members: DataFrame, tried: DataFrame, similarity: float) -> DataFrame:
     """(a, b) pairs of sets that share a bucket, are in different components and are not among the pairs tried.
 
-    ``members`` are ``mixed_buckets``; pairs that their sizes or what they share with any set rule out are left.
+    ``members`` are ``mixed_buckets``; pairs that their sizes, what they share with any set or, in large buckets, their sketches
+    rule out are left.
     """
-    members = members.withColumn("c", F.coalesce("c", "n"))
+    members = members.withColumn("large", F.col("c").isNotNull()).withColumn("c", F.coalesce("c", "n"))
     salted = members.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).drop("main")
     others = members.where("root <> main").withColumn("salt", F.explode(F.array(*(F.lit(i) for i in range(SALTS)))))
-    others = others.select("bucket", "salt", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("root").alias("rx"))
+    kept = {"fp": "x", "n": "nx", "c": "cx", "root": "rx", **{name: f"x{name}" for name in SKETCH}}
+    others = others.select("bucket", "salt", *(F.col(name).alias(alias) for name, alias in kept.items()))
     most = F.least("c", "cx")
     possible = fits("n", "nx", similarity) & (most >= similarity * (F.col("n") + F.col("nx") - most))
+    apart = reduce(add, (F.bit_count(F.col(name).bitwiseXOR(F.col(f"x{name}"))) for name in SKETCH))
+    # a similarity of s leaves (1 - s) / (1 + s) of both sizes that only one of the sets holds; the rest is for rounding
+    possible &= ~F.col("large") | (apart * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("nx")) + 1e-6)
     met = others.join(salted, (others.bucket == salted.bucket) & (others.salt == salted.salt) & (F.col("rx") != F.col("root")) & possible)
     pairs = met.select(F.greatest("x", "fp").alias("a"), F.least("x", "fp").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
@@ -223,7 +244,7 @@ def all_links(docs: DataFrame, marked: DataFrame, similarity: float = SIMILARITY
     first = written(candidates(able, similarity), "pairs")
     found = links(first, sets_of(docs, marked, ends_of(first)), similarity)
     found = written(found if known is None else found.unionByName(known), "first-links")
-    members = written(mixed_buckets(able, components(found, "a", "b").withColumnRenamed("node", "fp")), "members")
+    members = written(mixed_buckets(able, components(found, "a", "b").withColumnRenamed("node", "fp"), marked), "members")
     rest = written(outsiders(members, first, similarity), "outsiders")
     return found.unionByName(links(rest, sets_of(docs, marked, ends_of(rest)), similarity))
 

@@ -121,3 +121,32 @@ def test_pairs_that_unique_shingles_rule_out_are_not_made(table, monkeypatch):
     monkeypatch.setattr(near_copies, "LARGE", 1000)
     assert [r["doc_id"] for r in found(near_copies.one_of_each(docs))] == sorted(set(roots))
     assert sum(made) > 20 * 160
+
+
+def test_pairs_that_sketches_rule_out_are_not_made(table, monkeypatch):  # noqa: F811
+    """A family whose edits come from few words, so that shingles are shared but sets are not alike: one bucket, few pairs."""
+    rng = random.Random(8)
+    monkeypatch.setattr(near_copies, "signature", lambda found: near_copies.np.array([1], "u8"))
+    first = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(240):
+        words = list(first)
+        for at in rng.sample(range(60), 1 if i % 8 == 0 else 3):
+            words[at] = f"v{rng.randrange(3)}"
+        texts.append(" ".join(words))
+    docs = table(texts)
+    roots = classes([plain_shingles(t) for t in texts], similar)
+    made, real = [], near_copies.links
+    monkeypatch.setattr(near_copies, "links", lambda pairs, *a: made.append(pairs.count()) or real(pairs, *a))
+    assert [r["doc_id"] for r in found(near_copies.one_of_each(docs))] == sorted(set(roots))
+    assert len(set(roots)) > 60 and sum(made) <= 8 * 240
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = near_copies.np.random.default_rng(2)
+    for size in (0, 1, 40, 3000):
+        both = rng.integers(0, 2**63, size * 2, dtype=near_copies.np.uint64)
+        one, two = both[: size + size // 2], both[size // 2 :]
+        apart = near_copies.np.bitwise_count(near_copies.sketch(one) ^ near_copies.sketch(two)).sum()
+        assert apart <= len(set(one.tolist()) ^ set(two.tolist()))
+        assert size < 3000 or apart > 100
