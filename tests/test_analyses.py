@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from conftest import START, one, rows
 
+from parley.functions import text as tx
 from parley.functions.stats import erfc, log_gamma, poisson_tail
 from parley.operators import anomalies, bots, cohorts, concentration, emotes, health, language, links, mentions
 from parley.operators import overview, roles, sessions, temporal, words
@@ -361,3 +362,36 @@ def test_first_message_hours_and_active_chatters(chat):
     hours = dict(rows(temporal.first_message_hours(m)))
     assert hours[8] == 2 and sum(hours.values()) == 2
     assert one(overview.active_chatters(m)) == (1.5, 2)
+
+
+def test_token_counts_read_runs_between_blanks(chat, monkeypatch):
+    """Every kind as the patterns find it in whole texts, however often tasks hand on, in one pass over the messages."""
+    texts = ["Kappa  it's @Bob see http://a.b/c,d Straße ÄÖ x\ty", "a@b @c_d! http", None, "", " ", "ΑΣ Σ ΟΔΟΣ 世界 hello_world", "x" * 300]
+    df = chat(*[(f"u{i % 2}", t, i, {"emotes_tag": "25:0-4/9:90-95" if i % 3 == 0 else None}) for i, t in enumerate(texts * 3)])
+    kinds = {"native": tx.parse_emotes("emotes_tag", "text"), "token": tx.emote_tokens("text"), "word": tx.words("text")}
+    want = {}
+    for kind, names in kinds.items():
+        rows = df.filter(F.length("emotes_tag") > 0) if kind == "native" else df
+        for r in rows.select("user_id", F.explode(names).alias("name")).collect():
+            want[r.user_id, kind, r["name"]] = want.get((r.user_id, kind, r["name"]), 0) + 1
+    for most in (200_000, 1):
+        monkeypatch.setattr(emotes, "RUNS", most)
+        counted = emotes.token_counts(df, "user_id")
+        assert {(r.user_id, r.kind, r["name"]): r.uses for r in counted.collect()} == want
+    slope = words.zipf_slope(words.words_apart(emotes.token_counts(df), df.select(F.lit("Kappa").alias("name"))))
+    slope.collect()
+    plan = slope._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("MapInArrow") == 1
+
+
+def test_message_classes_with_long_texts(chat):
+    """Texts whose first runs are names but not all, capitals late in a text, and names of another channel."""
+    names = " ".join(["Kappa"] * 40)
+    shout = "ABCDEFGHIJ " * 60
+    df = chat(
+        ("a", names, 0), ("a", f"{names} word", 1), ("b", f"{names} Keepo", 2), ("b", "@x http://y.z", 3, {"emotes_tag": "25:0-1"}),
+        ("a", shout, 4), ("a", "a" * 300 + shout * 3, 5), ("b", "quiet " * 200 + shout, 6), ("b", "why?  ", 7), ("a", None, 8),
+    )
+    catalog = df.select(F.lit("Kappa").alias("name")).distinct()
+    row = health.message_classes(df, catalog).first()
+    assert (row.emote_only, row.all_caps, row.questions, row.exclamations) == (1, 2, 1, 0)
