@@ -24,11 +24,27 @@ def _all_in_window(good: np.ndarray, n: int) -> np.ndarray:
     width = 1
     while width < n:
         step = min(width, n - width)
-        padded[:-step] &= padded[step:]
+        np.logical_and(padded[:-step], padded[step:], out=padded[:-step])
         width += step
     return padded[: len(good)]
 
 
+def _reached(step: np.ndarray, doublings: int = 4) -> np.ndarray:
+    """The places from 0 on by steps from place to place. One in 2^doublings is found in a loop, those between them all at once."""
+    n = len(step)
+    hops = [np.minimum(np.arange(n + 1) + np.append(step, 0), n)]
+    for _ in range(doublings):
+        hops.append(hops[-1][hops[-1]])
+    far, found, at = hops[-1].item, [], 0
+    while at < n:
+        found.append(at)
+        at = far(at)
+    out = np.array(found, np.int64)
+    for hop in reversed(hops[:-1]):
+        out = np.stack((out, hop[out]), axis=1).ravel()
+    return out[out < n]
+
+
 def pack(values: np.ndarray) -> np.ndarray:
     """The words of a block. Greedy: each word takes the longest run that fits."""
     values = values.astype(np.uint64)
@@ -38,25 +54,25 @@ def pack(values: np.ndarray) -> np.ndarray:
     if int(values.max()) >> 60:
         raise ValueError("a value needs more than 60 bits")
     choice = np.full(n, ESCAPE, np.uint8)
+    # ids are short: half the bytes are read where all values allow it
+    short = values.astype(np.uint32) if not int(values.max()) >> 32 else values
     for selector in range(len(SHAPES) - 2, -1, -1):
         count, bits = SHAPES[selector]
-        fits = values < np.uint64(1 << bits)
+        fits = short <= short.dtype.type(min((1 << bits) - 1, np.iinfo(short.dtype).max))
         if fits.any():
-            choice[_all_in_window(fits, count)] = selector
-    step = COUNTS[choice].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+            np.putmask(choice, _all_in_window(fits, count), selector)
+    starts = _reached(COUNTS[choice])
     chosen = choice[starts]
     padded = np.concatenate((values, np.zeros(60, np.uint64)))
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector in np.unique(chosen):
         mine = np.flatnonzero(chosen == selector)
         count, bits = SHAPES[selector] if selector != ESCAPE else (1, 60)
-        for k in range(count):
-            words[mine] |= padded[starts[mine] + k] << np.uint64(k * bits)
+        first = starts[mine]
+        held = padded[first]
+        for k in range(1, count):
+            held |= padded[first + k] << np.uint64(k * bits)
+        words[mine] |= held
     return words
 
 

@@ -106,3 +106,15 @@ def test_no_documents_no_ids(spark, table, tmp_path):  # noqa: F811
     folder = str(tmp_path / "tokens")
     token_files.write(table([]), PATH, 2, folder)
     assert token_files.read(spark, folder).count() == token_files.block_starts(spark, folder).count() == 0
+
+
+def test_places_reached_by_steps():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 17, 1000):
+        for most in (2, 4, 61):
+            step, want, at = rng.integers(1, most, n), [], 0
+            while at < n:
+                want.append(at)
+                at += int(step[at])
+            for doublings in (0, 1, 4):
+                assert simple8b._reached(step, doublings).tolist() == want
