@@ -24,10 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from parley.llm.common import documents, drop_long, in_arrow, make_room, pieces, slices
+from parley.llm.common import CACHED_BYTES, documents, in_arrow, make_room, pieces, slices
 
 #: Fixed value: white space of the tokenizer's \s, which is Unicode's White_Space.
 SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Bytes of text that are encoded at once, entries of each of a worker's two caches, and places of the table of words met once.
+PART_BYTES, CACHE_ENTRIES, MET_PLACES = 1 << 18, 80_000, 1 << 21
 ENCODED = "doc_id long, ids binary"
 DECODED = "doc_id long, text string"
 
@@ -39,6 +41,36 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+class Repeated(dict):
+    """A cache of the words that are met again: most distinct words of a corpus come once, and an entry takes some 200 bytes.
+
+    Between ``room`` and ``settle`` it holds all words of a pass.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.met, self.marks = bytearray(MET_PLACES), 0
+
+    def room(self, keys: set[bytes]) -> list[bytes]:
+        """The keys that are not held, for which room is made."""
+        make_room(self, len(keys), CACHE_ENTRIES)
+        return [k for k in keys if k not in self]
+
+    def settle(self, new: list[bytes]) -> None:
+        """Of the words of a pass those leave that are long or, as far as the hashes tell, were not met in a pass before."""
+        met, last = self.met, MET_PLACES - 1
+        for key in new:
+            at = hash(key) & last
+            if not met[at]:
+                met[at] = 1
+                self.marks += 1
+                del self[key]
+            elif len(key) > CACHED_BYTES:
+                del self[key]
+        if 4 * self.marks > MET_PLACES:
+            self.met, self.marks = bytearray(MET_PLACES), 0
+
+
 class Codec:
     """A vocabulary with word ends: text to ids and back."""
 
@@ -62,8 +94,8 @@ class Codec:
         self.word = regex.compile(pattern.replace(r"\s", SPACE))
         names = {i: t.encode() for t, i in [*vocab.items(), *self.special.items()]}
         self.names = [names.get(i, b"") for i in range(max(names) + 1)]
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.names))]
+        self.chunks, self.words = Repeated(), Repeated()
 
     def normal(self, text: str) -> str:
         """Canonical composition, then lower case letter by letter, so a final sigma is no special case."""
@@ -90,10 +122,10 @@ class Codec:
             symbol += (self.last[w[-1]], -1)
         size = len(symbol)
         after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        merges, by_rank = self.merges, self.by_rank
+        find, by_rank = self.merges.get, self.by_rank
         places: defaultdict[int, list[int]] = defaultdict(list)
-        for at in range(size - 1):
-            if found := merges.get((symbol[at], symbol[at + 1])):
+        for at, found in enumerate(map(find, zip(symbol, symbol[1:]))):
+            if found:
                 places[found[0]].append(at)
         active = list(places)
         heapq.heapify(active)
@@ -111,12 +143,16 @@ class Codec:
                 follow = after[at] = after[gone]
                 before[follow] = at
                 lower = False
-                for start, pair in ((before[at], (symbol[before[at]], new)), (at, (new, symbol[follow]))):
-                    if found := merges.get(pair):
-                        if found[0] not in places:
-                            heapq.heappush(active, found[0])
-                        places[found[0]].append(start)
-                        lower |= found[0] < rank
+                if found := find((symbol[last := before[at]], new)):
+                    if (other := found[0]) not in places:
+                        heapq.heappush(active, other)
+                    places[other].append(last)
+                    lower = other < rank
+                if found := find((new, symbol[follow])):
+                    if (other := found[0]) not in places:
+                        heapq.heappush(active, other)
+                    places[other].append(at)
+                    lower |= other < rank
                 if lower and i + 1 < len(at_rank):  # the lower rank comes before what is left of this one
                     places[rank] = at_rank[i + 1 :]
                     heapq.heappush(active, rank)
@@ -130,28 +166,27 @@ class Codec:
             out[w] = ids
         return out
 
-    def learn(self, chunks: set[bytes]) -> None:
-        """Encode the chunks that are not known yet, and of their words those that are not."""
-        make_room(self.chunks, len(chunks))
-        new = [c for c in chunks if c not in self.chunks]
+    def learn(self, chunks: set[bytes]) -> list[bytes]:
+        """Encode the chunks that are not known yet, and of their words those that are not; returns these chunks."""
+        new = self.chunks.room(chunks)
         plans = [self.plan(c) for c in new]
-        words = {w for p in plans for w in p if not isinstance(w, int)}
-        make_room(self.words, len(words))
-        for word, ids in self.merged(words.difference(self.words)).items():
-            self.words[word] = np.array(ids, "<u4").tobytes()
+        words = self.words.room({w for p in plans for w in p if not isinstance(w, int)})
+        four = self.four.__getitem__
+        for word, ids in self.merged(words).items():
+            self.words[word] = b"".join(map(four, ids))
         for chunk, plan in zip(new, plans):
-            ids = [w.to_bytes(4, "little") if isinstance(w, int) else self.words[w] for w in plan]
+            ids = [four(w) if isinstance(w, int) else self.words[w] for w in plan]
             self.chunks[chunk] = b"".join(ids)
-        drop_long(self.words, words)
+        self.words.settle(words)
+        return new
 
     def encode_all(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [[p.split() for p in pieces(folded(t))] if t else [] for t in texts]
-        chunks = {w for doc in split for part in doc for w in part}
-        self.learn(chunks)
+        new = self.learn({w for doc in split for part in doc for w in part})
         known = self.chunks.__getitem__
         ids = [b"".join(b"".join(map(known, part)) for part in doc) for doc in split]
-        drop_long(self.chunks, chunks)
+        self.chunks.settle(new)
         return ids
 
     def decode(self, ids: bytes) -> str:
@@ -178,7 +213,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            for at, texts in slices(batch):
+            for at, texts in slices(batch, most=PART_BYTES):
                 ids = own.encode_all(texts)
                 yield pa.record_batch([batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -191,7 +226,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            for at, ids in slices(batch, "ids"):
+            for at, ids in slices(batch, "ids", PART_BYTES):
                 texts = [own.decode(x or b"") for x in ids]
                 yield pa.record_batch([batch.column("doc_id").slice(at, len(ids)), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -204,7 +239,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            for at, texts in slices(batch):
+            for at, texts in slices(batch, most=PART_BYTES):
                 ids = own.encode_all(texts)
                 back = [own.decode(x) for x in ids]
                 cols = [batch.column("doc_id").slice(at, len(texts)), pa.array(ids, pa.binary()), pa.array(back, pa.string())]

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,7 @@ from llm_data import found, table  # noqa: F401
 from tokenizers import Tokenizer
 
 from parley.llm import bpe, simple8b, token_files
-from parley.llm.common import pieces
+from parley.llm.common import in_arrow, pieces
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -70,6 +71,30 @@ def test_a_small_cache_changes_nothing(library, monkeypatch):
             assert unpacked(own.encode_all([text.encode()])[0]) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_the_caches_hold_words_that_are_met_again(library, monkeypatch):
+    own, rng = bpe.Codec(PATH), random.Random(4)
+    once = [" ".join("".join(rng.choices("abcdefgh", k=12)) for _ in range(200)) for _ in range(20)]
+    for text in once:
+        assert unpacked(own.encode_all([f"{text} often,".encode()])[0]) == library.encode(f"{text} often,", add_special_tokens=False).ids
+    assert b"often," in own.chunks and max(len(own.chunks), len(own.words)) < 200  # of 4,000 words met once
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 5)
+    monkeypatch.setattr(bpe, "MET_PLACES", 8)
+    own = bpe.Codec(PATH)
+    for text in texts(5) * 2:
+        assert unpacked(own.encode_all([text.encode()])[0]) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_workers_get_batches_of_a_few_megabytes(spark):
+    docs = spark.range(4000, numPartitions=1).selectExpr("id AS doc_id", "repeat(chr(97 + id % 26), 4000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    got = in_arrow(docs, sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in got) == 4000 and max(r["size"] for r in got) < 3 << 20
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, (1 << 60) - 1) | st.integers(0, 70_000) | st.integers(0, 1), max_size=400))
 def test_simple8b_round_trip(values):
