@@ -170,18 +170,31 @@ def random_user(df: DataFrame, channel: str, user: str, kind: str = "user", n: i
 def merge_pages(*pages: DataFrame) -> DataFrame:
     """Pages that may overlap, without repeats and in time order: one row per id, else per (login, text, time).
 
-    Of several rows the one of the last page stays, and within a page the latest.
+    Of several rows the one of the last page stays, and within a page the latest. Whole rows are shuffled once, into the order of time:
+    repeats that share a time meet there. An id that comes at several times is found by id and time alone; each time of it that
+    goes is one more row, without a text, which is put first at its place and takes what it finds there along.
     """
     rows = None
     for place, part in enumerate(pages):
         part = part.withColumn("__place", F.lit(place))
         rows = part if rows is None else rows.unionByName(part)
     no_id = F.coalesce(F.length("id") == 0, F.lit(True))
-    stamp = F.when(no_id, F.struct("username", tx.text_key("text").alias("text"), "ts"))
-    marked = rows.withColumn("__id", F.when(~no_id, F.col("id"))).withColumn("__stamp", stamp)
-    latest = Window.partitionBy("__id", "__stamp").orderBy(F.desc("__place"), F.desc("ts"), F.asc(tx.text_key("text")))
-    kept = marked.withColumn("__n", F.row_number().over(latest)).filter("__n = 1")
-    return kept.orderBy("ts", "id").drop("__id", "__stamp", "__n", "__place")
+    marked = rows.withColumn("__id", F.when(~no_id, F.col("id")))
+    gone = _times_left(marked).withColumn("__place", F.lit(len(pages)))
+    placed = marked.unionByName(gone, allowMissingColumns=True).repartitionByRange("ts", "__id")
+    stamp = F.when(F.col("__id").isNull(), F.struct("username", tx.text_key("text").alias("text")))
+    latest = Window.partitionBy("ts", "__id", "__stamp").orderBy(F.desc("__place"), F.asc(tx.text_key("text")))
+    kept = placed.withColumn("__stamp", stamp).withColumn("__n", F.row_number().over(latest))
+    kept = kept.filter((F.col("__n") == 1) & (F.col("__place") < len(pages)))
+    return kept.sortWithinPartitions("ts", "id").drop("__id", "__stamp", "__n", "__place")
+
+
+def _times_left(rows: DataFrame) -> DataFrame:
+    """(__id, ts) of the times at which an id stands besides the one that stays: the latest of its last page."""
+    times = rows.filter(F.col("__id").isNotNull()).select("__id", "ts", "__place").repartition("__id")
+    times = times.groupBy("__id", "ts").agg(F.max("__place").alias("__place"))
+    last = F.max(F.struct("__place", "ts")).over(Window.partitionBy("__id"))
+    return times.withColumn("__last", last).filter(~F.col("ts").eqNullSafe(F.col("__last.ts"))).select("__id", "ts")
 
 
 def suggest_channels(df: DataFrame, query: str = "", taken=(), limit: int = SUGGESTION_LIMIT) -> DataFrame:

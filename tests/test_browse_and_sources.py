@@ -1,6 +1,8 @@
 """Filters, log browser, ingest, store, coverage, catalogs, exports."""
 
+import hashlib
 import json
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -133,6 +135,36 @@ def test_overlapping_pages_merge(chat):
     assert [r.text for r in browse.merge_pages(a, edited).collect()] == ["edited", "x", "y"]
 
 
+def test_pages_merge_as_one_ranking_by_id_does(chat):
+    rng = random.Random(3)
+    draw = lambda: (rng.choice("uv"), rng.choice(["x", "y", None]), rng.randrange(3), {"id": rng.choice([None, "", "a", "b", "c", "d"])})
+    for n in (2, 12):
+        pages = [[draw() for _ in range(n)] for _ in range(3)]
+        frames = [chat(*p).withColumn("ts", F.when(F.minute("ts") * 60 + F.second("ts") > 0, F.col("ts"))) for p in pages]
+        got = browse.merge_pages(*frames).collect()
+        best = {}
+        for place, frame in enumerate(frames):
+            for r in frame.collect():
+                digest = hashlib.sha256(r.text.encode()).digest() if r.text is not None else b""
+                rank = (place, r.ts is not None, r.ts or START, [-b for b in digest] or [1])
+                key = (r.id,) if r.id else (r.username, r.text, r.ts)
+                if key not in best or rank > best[key][0]:
+                    best[key] = rank, r
+        want = [r for _, r in best.values()]
+        plain = lambda rs: sorted(((r.id or r.username, r.ts, r.text) for r in rs), key=str)
+        assert plain(got) == plain(want)
+        order = [(r.ts is not None, r.ts or START, r.id is not None, r.id or "") for r in got]
+        assert order == sorted(order) and got and "__place" not in got[0]
+
+
+def test_pages_merge_shuffles_texts_once(spark, chat):
+    day = chat(("u", "x", 0), ("u", "y", 1))
+    merged = browse.merge_pages(day, day)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Exchange" in line]
+    assert sum("rangepartitioning" in line for line in texts) == 1 and len(texts) == 2  # the other one has ids and times
+
+
 def test_a_draw_does_not_prefer_messages_without_id(chat):
     m = chat(*[("u", f"t{i}", i, {"id": None} if i < 2 else {}) for i in range(20)])
     drawn = [{r.text for r in browse.random_channel(m, " CHAN", 2, seed=s).collect()} for s in range(6)]
