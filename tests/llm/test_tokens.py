@@ -1,5 +1,6 @@
 """Operators 4 and 10: the token files and the BPE codec, against the tokenizers library."""
 
+import json
 import random
 
 import numpy as np
@@ -84,6 +85,62 @@ def test_the_caches_hold_words_that_are_met_again(library, monkeypatch):
         assert unpacked(own.encode_all([text.encode()])[0]) == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_short_words_of_a_pass_are_merged_together(library, monkeypatch):
+    own, rng = bpe.Codec(PATH), random.Random(6)
+    words = ["".join(rng.choices("abcdefghijklmnopé", k=rng.randrange(1, 30))) for _ in range(3000)]
+    steps, pops, entries = [], [], own.entries
+    monkeypatch.setattr(own, "entries", lambda *a: steps.append(1) or entries(*a), raising=False)
+    pop = bpe.heapq.heappop
+    monkeypatch.setattr(bpe.heapq, "heappop", lambda *a: pops.append(1) or pop(*a))
+    ids = own.encode_all([w.encode() for w in words])
+    assert not pops and len(steps) < 2 * 64  # one by one these words take tens of thousands
+    monkeypatch.undo()
+    assert [unpacked(x) for x in ids] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    long = ["a" * 70, "ab" * 50, "x" * 63 + "é", "x" * 64 + "é", "abc" * 400]
+    assert [unpacked(x) for x in own.encode_all([w.encode() for w in long])] == [
+        e.ids for e in library.encode_batch(long, add_special_tokens=False)
+    ]
+
+
+def test_each_kind_of_run_is_split_as_the_library_does(library):
+    own = bpe.Codec(PATH)
+    heads = ["Word", "word", "ÉTÉ", "été", "a\u0301", "J\u030c", "ΣΑΣ", "ß", "\u1e9e", "word's", "x2", "\u4e00", "\u02b0a", "<|x", "w<|endoftext|>w", "\u00a0"]
+    rows = [h + t for h in heads for t in ["", ",", "...", "!?", "'", "'s", ",'s", "_", "<|", "<|endoftext|>", "§", "\u0301", "9."]]
+    for row in [*rows, " ".join(rows)]:
+        assert unpacked(own.encode_all([row.encode()])[0]) == library.encode(row, add_special_tokens=False).ids, row
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_symbols_that_several_pairs_make(tmp_path, seed):
+    """There a pair of a lower rank may arise before all positions of a rank are merged."""
+    rng = random.Random(seed)
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = bpe.byte_letters()
+    vocab = {t: i for i, t in enumerate([*letters, *(x + "</w>" for x in letters)])}
+    inner, last, merges = ["a", "b", "c"], ["a</w>", "b</w>", "c</w>"], []
+    while len(merges) < 60:
+        left, right = rng.choice(inner), rng.choice(inner + last)
+        if [left, right] not in merges and len(left + right) < 12:
+            merges.append([left, right])
+            if left + right not in vocab:
+                vocab[left + right] = len(vocab)
+                (last if right.endswith("</w>") else inner).append(left + right)
+    rng.shuffle(merges)
+    spec["model"] |= {"vocab": vocab, "merges": merges}
+    spec["added_tokens"] = [t | {"id": len(vocab) + k} for k, t in enumerate(spec["added_tokens"])]
+    if isinstance(spec.get("post_processor"), dict):
+        spec["post_processor"] = None
+    path = str(tmp_path / "made_up.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    library, own = Tokenizer.from_file(path), bpe.Codec(path)
+    assert not own.at_once.all()
+    words = ["".join(rng.choices("abc"[: rng.randrange(1, 4)], k=rng.randrange(1, 90))) for _ in range(600)]
+    ids = own.encode_all([" ".join(words).encode()])[0]
+    assert unpacked(ids) == library.encode(" ".join(words), add_special_tokens=False).ids
+
+
 def test_workers_get_batches_of_a_few_megabytes(spark):
     docs = spark.range(4000, numPartitions=1).selectExpr("id AS doc_id", "repeat(chr(97 + id % 26), 4000) AS text")
 
