@@ -184,6 +184,15 @@ def test_every_link_shares_an_anchor(spark):
     assert {frozenset(p) for p in got} == want
 
 
+def test_replicas_are_not_broadcast(spark, tmp_path):
+    """A table of fingerprints under Spark's limit for a broadcast becomes eighty times as many rows."""
+    spark.range(4000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fp"))
+    got = simhash.links(spark.read.parquet(str(tmp_path / "fp")))
+    assert got.count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_code_covers_the_space():
     code = simhash.codewords()
     rng = np.random.default_rng(1)
