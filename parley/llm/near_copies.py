@@ -109,7 +109,8 @@ def buckets_of(marked: DataFrame) -> DataFrame:
     distinct = marked.groupBy("fp").agg(F.first("n").alias("n"), F.first("buckets").alias("buckets"))
     spread = distinct.select("fp", "n", F.explode("buckets").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("sets")).where("sets > 1").select("bucket", "sets")
-    return spread.join(shared, "bucket").select("bucket", "fp", "n", "sets")
+    # sized by the sets, of which each is in BANDS buckets: neither side is for a broadcast
+    return spread.join(shared.hint("merge"), "bucket").select("bucket", "fp", "n", "sets")
 
 
 def fits(one: str, two: str, similarity: float) -> Column:
@@ -183,7 +184,8 @@ def outsiders(members: DataFrame, tried: DataFrame, similarity: float) -> DataFr
     apart = reduce(add, (F.bit_count(F.col(name).bitwiseXOR(F.col(f"x{name}"))) for name in SKETCH))
     # a similarity of s leaves (1 - s) / (1 + s) of both sizes that only one of the sets holds; the rest is for rounding
     possible &= ~F.col("large") | (apart * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("nx")) + 1e-6)
-    met = others.join(salted, (others.bucket == salted.bucket) & (others.salt == salted.salt) & (F.col("rx") != F.col("root")) & possible)
+    # sized as if there were no SALTS copies
+    met = others.hint("merge").join(salted, (others.bucket == salted.bucket) & (others.salt == salted.salt) & (F.col("rx") != F.col("root")) & possible)
     pairs = met.select(F.greatest("x", "fp").alias("a"), F.least("x", "fp").alias("b")).distinct()
     return pairs.join(tried, ["a", "b"], "left_anti")
 

@@ -150,3 +150,18 @@ def test_sketches_differ_in_no_more_bits_than_sets():
         apart = near_copies.np.bitwise_count(near_copies.sketch(one) ^ near_copies.sketch(two)).sum()
         assert apart <= len(set(one.tolist()) ^ set(two.tolist()))
         assert size < 3000 or apart > 100
+
+
+def test_rows_that_spread_are_not_broadcast(spark):
+    """Sets by bucket, and outsiders dealt into parts, are many times the rows by which Spark sizes them."""
+    sets = spark.range(40).selectExpr("concat('f', id) as fp", "id + 5 as n", "array(id % 3, id % 7) as buckets")
+    shared = near_copies.buckets_of(near_copies.written(sets, "signatures"))
+    assert shared.count() == 80
+    bits = [f"id as {name}" for name in near_copies.SKETCH]
+    members = spark.range(40).selectExpr("id % 3 as bucket", "concat('f', id) as fp", "20L as n", "null + 0L as c", "concat('f', id) as root", "'f1' as main", *bits)
+    tried = near_copies.written(spark.createDataFrame([("f4", "f1")], "a string, b string"), "pairs")
+    rest = near_copies.outsiders(near_copies.written(members, "members"), tried, 0.8)
+    assert rest.count() == 14 * 13 // 2 + 2 * 13 * 12 // 2 - 1
+    for rows in (shared, rest):
+        plan = rows._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("SortMergeJoin" in line and "Inner" in line for line in plan) and not any("BroadcastHashJoin" in line and "Inner" in line for line in plan)
