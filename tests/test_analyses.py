@@ -395,3 +395,16 @@ def test_message_classes_with_long_texts(chat):
     catalog = df.select(F.lit("Kappa").alias("name")).distinct()
     row = health.message_classes(df, catalog).first()
     assert (row.emote_only, row.all_caps, row.questions, row.exclamations) == (1, 2, 1, 0)
+
+
+@pytest.mark.parametrize("by", [(), ("channel",), ("channel", "role")])
+@pytest.mark.parametrize("at_once", [2, 7, 1 << 20])
+def test_pairs_of_words_are_counted_before_they_are_texts(chat, monkeypatch, by, at_once):
+    monkeypatch.setattr(words, "PAIR_WORDS", at_once)
+    texts = ["aa bb cc", "AA  bb", None, "", "aa", "bb cc aa bb cc aa bb cc", "é1 ünï http://x.y/aa bb @who cc", "x aa, bb; cc's dd", "aa bb"]
+    m = chat(*[("u", t, k, {"channel": (None, "c", "d")[k % 3], "role": f"r{k % 2}"}) for k, t in enumerate(texts * 3)])
+    pairs = m.select(*by, tx.words("text").alias("w")).select(*by, F.explode(tx.bigrams(F.col("w"))).alias("phrase"))
+    want = pairs.groupBy(*by, "phrase").agg(F.count("*").alias("uses"))
+    got = words.phrase_counts(m, by)
+    assert rows(got) == rows(want) and got.columns == want.columns and got.count() > 5
+    assert "Generate" not in words.top_phrases(m, 20, by)._jdf.queryExecution().executedPlan().toString()
