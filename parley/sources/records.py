@@ -88,10 +88,16 @@ def dedupe_by_id(df: DataFrame, arrival: list[Column]) -> DataFrame:
 
 
 def dedupe_repeated(df: DataFrame, arrival: list[Column]) -> DataFrame:
-    """``dedupe_by_id`` of a written table, for which only rows of ids that come several times are shuffled.
+    """``dedupe_by_id`` of a written table, for which only rows of ids that come several times are shuffled."""
+    sure, maybe = by_repetition(df)
+    return sure.unionByName(dedupe_by_id(maybe, arrival))
+
+
+def by_repetition(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a written table whose id surely comes once, and the others.
 
     Ids are counted first. Those found twice are bits of a filter of fixed size, which is broadcast: at most REPEAT_BITS / 32 rows,
-    whatever their number. Rows that it does not name have an id of their own; the others, few of them by chance, are put in order.
+    whatever their number. Rows that it does not name have an id of their own; the others are few of them by chance.
     """
     bit = F.pmod(F.xxhash64("id"), F.lit(REPEAT_BITS))
     one = F.expr("shiftleft(1L, cast(__bit & 31 as int))")
@@ -99,8 +105,23 @@ def dedupe_repeated(df: DataFrame, arrival: list[Column]) -> DataFrame:
     words = twice.groupBy(F.shiftright("__bit", 5).alias("__word")).agg(F.bit_or(one).alias("__mask"))
     rows = df.withColumn("__bit", bit).withColumn("__word", F.shiftright("__bit", 5)).join(F.broadcast(words), "__word", "left")
     rows = rows.withColumn("__hit", F.coalesce(F.col("__mask").bitwiseAND(one) != 0, F.lit(False)))
-    sure, maybe = (rows.filter(test).select(*df.columns) for test in (~F.col("__hit"), F.col("__hit")))
-    return sure.unionByName(dedupe_by_id(maybe, arrival))
+    return tuple(rows.filter(test).select(*df.columns) for test in (~F.col("__hit"), F.col("__hit")))
+
+
+def superseded(df: DataFrame, arrival: list[Column], file: str, row: str) -> DataFrame:
+    """Rows of written files that ``dedupe_by_id`` leaves out: ``file``, ``__word`` and ``__lost``, the bits of 64 rows of the file.
+
+    ``row`` is the place of a row in its file. Only places and what orders the copies are shuffled, not the rows.
+    """
+    _, maybe = by_repetition(df)
+    named = maybe.filter(F.col("id").isNotNull())
+    last = named.groupBy("id").agg(F.max(F.struct(*(a.alias(f"a{k}") for k, a in enumerate(arrival)), F.col(file), F.col(row))).alias("last"))
+    here, last = named.select(file, row, F.lit(False).alias("stays")), last.select(f"last.{file}", f"last.{row}", F.lit(True).alias("stays"))
+    bit = F.expr(f"shiftleft(1L, cast({row} & 63 as int))")
+    marks = [F.bit_or(F.when(test, bit).otherwise(F.lit(0).cast("bigint"))) for test in (~F.col("stays"), F.col("stays"))]
+    words = here.unionByName(last).groupBy(file, F.shiftright(row, 6).alias("__word"))
+    lost = words.agg(marks[0].bitwiseAND(F.bitwise_not(marks[1])).alias("__lost"))
+    return lost.filter(F.col("__lost") != 0)
 
 
 def pool_channels(frames: dict[str, DataFrame]) -> DataFrame:

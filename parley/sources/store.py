@@ -22,7 +22,7 @@ from parley.functions.core import time_cell
 from parley.operators.filters import slice_window
 from parley.schema import MESSAGES
 from parley.session import shared_folder
-from parley.sources.records import dedupe_repeated
+from parley.sources.records import superseded
 
 VERSION = "v2"
 PARTITIONS = ("channel_key", "year_month")
@@ -31,6 +31,8 @@ NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
 STORED = T.StructType([*MESSAGES.fields, *[T.StructField(c, T.StringType()) for c in PARTITIONS]])
 MINUTES = "minute timestamp_ntz, messages long, channel_key string, year_month string"
 MANIFEST = "channel_key string, year_month string, merge string"
+#: Rows of the files that a merge copies at once: their bits, at most 1 / 64 as many rows, are broadcast. Bytes that a task copies, about.
+COPIED_ROWS, COPIED_BYTES = 1 << 25, 16 << 20
 
 
 class MergeConflict(RuntimeError):
@@ -175,10 +177,11 @@ def merge_store(
 
     Of several new copies of one id the last arrived stays: ``arrival`` names the column that orders them. Without it the copy with the
     greatest time stays, and of equal times the one whose text has the greatest hash, so the outcome never depends on the order of rows.
-    The new rows are staged by month; only the months found there are read, and their merged rows written again. ``stage`` is a folder
-    that all executors share (by default one below spark.checkpoint.dir); what is staged there is removed at the end. Rebalancing splits
-    a month that is far larger than the others over many files and puts small months together. Merging the same messages twice changes
-    nothing. ``batch`` is the name of a stream and the number of its batch: one that was merged before is left alone (False).
+    The new rows are staged by month; only the months found there are read. Which rows of these files go is found by ids and places of
+    rows in files, without the texts; all other rows are then copied, file by file, and not shuffled. ``stage`` is a folder that all
+    executors share (by default one below spark.checkpoint.dir); what is staged there is removed at the end. A task copies some files
+    of about ``COPIED_BYTES`` together, so a large month has many files and small files of a month become few. Merging the same messages
+    twice changes nothing. ``batch`` is the name of a stream and the number of its batch: one that was merged before is left alone (False).
     ``MergeConflict`` is raised if another merge was committed meanwhile.
     """
     now = snapshot(spark, root)
@@ -194,14 +197,13 @@ def merge_store(
         months = fresh.groupBy("channel_key").agg(F.collect_set("year_month"), F.bool_or(F.col("year_month").isNull())).collect()
         merge = uuid.uuid4().hex
         if months:
-            every = fresh.withColumn("__new", F.lit(1))
+            places = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), F.col("_metadata.file_size").alias("__size")]
+            every = fresh.select("*", *places, F.lit(1).alias("__new"))
             if now is not None:
-                # stored and new rows are put in order together, and of them only what comes several times: texts are long
                 none = F.lit(None).cast(fresh.schema["__came"].dataType)
-                kept = scan(spark, root, now, _months(months)).withColumn("__new", F.lit(0)).withColumn("__came", none)
+                kept = scan(spark, root, now, _months(months)).select("*", *places, F.lit(0).alias("__new"), none.alias("__came"))
                 every = kept.select(*every.columns).unionByName(every)
-            merged = dedupe_repeated(every, [F.col("__new"), *order]).drop("__new", "__came")
-            _write(merged.hint("rebalance", *PARTITIONS), f"{location(root)}/data/merge={merge}")
+            _copy(spark, every, [F.col("__new"), *order], f"{folder}/lost", f"{location(root)}/data/merge={merge}")
             whole = spark.read.schema(STORED).parquet(f"{location(root)}/data/merge={merge}")
             counted = whole.groupBy(*PARTITIONS, time_cell("ts", "1 minute").alias("minute")).agg(F.count("*").alias("messages"))
             _write(counted.hint("rebalance", *PARTITIONS), f"{location(root)}/minutes/merge={merge}")
@@ -217,8 +219,38 @@ def merge_store(
     return True
 
 
-def _write(rows: DataFrame, path: str) -> None:
-    rows.write.option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
+def _copy(spark: SparkSession, every: DataFrame, order: list[Column], stage: str, path: str) -> None:
+    """Write the rows of some files (``__file``, ``__row``, ``__size``) to ``path``, of each id the last in ``order``."""
+    name = F.xxhash64("__file")
+    found = every.groupBy("__file", "__size").agg(F.count("*").alias("rows")).withColumn("name", name).collect()
+    if len({f["name"] for f in found}) < len(found):
+        raise RuntimeError("two files have one hash; merge again")
+    superseded(every, order, "__file", "__row").select(name.alias("__name"), "__word", "__lost").write.parquet(stage)
+    lost = spark.read.schema("__name bigint, __word bigint, __lost bigint").parquet(stage)
+    rows = every.withColumn("__name", name).withColumn("__word", F.shiftright("__row", 6))
+    bit = F.expr("shiftleft(1L, cast(__row & 63 as int))")
+    gone = F.coalesce(F.col("__lost").bitwiseAND(bit) != 0, F.lit(False))
+    for part in _parts(sorted(found, key=lambda f: f["name"])):
+        here = F.col("__name").between(part[0]["name"], part[-1]["name"])
+        kept = rows.filter(here).join(F.broadcast(lost.filter(here)), ["__name", "__word"], "left").filter(~gone)
+        tasks = -(-sum(f["__size"] for f in part) // COPIED_BYTES)
+        _write(kept.select(*STORED.fieldNames()).coalesce(max(1, tasks)), path, "append")
+
+
+def _parts(files: list) -> list[list]:
+    """Files in runs of ``COPIED_ROWS`` rows, or of one file that has more."""
+    out, held = [], 0
+    for file in files:
+        if not out or held + file["rows"] > COPIED_ROWS:
+            out.append([])
+            held = 0
+        out[-1].append(file)
+        held += file["rows"]
+    return out
+
+
+def _write(rows: DataFrame, path: str, mode: str = "error") -> None:
+    rows.write.mode(mode).option("compression", "zstd").partitionBy(*PARTITIONS).parquet(path)
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 10) -> int:

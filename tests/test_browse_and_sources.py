@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -287,6 +288,30 @@ def test_only_repeated_ids_are_put_in_order(spark, chat):
     assert 20 <= through[0] < 25
 
 
+@pytest.mark.parametrize("at_once", [1, 20, 1 << 25])
+def test_a_merge_copies_rows_and_shuffles_no_texts(spark, chat, tmp_path, monkeypatch, at_once):
+    root, plans, real = str(tmp_path / "store"), [], store._write
+    monkeypatch.setattr(store, "COPIED_ROWS", at_once, raising=False)
+
+    def write(rows, path, *more):
+        if "/data/" in path:
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        real(rows, path, *more)
+
+    monkeypatch.setattr(store, "_write", write)
+    want, nameless = {}, []
+    for k in range(3):
+        told = [(f"i{n % (7 + 30 * k)}" if n % 5 else None, f"t{k} {n * 37 % 11}", datetime(2024, 1, 1) + timedelta(days=n * 13 % 90)) for n in range(60)]
+        m = chat(*[("u", text, at, {"id": i, "channel": f"c{n % 2}"}) for n, (i, text, at) in enumerate(told)])
+        store.merge_store(spark, root, m.repartition(5))
+        nameless += [(None, text) for i, text, _ in told if i is None]
+        key = {t: h for t, h in rows(m.select("text", tx.text_key("text")))}
+        new = {i: max((at, bytes(key[text]), text) for j, text, at in told if j == i) for i in {i for i, _, _ in told} - {None}}
+        want |= {i: text for i, (_, _, text) in new.items()}
+    assert rows(store.scan(spark, root), "id", "text") == sorted([*nameless, *want.items()], key=str)
+    assert not any(re.search(r"Exchange (hash|range|Round|rebalance)|[Rr]ebalance|Window", plan) for plan in plans) and len(plans) >= 3
+
+
 def test_unreadable_lines_are_kept_apart(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1", "text": "x"}\nnot json\n\n{"id": "2", "te')
     assert records.read_messages(spark, str(tmp_path)).count() == len(records.read_messages(spark, str(tmp_path)).collect()) == 1
