@@ -199,7 +199,7 @@ def merge_store(
         if months:
             places = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"), F.col("_metadata.file_size").alias("__size")]
             every = fresh.select("*", *places, F.lit(1).alias("__new"))
-            if now is not None:
+            if now is not None and _folders(spark, root, now, "data", _months(months)):
                 none = F.lit(None).cast(fresh.schema["__came"].dataType)
                 kept = scan(spark, root, now, _months(months)).select("*", *places, F.lit(0).alias("__new"), none.alias("__came"))
                 every = kept.select(*every.columns).unionByName(every)

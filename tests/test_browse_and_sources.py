@@ -325,6 +325,13 @@ def test_merging_one_month_leaves_the_others(spark, chat, tmp_path):
     assert rows(store.scan(spark, root), "text", "year_month") == [("a", "2024_01"), ("b", "2024_02"), ("c", "2024_02")]
 
 
+def test_merging_a_month_that_the_store_does_not_have(spark, chat, tmp_path):
+    root = str(tmp_path / "store")
+    for month in (1, 2, 1):
+        store.merge_store(spark, root, chat(("u", f"t{month}", datetime(2024, month, 5), {"id": f"i{month}"})))
+    assert rows(store.scan(spark, root), "id", "text", "year_month") == [("i1", "t1", "2024_01"), ("i2", "t2", "2024_02")]
+
+
 def hours(*pairs):
     at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
     return [("k", at(a), at(b)) for a, b in pairs]
